@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from tracemill.llm import quality
+from tracemill.llm import binary_tokens, bpe, quality
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op4_bit_packed_tokens": binary_tokens.op4_bit_packed_tokens,
+    "op5_bpe": bpe.op5_bpe,
 }
 ORACLES = {
     "op2_quality_rules": quality.ORACLE_SQL,
