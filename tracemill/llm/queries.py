@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tracemill.llm import binary_tokens, bpe, quality
+from tracemill.llm import binary_tokens, bpe, quality, simhash
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_simhash_bk_trees": simhash.op3_simhash_bk_trees,
     "op4_bit_packed_tokens": binary_tokens.op4_bit_packed_tokens,
     "op5_bpe": bpe.op5_bpe,
 }
