@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tracemill.llm import binary_tokens, bpe, quality, simhash
+from tracemill.llm import binary_tokens, bpe, quality, simhash, substring_dedup
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_simhash_bk_trees": simhash.op3_simhash_bk_trees,
     "op4_bit_packed_tokens": binary_tokens.op4_bit_packed_tokens,
     "op5_bpe": bpe.op5_bpe,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
 }
 ORACLES = {
     "op2_quality_rules": quality.ORACLE_SQL,
