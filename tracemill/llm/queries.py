@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import binary_tokens, bpe, quality, simhash, substring_dedup
+from tracemill.llm import binary_tokens, bpe, exact_dedup, quality, simhash, substring_dedup
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
@@ -10,7 +10,9 @@ QUERIES = {
     "op4_bit_packed_tokens": binary_tokens.op4_bit_packed_tokens,
     "op5_bpe": bpe.op5_bpe,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
     "op2_quality_rules": quality.ORACLE_SQL,
+    "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
