@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from tracemill.llm import binary_tokens, bpe, exact_dedup, quality, simhash, substring_dedup
+from tracemill.llm import binary_tokens, bpe, exact_dedup, mixing, quality, simhash, substring_dedup
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_simhash_bk_trees": simhash.op3_simhash_bk_trees,
     "op4_bit_packed_tokens": binary_tokens.op4_bit_packed_tokens,
     "op5_bpe": bpe.op5_bpe,
+    "op6_pareto_mixing": mixing.op6_pareto_mixing,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
     "op2_quality_rules": quality.ORACLE_SQL,
+    "op6_pareto_mixing": mixing.ORACLE_SQL,
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
