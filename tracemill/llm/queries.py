@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.llm import binary_tokens, bpe, exact_dedup, mixing, quality, simhash, substring_dedup
+from tracemill.llm import binary_tokens, bpe, exact_dedup, mixing, quality, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
     "op2_quality_rules": quality.op2_quality_rules,
@@ -10,11 +10,14 @@ QUERIES = {
     "op4_bit_packed_tokens": binary_tokens.op4_bit_packed_tokens,
     "op5_bpe": bpe.op5_bpe,
     "op6_pareto_mixing": mixing.op6_pareto_mixing,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+    "op9_permutation_table": sharding.op9_permutation_table,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 ORACLES = {
     "op2_quality_rules": quality.ORACLE_SQL,
     "op6_pareto_mixing": mixing.ORACLE_SQL,
+    "op9_permutation_table": sharding.oracle_sql(),
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
 }
