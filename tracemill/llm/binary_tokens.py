@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.bpe import Encoder, Splitter, tokenizer_path
-from tracemill.llm.common import scratch, table, text_or_empty, written
+from tracemill.llm.common import map_in_arrow, scratch, table, text_or_empty, written
 
 MAGIC = b"TMTOKENS"
 BLOCK = 1 << 16
@@ -232,7 +232,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, files: int, end_id: in
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((name, pa.int64()), (first, pa.int64()), (n_docs, pa.int64()), (out.close(), pa.int64()))], ["file", "first_doc", "n_docs", "n_ids"])
 
     # written: a later read of these rows must not encode again
-    return written(placed.mapInArrow(run, "file long, first_doc long, n_docs long, n_ids long"), "token-files")
+    return written(map_in_arrow(placed, run, "file long, first_doc long, n_docs long, n_ids long"), "token-files")
 
 
 _NULL_ID = -(1 << 63)
@@ -269,7 +269,7 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return listed.repartitionById(max(1, len(found)), "k").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_in_arrow(listed.repartitionById(max(1, len(found)), "k"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:

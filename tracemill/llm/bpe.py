@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm.common import table, text_or_empty
+from tracemill.llm.common import map_in_arrow, table, text_or_empty
 
 #: White-space-free stretches of printable ASCII and composed Latin-1 letters: lower-casing and
 #: splitting them needs no tables of Unicode.
@@ -307,7 +307,7 @@ def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: s
             ids = [[i for c in chunks for i in c] for chunks in e.texts(b["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.list_(pa.int32())), pa.array([decode(e.vocabulary.text, x) for x in ids])], ["doc_id", "ids", "decoded"])
 
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return map_in_arrow(rows, run, "doc_id long, ids array<int>, decoded string")
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -326,7 +326,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 decoded.append(hashlib.sha256(b" ".join([c[1] for c in chunks])).hexdigest())
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_in_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pathlib
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,3 +41,22 @@ def text_or_empty(column: str = "text") -> Column:
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application: their Python need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_tracemill_shipped", False):
+        return
+    package = pathlib.Path(__file__).resolve().parent.parent
+    path = f"{tempfile.mkdtemp(prefix='tracemill-')}/tracemill.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    context.addPyFile(path)
+    context._tracemill_shipped = True
+
+
+def map_in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import table, text_or_empty, written
+from tracemill.llm.common import map_in_arrow, table, text_or_empty, written
 from tracemill.llm.components import components
 
 RADIUS = 4
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in b["text"].to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps), b["th"]], ["doc_id", "fp", "th"])
 
-    return rows.mapInArrow(run, "doc_id long, fp long, th long")
+    return map_in_arrow(rows, run, "doc_id long, fp long, th long")
 
 
 # The trees. Arrays over the fingerprints of a task, all shards together.
@@ -184,7 +184,7 @@ def links(distinct: DataFrame, shard_limit: int = SHARD) -> DataFrame:
         if rows is None:
             break
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return found.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_stars, "u long, v long")
+    return map_in_arrow(found.repartition(n, "key").sortWithinPartitions("key"), _stars, "u long, v long")
 
 
 def _stars(batches: Iterator[pa.RecordBatch], at_once: int = 200_000) -> Iterator[pa.RecordBatch]:

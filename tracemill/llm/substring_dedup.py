@@ -42,7 +42,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import scratch, table, text_or_empty
+from tracemill.llm.common import map_in_arrow, scratch, table, text_or_empty
 
 WINDOW = 20
 ANCHOR = 8
@@ -219,7 +219,7 @@ def _index(docs: DataFrame, folder: str, shards: int) -> DataFrame:
         if ids:
             yield flush()
 
-    return docs.mapInArrow(run, SENT)
+    return map_in_arrow(docs, run, SENT)
 
 
 def _answer_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,18 +348,18 @@ def remove_repeats(docs: DataFrame, full: bool = True) -> DataFrame:
     spark = docs.sparkSession
     folder, shards = scratch(spark, "blocks"), max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    anchors = _index(rows, folder, shards).repartitionById(shards, "shard").mapInArrow(_answer_anchors, SENT)
+    anchors = map_in_arrow(_index(rows, folder, shards).repartitionById(shards, "shard"), _answer_anchors, SENT)
     first = _answered(anchors)
     path = scratch(spark, "anchor-answers")
     first.write.parquet(path)
     first = spark.read.schema(first.schema).parquet(path)
     n = max(1, first.count())
     tasks = min(n, 4 * shards)  # dealt in turn: every block is about as much work
-    asked = first.repartition(tasks).mapInArrow(_windows(folder, shards), SENT)
-    second = _answered(asked.repartitionById(shards, "shard").mapInArrow(_answer_windows, SENT)).select("block", "answers")
+    asked = map_in_arrow(first.repartition(tasks), _windows(folder, shards), SENT)
+    second = _answered(map_in_arrow(asked.repartitionById(shards, "shard"), _answer_windows, SENT)).select("block", "answers")
     both = first.withColumnRenamed("answers", "first_answers").join(second, "block")
     types = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, removed array<struct<start: long, end: long>>" * full
-    return both.repartition(tasks).mapInArrow(_parse(folder, shards, full), types)
+    return map_in_arrow(both.repartition(tasks), _parse(folder, shards, full), types)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import table, text_or_empty
+from tracemill.llm.common import map_in_arrow, table, text_or_empty
 
 #: Labelled rows at most that a fit takes; documented bound.
 SAMPLE = 4_000
@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 toxic.append(one >= 0.5)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(severity, pa.float64()), pa.array(grade, pa.int32()), pa.array(toxic)], ["doc_id", "severity", "grade", "toxic"])
 
-    return rows.mapInArrow(run, "doc_id long, severity double, grade int, toxic boolean")
+    return map_in_arrow(rows, run, "doc_id long, severity double, grade int, toxic boolean")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
