@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tracemill.llm import binary_tokens, bpe, exact_dedup, mixing, quality, sharding, simhash, substring_dedup, toxicity
+from tracemill.llm import binary_tokens, bpe, exact_dedup, html_extract, mixing, quality, sharding, simhash, substring_dedup, toxicity
 
 QUERIES = {
+    "op1_html_extraction": html_extract.op1_html_extraction,
     "op2_quality_rules": quality.op2_quality_rules,
     "op3_simhash_bk_trees": simhash.op3_simhash_bk_trees,
     "op4_bit_packed_tokens": binary_tokens.op4_bit_packed_tokens,
