@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tracemill.plans import evaluation  # noqa: F401  the modules register their queries
+from tracemill.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
