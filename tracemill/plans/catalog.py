@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.plans import evaluation, timelines  # noqa: F401  the modules register their queries
+from tracemill.plans import analytics, evaluation, timelines  # noqa: F401  the modules register their queries
 from tracemill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
