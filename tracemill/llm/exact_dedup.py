@@ -50,7 +50,12 @@ def stream_state(spark: SparkSession, journal: str, files_per_batch: int | None
     """Streams the journal through the keyed state. Returns digest, keep (doc_id, file, row) and n: the state at the end."""
     source = spark.read.parquet(journal)
     out = scratch(spark, "dedup-state")
-    settings = {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    settings = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+        # a store's log files take the space they need, not what RocksDB reserves for large ones
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    }
     before = {k: spark.conf.get(k, None) for k in settings}
     for k, v in settings.items():
         spark.conf.set(k, v)
