@@ -82,7 +82,7 @@ def sample(docs: DataFrame, seed: int = SEED) -> DataFrame:
     sources = written(targets(sized), "sources")
     s = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    p = F.col("f") * _bits(F.col("size")) * F.col("source_size") / F.col("bit_words")
+    p = F.try_divide(F.col("f") * _bits(F.col("size")) * F.col("source_size"), F.col("bit_words"))
     p = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), p))
     u = F.col("u")
     q = (u * (F.lit(1.0) - F.col("p"))) / (F.col("p") * (F.lit(1.0) - u))

@@ -10,7 +10,7 @@ Fitting takes a bounded sample of the labelled rows (SAMPLE of them, by a digest
 split over grades isn't forced), on the driver; scoring reads every word of every document, in one pass
 without a shuffle. The model that scoring needs is a dictionary of at most FEATURES words.
 
-Defined results: a null or empty text has no features and is scored by the thresholds alone; null labels
+Defined results: a text without any of the model's terms, such as a null or empty one, has severity 0; null labels
 and labels without a document aren't used for fitting; without a toxic and a clean label nothing is
 flagged and the severity is 0; repeated rows are scored one by one; texts are scored whole.
 """
@@ -70,6 +70,8 @@ class Model:
 
     def score(self, counts: Counter) -> float:
         known = self.weights.keys() & counts.keys()
+        if not known - {LENGTH}:
+            return -math.inf
         return sum(self.weights[t] * value(t, counts[t]) for t in sorted(known))
 
 
