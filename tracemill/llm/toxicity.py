@@ -66,7 +66,7 @@ class Model:
 
     def severity(self, score: float) -> tuple[float, float]:
         """P(grade > 0) and P(grade > 1)."""
-        return tuple(0.0 if t == math.inf else 1 / (1 + math.exp(min(700.0, max(-700.0, t - score)))) for t in self.thresholds)
+        return tuple(0.0 if t - score > 700 else 1 / (1 + math.exp(max(-700.0, t - score))) for t in self.thresholds)
 
     def score(self, counts: Counter) -> float:
         known = self.weights.keys() & counts.keys()
