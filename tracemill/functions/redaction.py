@@ -101,7 +101,7 @@ def _assignments(text: str) -> Iterator[tuple[str, str | None, list[tuple[int, i
         else:
             bearer = re.compile(r"(?i)bearer\s+").match(text, start, end)
             start = bearer.end() if bearer else start
-            word = re.compile(r"[^\s;&|]+" if shell else r"[^\s,;}\]]+").match(text, start, end)
+            word = re.compile(r"<[^<>\n]*>|[^\s;&|]+" if shell else r"<[^<>\n]*>|[^\s,;}\]]+").match(text, start, end)
             stop = word.end() if word else start
         value = text[start:stop]
         at = max(at, stop)
