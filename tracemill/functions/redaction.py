@@ -111,7 +111,7 @@ def _assignments(text: str) -> Iterator[tuple[str, str | None, list[tuple[int, i
         if reason:
             yield m["name"], reason, []
         elif (shell or opened) and re.search(r"[$%]", value):
-            spans = [(start + a, start + b) for a, b in _literals(value) if value[a:b].strip()]
+            spans = [(start + a, start + b) for a, b in _literals(value) if value[a:b].replace(MARK, "").strip()]
             yield (m["name"], None, spans) if spans else (m["name"], "environment-reference", [])
         else:
             yield m["name"], None, [(start, stop)]

@@ -38,9 +38,9 @@ def final_ratings(answers: DataFrame) -> DataFrame:
     """
     accepted = accepted_by_policy(F.col("kind"), F.col("confidence"), F.col("probability"))
     rank = F.when(F.col("source") == "rule", 0).when((F.col("source") == "model") & F.coalesce(accepted, F.lit(False)), 1).when(F.col("source") == "fallback", 2).otherwise(3)
-    rows = answers.withColumn("__rank", rank)
-    best = first_per_key(rows, ["occurrence", "dimension"], [F.col("__rank"), F.col("source")])
-    return best.withColumn("status", F.when(F.col("__rank") == 3, "deferred").otherwise("decided")).drop("__rank")
+    rows = answers.withColumn("__precedence", rank)
+    best = first_per_key(rows, ["occurrence", "dimension"], [F.col("__precedence"), F.col("source")])
+    return best.withColumn("status", F.when(F.col("__precedence") == 3, "deferred").otherwise("decided")).drop("__precedence")
 
 
 def no_response(operations_after: Column, failures: Column) -> Column:
