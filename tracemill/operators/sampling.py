@@ -96,3 +96,30 @@ def select_evidence(df: DataFrame, by: str, tier: str, order: list[str], size: s
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", selected boolean"
     return df.groupBy(by).applyInPandas(choose, schema)
+
+
+def compile_queue(cells: DataFrame, experiment: str, strategy: str, seed: str) -> DataFrame:
+    """A run matrix as an ordered queue: position and run_id, a digest of the experiment and the cell.
+
+    Strategies: declared (by task, model, harness, trial), shuffled, by-task, by-model or by-harness (round robin).
+    """
+    order = ["task_id", "model_id", "harness_id", "trial_id"]
+    if strategy == "shuffled":
+        queue = shuffled(cells, order, seed)
+    elif strategy == "declared":
+        queue = cells.withColumn("position", (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))
+    elif strategy in ("by-task", "by-model", "by-harness"):
+        queue = interleave(cells, strategy.removeprefix("by-") + "_id", order)
+    else:
+        raise ValueError(f"no such order: {strategy}")
+    cell = F.to_json(F.struct(F.lit(experiment).alias("experiment"), *order))
+    return queue.withColumn("run_id", F.concat(F.lit("run-"), F.substring(F.sha2(cell, 256), 1, 24)))
+
+
+def queue_breaches(queue: DataFrame, cells: DataFrame) -> DataFrame:
+    """Cells of the matrix that the queue lacks or repeats, and entries that the matrix lacks."""
+    order = ["task_id", "model_id", "harness_id", "trial_id"]
+    per = queue.groupBy(*order).agg(F.count("*").alias("n"))
+    both = cells.select(*order, F.lit(True).alias("declared")).join(per, order, "full")
+    problem = F.when(F.col("n").isNull(), "missing").when(F.col("declared").isNull(), "undeclared").when(F.col("n") > 1, "repeated")
+    return both.select(*order, problem.alias("problem")).where("problem IS NOT NULL")

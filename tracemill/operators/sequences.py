@@ -209,3 +209,45 @@ def compaction_boundaries(events: DataFrame, attempt: str, order: list[str]) ->
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", boundary long"
     ordered = lambda rows: fold(rows.sort_values(order, kind="stable"))
     return events.groupBy(attempt).applyInPandas(ordered, schema)
+
+
+def correlate(left: DataFrame, right: DataFrame, keys: dict[str, Column], id: str = "id") -> DataFrame:
+    """Pairs of rows of two channels that share any of several keys (such as a call id, a response id, or role and
+    time), each pair once with the names of the keys that agree. keys: the same expressions on both sides."""
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        each = F.explode(F.array(*(F.struct(F.lit(k).alias("key"), c.cast("string").alias("value")) for k, c in keys.items())))
+        return df.select(F.col(id).alias(name), each.alias("x")).select(name, "x.key", "x.value").where("value IS NOT NULL")
+
+    both = keyed(left, "left_id").join(keyed(right, "right_id"), ["key", "value"])
+    return both.groupBy("left_id", "right_id").agg(F.array_sort(F.collect_set("key")).alias("by"))
+
+
+def spread(n: int) -> list[int]:
+    """An order of 0 to n - 1 that visits the ends first and then the middles of what is left between."""
+    out = [*dict.fromkeys([0, n - 1])] if n > 0 else []
+    gaps = [(0, n - 1)]
+    while gaps:
+        following = []
+        for a, b in gaps:
+            if b - a > 1:
+                m = (a + b) // 2
+                out.append(m)
+                following += [(a, m), (m, b)]
+        gaps = following
+    return out
+
+
+def spread_order(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Adds visit: the place of each row in its partition's evenly spaced order.
+
+    A midpoint's place follows from the level at which halving reaches it and from its rank within that level,
+    so the halving is done once for each size of a partition that occurs.
+    """
+    w = W.partitionBy(*by)
+    rows = df.withColumn("__k", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(w))
+    largest = [r[0] for r in rows.select("__n").distinct().limit(10_001).collect()]
+    if len(largest) > 10_000:
+        raise ValueError("more than 10000 sizes of partitions")
+    places = [(n, k, v) for n in largest for v, k in enumerate(spread(n))]
+    return rows.join(df.sparkSession.createDataFrame(places, "__n long, __k int, visit int"), ["__n", "__k"]).drop("__n", "__k")
