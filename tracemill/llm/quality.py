@@ -132,10 +132,15 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go."""
+    """Pipeline stage: documents that the rules reject go.
+
+    The optimizer would push the verdict's filter below the projections and so write out every feature anew
+    wherever a rule names it; a column that it may not move keeps the filter where it is.
+    """
     columns = docs.columns
     packed = docs.select(F.col("text").alias("text"), F.struct(*columns).alias("__row"))
-    return judge(packed).where("kept").select(*(F.col("__row")[c].alias(c) for c in columns))
+    judged = judge(packed).withColumn("__task", F.spark_partition_id())
+    return judged.where(F.col("kept") & (F.col("__task") >= 0)).select(*(F.col("__row")[c].alias(c) for c in columns))
 
 
 _WORD = r"[\x20\x09-\x0D]+"
