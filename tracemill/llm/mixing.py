@@ -76,11 +76,9 @@ def uniform(seed: int) -> Column:
     return (F.conv(F.substring(F.sha2(key, 256), 1, 13), 16, 10).cast("long").cast("double") + F.lit(0.5)) / F.lit(4503599627370496.0)
 
 
-def sample(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies and taken of every row."""
-    sized = written(sizes(docs), "sized")
-    sources = written(targets(sized), "sources")
-    s = sized.join(sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
+def _ranked(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+    """Rows with doc_id, source and size, and from their source's row: whole copies, what is left, and their rank q and bin."""
+    s = sized.join(sources.withColumnRenamed("source", "__source"), sized["source"].eqNullSafe(F.col("__source"))).drop("__source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     p = F.try_divide(F.col("f") * _bits(F.col("size")) * F.col("source_size"), F.col("bit_words"))
     p = F.greatest(F.lit(EDGE), F.least(F.lit(1 - EDGE), p))
@@ -91,7 +89,14 @@ def sample(docs: DataFrame, seed: int = SEED) -> DataFrame:
     # q / (1 + q) orders alike and lies in [0, 1): its first and its next ten bits are the bins
     s = s.withColumn("q", q).withColumn("z", F.col("q") / (F.lit(1.0) + F.col("q")))
     fine = F.least(F.lit(BINS * BINS - 1), F.floor(F.col("z") * (BINS * BINS))).cast("long")
-    s = written(s.select("doc_id", "source", "size", "source_size", "target", "whole", "left", "q", fine.alias("bin")), "ranked")
+    return s.withColumn("bin", fine).drop("f", "p", "u", "z", "bit_words")
+
+
+def _plan(sized: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sources with their targets and the bin that ends each one's sample; the documents' ranks; and the
+    documents of those bins, with whether they are taken once more."""
+    sources = written(targets(sized), "sources")
+    s = written(_ranked(sized, sources, seed), "ranked")
 
     by_source = Window.partitionBy("source").orderBy("b")
     before = by_source.rowsBetween(Window.unboundedPreceding, -1)
@@ -107,27 +112,50 @@ def sample(docs: DataFrame, seed: int = SEED) -> DataFrame:
     found = inside.groupBy("source", "left", "past", "bin").agg(F.sum("size").alias("n")).withColumnRenamed("bin", "b")
     found = found.withColumn("more", F.coalesce(F.sum("n").over(before), F.lit(0)))
     found = found.where((F.col("more") < F.col("left")) & (F.col("more") + F.col("n") >= F.col("left")))
-    end = written(found.groupBy("source").agg(F.min(F.struct("b", (F.col("past") + F.col("more")).alias("past"))).alias("e")).select(F.col("source").alias("s"), F.col("e.b").alias("end"), F.col("e.past").alias("past")), "ends")
+    end = found.groupBy("source").agg(F.min(F.struct("b", (F.col("past") + F.col("more")).alias("past"))).alias("e")).select(F.col("source").alias("s"), F.col("e.b").alias("end"), F.col("e.past").alias("past"))
+    sources = written(sources.join(end, sources["source"].eqNullSafe(end["s"]), "left").drop("s"), "ends")
 
-    s = s.join(end, s["source"].eqNullSafe(end["s"]), "left").drop("s")
-    # without an end, either nothing is left to take (none) or the words never reach it (all)
-    s = s.withColumn("__place", F.when(F.col("left") <= 0, F.lit(1)).when(F.col("end").isNull() | (F.col("bin") < F.col("end")), F.lit(-1)).when(F.col("bin") > F.col("end"), F.lit(1)).otherwise(F.lit(0)))
-    clear = s.where("__place <> 0").withColumn("extra", F.when(F.col("__place") < 0, F.lit(1)).otherwise(F.lit(0)))
+    marks = sources.where("end IS NOT NULL").select(F.col("source").alias("s"), "end", "past")
+    edge = s.join(marks, s["source"].eqNullSafe(marks["s"])).where((F.col("left") > 0) & (F.col("bin") == F.col("end"))).drop("s")
     order = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    edge = s.where("__place = 0").withColumn("cum", F.col("past") + F.sum("size").over(order))
-    edge = edge.withColumn("extra", (F.col("cum") - F.col("size") / 2 <= F.col("left")).cast("int")).drop("cum")
-    out = clear.unionByName(edge).withColumn("copies", F.col("whole") + F.col("extra"))
+    edge = edge.withColumn("cum", F.col("past") + F.sum("size").over(order))
+    return sources, s, edge.withColumn("extra", (F.col("cum") - F.col("size") / 2 <= F.col("left")).cast("int"))
+
+
+def _clear() -> Column:
+    """1 or 0 for a document that lies before or after its source's end bin; null for one in it.
+
+    Without an end, either nothing is left to take (0) or the words never reach it (1).
+    """
+    return F.when(F.col("left") <= 0, 0).when(F.col("end").isNull() | (F.col("bin") < F.col("end")), 1).when(F.col("bin") > F.col("end"), 0)
+
+
+def sample(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of every row."""
+    sources, s, edge = _plan(written(sizes(docs), "sized"), seed)
+    marks = sources.select(F.col("source").alias("s"), "end")
+    clear = s.join(marks, s["source"].eqNullSafe(marks["s"])).withColumn("extra", _clear()).where("extra IS NOT NULL")
+    columns = ["doc_id", "source", "size", "source_size", "target", "whole", "extra"]
+    out = clear.select(*columns).unionByName(edge.select(*columns)).withColumn("copies", F.col("whole") + F.col("extra"))
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: every document as often as the mix takes it."""
+    """Pipeline stage: every document as often as the mix takes it.
+
+    A document's copies follow from its own rank and its source's row, so texts don't move: they meet a row
+    for each source and, for the end bins, about a millionth of the documents.
+    """
     columns = docs.columns
     rows = docs.select(F.struct(*columns).alias("__doc"), "doc_id", "source", "text")
-    mix = written(sample(rows).where("copies > 0").groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")), "copies")
-    rows = rows.withColumn("__size", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long"))
-    same = rows["doc_id"].eqNullSafe(mix["doc_id"]) & rows["source"].eqNullSafe(mix["source"]) & (rows["__size"] == mix["size"])
-    taken = rows.join(mix, same).select("__doc", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("__copy"))
+    sources, _, edge = _plan(written(sizes(rows), "sized"), SEED)
+    ends = written(edge.groupBy("doc_id", "source", "size").agg(F.max("extra").alias("at_end")), "end-bins")
+    rows = rows.select("__doc", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
+    ranked = _ranked(rows, sources, SEED).withColumn("extra", _clear())
+    same = ranked["doc_id"].eqNullSafe(ends["doc_id"]) & ranked["source"].eqNullSafe(ends["source"]) & (ranked["size"] == ends["size"]) & ranked["extra"].isNull()
+    copies = (F.col("whole") + F.coalesce("extra", "at_end", F.lit(0))).cast("int")
+    taken = ranked.join(ends.select("doc_id", "source", "size", "at_end"), same, "left").select("__doc", copies.alias("__copies")).where("__copies > 0")
+    taken = taken.select("__doc", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
     return taken.select(*(F.col("__doc")[c].alias(c) for c in columns))
 
 

@@ -233,6 +233,10 @@ def op3_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component, the document of the smallest doc_id stays (of several such rows, that of the least text hash)."""
     found = near_duplicates(docs.select("doc_id", "text"))
-    keep = written(found.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th")), "kept")
-    same = docs["doc_id"].eqNullSafe(keep["__id"]) & (F.xxhash64(text_or_empty("text")) == keep["__th"])
-    return docs.join(keep, same, "left_semi")
+    rows = written(found.where("group_size > 1"), "grouped")
+    keep = written(rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("x")).select(F.col("component_id").alias("__c"), F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th")), "kept")
+    mine = rows["component_id"].eqNullSafe(keep["__c"]) & rows["doc_id"].eqNullSafe(keep["__id"]) & (rows["th"] == keep["__th"])
+    # the rows that go are few; texts move only where they are too many to broadcast
+    gone = written(rows.join(keep, mine, "left_anti").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "gone")
+    same = docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(text_or_empty("text")) == gone["__th"])
+    return docs.join(gone, same, "left_anti")
