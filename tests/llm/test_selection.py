@@ -195,3 +195,18 @@ def test_extraction_of_odd_rows(spark):
     got = sorted(((r["page_id"], r["n_chars"], r["text"][:10]) for r in html_extract.extract(pages).collect()), key=str)
     assert got == sorted([(1, 29, "A & B One "), (1, 29, "A & B One "), (2, 0, ""), (None, 0, ""), (4, 499_999, "long text ")], key=str)
     assert html_extract.extract(pages.limit(0)).count() == 0
+
+
+def test_repeats_over_a_whole_host(spark):
+    # every piece of boilerplate stands on two pages only, which lie anywhere among the host's pages
+    menu = lambda k: " ".join(f"menu{k % 40}{c}" for c in "abcdefgh")
+    own = lambda k: " ".join(f"own{k}{c}" for c in "abcdefgh")
+    page = lambda k: f"<div>{menu(k)}</div><p>{own(k)}</p>"
+    rows = [(k, f"http://h.example/{k}", page(k)) for k in range(80)] + [(None, "http://n.example/a", page(1)), (3, "http://n.example/b", page(1)), (5, "http://o.example/", page(2)), (5, "http://o.example/", page(2))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    alone = f"{menu(2)} {own(2)}"
+    want = [(k, own(k)) for k in range(80)] + [(None, ""), (3, ""), (5, alone), (5, alone)]
+    for parts in (1, 7, 60):
+        got = html_extract.extract(pages.repartition(parts)).select("page_id", "text").collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert html_extract.extract_group(list(range(80)), [r[2] for r in rows[:80]]) == [t for _, t in want[:80]]

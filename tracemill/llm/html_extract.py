@@ -1,16 +1,19 @@
-"""Main text of web pages: the page's own structure, and a suffix array over the pages of a host.
+"""Main text of web pages: the page's own structure, and what the pages of a host repeat.
 
 A page is cut into blocks at block-level tags. A block's place says what it is: script, style, menus,
 footers, sidebars, forms, adverts, notices and reader comments (by element, or by a word of their class or
 id) are chrome; blocks of an article element, or else of a main element, are the main text, all of them.
-Where a page has neither, its other blocks are open, and the host decides: the token streams of chrome and
-open blocks of a host's pages are concatenated, a suffix array finds the substrings of LONG tokens or more
-that distinct pages share, and an open block goes if such repeats cover half of it; unique runs stay.
-Repeats don't decide about articles: authors quote, and hosts publish copies, and both belong to the text.
+Where a page has neither, its other blocks are open, and the host decides: of the token streams of chrome and
+open blocks of all pages of the host, the substrings of LONG tokens or more that distinct pages share are
+found, and an open block goes if such repeats cover half of it; unique runs stay. Repeats don't decide about
+articles: authors quote, and hosts publish copies, and both belong to the text.
 
-Pages are dealt out by ranges of (host, digest of the page): small hosts stay together, a host that holds
-a third of all pages is cut into as many ranges as its share, and each range is read in groups of at most
-GROUP pages, so that no task and no suffix array grows with a host.
+Html never moves for that. Each task reads its pages in groups of bounded size; a suffix array over a group
+gives its distinct windows of LONG tokens, and of each and its host 128 bits are sent with the least and the
+greatest page that has it. An aggregate over all groups tells which windows distinct pages share: its state
+is two pages, so a host that holds a third of all pages is summed up before it is sent. The windows of pages
+with open blocks that are shared come back to these pages, and the pages are read once more. So a page's text
+depends neither on the groups nor on the number of partitions.
 
 Defined results: a null or empty html has an empty text; a null url is a host of its own; an unclosed tag
 ends with the element around it, an unclosed comment or script with the page; repeated rows are extracted
@@ -29,13 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import map_in_arrow, table
+from tracemill.llm.common import map_in_arrow, table, written
 
 #: Tokens of a repeat, block boundaries included.
 LONG = 6
-#: Pages, and characters of html, that one suffix array covers.
+#: Pages, and characters of html, that one suffix array covers; they bound memory and decide no row.
 GROUP = 512
 GROUP_CHARS = 8 << 20
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 RAW = "script|style|textarea|title|noscript|iframe|xmp|template|svg|math|object|canvas"
 _TAG = re.compile(
@@ -172,16 +176,13 @@ def repeated(tokens: np.ndarray, page: np.ndarray, depth: int = LONG) -> np.ndar
     return np.cumsum(step[:-1]) > 0
 
 
-def extract_group(ids: list, sources: list[str]) -> list[str]:
-    """The main texts of pages of one host."""
-    found = [blocks(s) for s in sources]
+def stream(found: list[list[tuple[int, str]]]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int, int]], list[str]]:
+    """Pages' chrome and open blocks: tokens as numbers, the page of each, spans (page, block, first and last token), and the words."""
     words: dict[str, int] = {"": 0}  # "" stands between blocks
     tokens: list[int] = []
     page: list[int] = []
-    spans: list[tuple[int, int, int, int]] = []  # page, block, first and last token
-    numbers: dict = {}
+    spans: list[tuple[int, int, int, int]] = []
     for k, bs in enumerate(found):
-        own = numbers.setdefault(ids[k], len(numbers))
         before = len(tokens)
         tokens.append(0)
         for j, (place, text) in enumerate(bs):
@@ -190,44 +191,138 @@ def extract_group(ids: list, sources: list[str]) -> list[str]:
                 tokens += [words.setdefault(w, len(words)) for w in text.split(" ")]
                 spans.append((k, j, a, len(tokens)))
                 tokens.append(0)
-        page += [own] * (len(tokens) - before)
-    covered = np.r_[0, np.cumsum(repeated(np.array(tokens, np.int64), np.array(page, np.int64)))]
+        page += [k] * (len(tokens) - before)
+    return np.array(tokens, np.int64), np.array(page, np.int64), spans, list(words)
+
+
+def best(bs: list[tuple[int, str]]) -> int:
+    """The place of the page's main text; OPEN if the host decides about its blocks."""
+    return max((p for p, _ in bs), default=OUT)
+
+
+def main_texts(found: list[list[tuple[int, str]]], spans: list[tuple[int, int, int, int]], repeat: np.ndarray) -> list[str]:
+    """The pages' main texts; repeat: which tokens repeats of the host cover."""
+    covered = np.r_[0, np.cumsum(repeat)]
     common = {(k, j) for k, j, a, b in spans if 2 * (covered[b] - covered[a]) >= b - a}
-    out = []
-    for k, bs in enumerate(found):
-        best = max((p for p, _ in bs), default=OUT)
-        out.append(" ".join([t for j, (p, t) in enumerate(bs) if p == best and (p > OPEN or (p == OPEN and (k, j) not in common))]))
-    return out
+    return [" ".join([t for j, (p, t) in enumerate(bs) if p == best(bs) and (p > OPEN or (p == OPEN and (k, j) not in common))]) for k, bs in enumerate(found)]
+
+
+def extract_group(ids: list, sources: list[str]) -> list[str]:
+    """The main texts of pages of one host that are all at hand; ``extract`` gives the same for a host of any size."""
+    found = [blocks(s) for s in sources]
+    tokens, page, spans, _ = stream(found)
+    numbers: dict = {}
+    own = np.array([numbers.setdefault(i, len(numbers)) for i in ids], np.int64)
+    return main_texts(found, spans, repeated(tokens, own[page] if len(page) else page))
+
+
+def window_keys(tokens: np.ndarray, starts: np.ndarray, words: list[str], hosts: np.ndarray) -> np.ndarray:
+    """128 bits for each window of LONG tokens and its host, as two signed numbers. hosts: a digest for each window."""
+    table = digests(words)
+    key = hosts.copy()
+    for k in range(LONG):
+        key = key * _ODD + table[tokens[starts + k]]
+    return key.view(np.int64)
+
+
+def digests(words: list[str]) -> np.ndarray:
+    from xxhash import xxh3_128_digest
+
+    return np.frombuffer(b"".join([xxh3_128_digest(w.encode("utf-8", "replace")) for w in words]), "<u8").reshape(-1, 2)
+
+
+def evidence(hosts: list[str], ids: list, marks: list[int], sources: list[str]) -> pa.RecordBatch:
+    """A group's windows. Every distinct window of a host, with the least and the greatest of its pages; and for
+    each page whose blocks are open, its own windows that touch one, with the page's mark."""
+    found = [blocks(s) for s in sources]
+    tokens, row, spans, words = stream(found)
+    last = max(0, len(tokens) - LONG + 1)
+    whole = np.flatnonzero(row[:last] == row[LONG - 1 :]) if last else np.zeros(0, np.int64)
+    names, host = np.unique(np.array(hosts, object), return_inverse=True)
+    numbers: dict = {}
+    own = np.array([numbers.setdefault(i, len(numbers)) for i in ids], np.int64)
+    at = row[whole]
+    rank = ranks(tokens, LONG)[whole] if len(whole) else whole
+    _, first, window = np.unique(rank * len(names) + host[at], return_index=True, return_inverse=True)
+    least, most = np.full(len(first), len(numbers)), np.full(len(first), -1)
+    np.minimum.at(least, window, own[at])
+    np.maximum.at(most, window, own[at])
+    keys = window_keys(tokens, whole[first], words, digests(list(names))[host[at[first]]])
+    two = most != least
+    # windows of open pages
+    asks = [best(bs) == OPEN for bs in found]
+    step = np.zeros(len(tokens) + 1, np.int64)
+    for k, j, a, b in spans:
+        if asks[k] and found[k][j][0] == OPEN:
+            step[a] += 1
+            step[b] -= 1
+    before = np.r_[0, np.cumsum(np.cumsum(step[:-1]))]
+    touch = np.flatnonzero(before[whole + LONG] > before[whole])
+    pairs = np.unique(np.stack([at[touch], window[touch]], 1), axis=0)
+    key = np.concatenate([keys, keys[two], keys[pairs[:, 1]]])
+    known = list(numbers)
+    page = [known[k] for k in np.concatenate([least, most[two]]).tolist()] + [ids[k] for k in pairs[:, 0].tolist()]
+    mark = [None] * (len(first) + int(two.sum())) + [marks[k] for k in pairs[:, 0].tolist()]
+    return pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(page, pa.int64()), pa.array(mark, pa.int64())], ["k1", "k2", "page", "mark"])
+
+
+def text_of(source: str, host: str, shared: list[int] | None) -> str:
+    """The page's main text; shared: the first halves of the keys of its windows that other pages of the host have."""
+    found = [blocks(source)]
+    if not shared:
+        return main_texts(found, [], np.zeros(0, bool))[0]
+    tokens, _, spans, words = stream(found)
+    starts = np.arange(len(tokens) - LONG + 1)
+    hit = starts[np.isin(window_keys(tokens, starts, words, np.repeat(digests([host]), len(starts), axis=0))[:, 0], np.array(shared, np.int64))]
+    step = np.zeros(len(tokens) + 1, np.int64)
+    np.add.at(step, hit, 1)
+    np.subtract.at(step, hit + LONG, 1)
+    return main_texts(found, spans, np.cumsum(step[:-1]) > 0)[0]
+
+
+def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    group: list[tuple] = []
+    size = 0
+    for b in batches:
+        for one in zip(*(b[c].to_pylist() for c in ("host", "page_id", "mark", "html")), strict=True):
+            if group and (len(group) >= GROUP or size + len(one[3]) > GROUP_CHARS):
+                yield evidence(*map(list, zip(*group, strict=True)))
+                group, size = [], 0
+            group.append(one)
+            size += len(one[3])
+    if group:
+        yield evidence(*map(list, zip(*group, strict=True)))
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, GROUP):
+            part = b.slice(k, GROUP)
+            shared = part["shared"].to_pylist() if "shared" in part.schema.names else [None] * part.num_rows
+            texts = [text_of(s, h, x) for s, h, x in zip(part["html"].to_pylist(), part["host"].to_pylist(), shared, strict=True)]
+            yield pa.RecordBatch.from_arrays([part["page_id"], part["url"], pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+
+def shared_windows(windows: DataFrame) -> DataFrame:
+    """Of the windows of open pages, those that distinct pages of the host have: page, mark, shared (their keys' first halves)."""
+    null = F.col("page").isNull()
+    distinct = (F.min("page") != F.max("page")) | (F.bool_or(null) & (F.count("page") > 0))
+    several = windows.groupBy("k1", "k2").agg(F.coalesce(distinct, F.lit(False)).alias("several"), F.count("mark").alias("asked")).where("several AND asked > 0").select("k1", "k2")
+    return windows.where("mark IS NOT NULL").join(several, ["k1", "k2"]).groupBy("page", "mark").agg(F.collect_set("k1").alias("shared"))
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    spark = pages.sparkSession
     host = F.coalesce(F.lower(F.regexp_extract(F.col("url").cast("string"), "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), host.alias("host"), F.xxhash64("page_id", "url").alias("deal"))
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, "host", "deal").sortWithinPartitions("host", "deal", "page_id")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[tuple] = []
-        size, now = 0, None
-
-        def flush() -> pa.RecordBatch:
-            ids, urls, sources = zip(*group, strict=True)
-            texts = extract_group(list(ids), list(sources))
-            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(urls, pa.string()), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
-
-        for b in batches:
-            for page_id, url, source, at in zip(*(b[c].to_pylist() for c in ("page_id", "url", "html", "host")), strict=True):
-                if group and (at != now or len(group) >= GROUP or size + len(source) > GROUP_CHARS):
-                    yield flush()
-                    group, size = [], 0
-                group.append((page_id, url, source))
-                size, now = size + len(source), at
-        if group:
-            yield flush()
-
-    return map_in_arrow(dealt, run, "page_id long, url string, text string, n_chars long")
+    source = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), source.alias("html"), host.alias("host"), F.xxhash64(host, source).alias("mark"))
+    windows = written(map_in_arrow(rows.select("host", "page_id", "mark", "html"), _evidence, "k1 long, k2 long, page long, mark long"), "windows")
+    if windows.where("mark IS NOT NULL").isEmpty():  # no page leaves its text to the host
+        found = rows.select("page_id", "url", "html", "host")
+    else:
+        shared = written(shared_windows(windows), "shared-windows").withColumnRenamed("mark", "__mark")
+        found = rows.join(shared, rows["page_id"].eqNullSafe(shared["page"]) & (rows["mark"] == shared["__mark"]), "left").select("page_id", "url", "html", "host", "shared")
+    return map_in_arrow(found, _texts, "page_id long, url string, text string, n_chars long")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
