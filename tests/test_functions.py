@@ -151,6 +151,15 @@ def test_cycles_are_marked(spark):
     assert got[3] == (1, 2, False) and all(got[k] == (None, None, True) for k in (4, 5, 6))
 
 
+def test_chains_of_any_length(spark):
+    rows = spark.createDataFrame([(k, k - 1 if k else None) for k in range(300)] + [(1000, 999), (1001, 1000)] + [(2000 + k, 2000 + (k + 1) % 70) for k in range(70)] + [(3000 + k, 2999 + k if k else 2000) for k in range(70)], "id long, parent long")
+    got = {r["id"]: (r["root"], r["depth"], r["in_cycle"]) for r in units.roots(rows).collect()}
+    want = {k: (0, k, False) for k in range(300)} | {1000: (999, 1, False), 1001: (999, 2, False)} | {k: (None, None, True) for k in [*range(2000, 2070), *range(3000, 3070)]}
+    assert got == want
+    tries = units.retry_chain(rows.withColumnsRenamed({"id": "attempt", "parent": "again"}), "attempt", "again")
+    assert tries.where("attempt = 299").first()["try_number"] == 300
+
+
 def test_links_of_citations(spark):
     cited = spark.createDataFrame([("c1", "e1", "f", 5, "tool", 100), ("c2", "none", "f", 7, "tool", 100), ("c3", "none", "g", 1, "tool", 5200), ("c4", "none", "g", 1, "message", 9)], "citation string, event string, artifact string, line int, kind string, t long")
     us = spark.createDataFrame([("u1", "e1", "f", 4, "tool", 90), ("u2", None, "f", 6, "tool", 5000), ("u3", "e9", "f", 9, "tool", 20_000)], "unit string, event string, artifact string, line int, kind string, t long")
