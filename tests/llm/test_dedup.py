@@ -118,6 +118,14 @@ def test_near_duplicates_of_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_stage_keeps_one_of_each_component_without_ids(spark):
+    texts = ["one two three four five six", "quite different words here now", "and a third text of its own"]
+    rows = [(None, t, "s") for t in texts] + [(None, t.upper(), "s") for t in texts] + [(7, "alone among all the others", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [r["text"].lower() for r in simhash.dedup_stage(spark, docs, "").collect()]
+    assert sorted(kept) == sorted([*texts, "alone among all the others"])
+
+
 def _substring(rows, n=20):
     words = [(d, (t or "").encode().split()) for d, t in rows]
     key = lambda d, i: (d is not None, d or 0, i)

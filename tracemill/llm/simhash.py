@@ -211,14 +211,14 @@ def _stars(batches: Iterator[pa.RecordBatch], at_once: int = 200_000) -> Iterato
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, th, component_id and group_size of every row."""
+    """doc_id, fp, th, root (the component's least fingerprint), component_id and group_size of every row."""
     fps = written(fingerprints(docs, shingle), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     groups = written(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("group_size")), "groups")
-    named = written(rooted.join(groups, "root").select("fp", "component_id", "group_size"), "named")
-    return fps.join(named, "fp").select("doc_id", "fp", "th", "component_id", "group_size")
+    named = written(rooted.join(groups, "root").select("fp", "root", "component_id", "group_size"), "named")
+    return fps.join(named, "fp").select("doc_id", "fp", "th", "root", "component_id", "group_size")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -234,8 +234,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component, the document of the smallest doc_id stays (of several such rows, that of the least text hash)."""
     found = near_duplicates(docs.select("doc_id", "text"))
     rows = written(found.where("group_size > 1"), "grouped")
-    keep = written(rows.groupBy("component_id").agg(F.min(F.struct("doc_id", "th")).alias("x")).select(F.col("component_id").alias("__c"), F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th")), "kept")
-    mine = rows["component_id"].eqNullSafe(keep["__c"]) & rows["doc_id"].eqNullSafe(keep["__id"]) & (rows["th"] == keep["__th"])
+    keep = written(rows.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("x")).select(F.col("root").alias("__c"), F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th")), "kept")
+    mine = (rows["root"] == keep["__c"]) & rows["doc_id"].eqNullSafe(keep["__id"]) & (rows["th"] == keep["__th"])
     # the rows that go are few; texts move only where they are too many to broadcast
     gone = written(rows.join(keep, mine, "left_anti").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "gone")
     same = docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(text_or_empty("text")) == gone["__th"])
