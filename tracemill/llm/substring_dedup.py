@@ -1,10 +1,11 @@
-"""Substring deduplication by relative Lempel-Ziv factors against an index of every reference block.
-
-The corpus is cut into reference blocks of whole documents. A document's words are parsed against all
-blocks: a factor is a maximal run of positions at which the next WINDOW words also stand in a block's
-index at an earlier place (a smaller doc_id, or the same document further ahead). Factors are looked for
-at every position, so that a repeat that begins or ends inside a greedy factor isn't missed at its
-boundary; words that a factor covers go.
+"""Substring deduplication by windows of words matched against an index of every reference block.
+
+The corpus is cut into reference blocks of whole documents. A position repeats if the next WINDOW words also
+stand in a block's index at an earlier place (a smaller doc_id, or the same document further ahead); words
+that such a window covers go. This window matching replaces the greedy factors of a relative Lempel-Ziv
+parse: no factor is formed or extended, and neighbouring windows may match different places, so a run of
+covered words needn't be a factor of one block. All positions are tried, so that a repeat that begins or ends
+inside a greedy factor isn't missed at its boundary, and no text has to move to extend a factor.
 
 How the blocks' indexes meet without moving any text:
 
