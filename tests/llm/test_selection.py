@@ -210,3 +210,13 @@ def test_repeats_over_a_whole_host(spark):
         got = html_extract.extract(pages.repartition(parts)).select("page_id", "text").collect()
         assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert html_extract.extract_group(list(range(80)), [r[2] for r in rows[:80]]) == [t for _, t in want[:80]]
+
+
+def test_hot_key_is_salted(spark, tmp_path):
+    docs = spark.createDataFrame([("hot", k) for k in range(900)] + [("hot", 5), (None, 1)], "source string, doc_id long")
+    placed = sharding.place(docs, F.col("source"), sharding.shard_names(4), 1009, salts=16)
+    assert placed.where("source = 'hot'").select("slot").distinct().count() == 16
+    assert placed.where("source = 'hot' AND doc_id = 5").select("slot").distinct().count() == 1
+    sharding.write_shards(docs, F.col("source"), sharding.shard_names(4), str(tmp_path / "s"), salts=16)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 902 and back.where("source = 'hot'").select("shard").distinct().count() > 1

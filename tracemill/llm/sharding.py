@@ -8,7 +8,8 @@ weights, where shards have some), and adding or removing a shard moves few slots
 A row's slot is a digest of its key modulo the number of slots; its shard is the table's entry there. The
 table's size is fixed by its parameter, not by the data, so it is broadcast; placement is constant-time,
 without a shuffle and without user functions. Keys are digests, so that hot sources and consecutive ids
-spread evenly; a key that a third of all rows share can be salted with ``salts``.
+spread evenly. A key that a third of all rows share can be salted: with ``salts`` above 1 a row's slot is that
+of its key and of a digest of its columns (maps aside) modulo ``salts``, so a key has that many slots at most.
 
 Defined results: a null key has a slot like any other value; repeated rows go to the same slot; an empty
 table gives no rows; further columns are kept, and may have any name.
@@ -58,19 +59,29 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("\x00null"))), 1, 13), 16, 10).cast("long") % F.lit(slots)
 
 
-def place(df: DataFrame, key: Column, shards: list[str], slots: int = SLOTS, weights: list[int] | None = None, slot: str = "slot", shard: str = "shard") -> DataFrame:
+def salted(df: DataFrame, key: Column, salts: int) -> Column:
+    """The key with a digest of the row below ``salts``; the key alone if that is 1."""
+    if salts < 1:
+        raise ValueError("salts: less than 1")
+    if salts == 1:
+        return key
+    whole = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    return F.concat(F.coalesce(key.cast("string"), F.lit("\x00null")), F.lit("\x00"), F.pmod(F.xxhash64(*whole), F.lit(salts)).cast("string"))
+
+
+def place(df: DataFrame, key: Column, shards: list[str], slots: int = SLOTS, weights: list[int] | None = None, slot: str = "slot", shard: str = "shard", salts: int = 1) -> DataFrame:
     """The input's columns, the row's slot and the index of its shard."""
     spark, owner = df.sparkSession, lookup_table(shards, slots, weights)
     entries = spark.createDataFrame(list(enumerate(owner)), "__slot long, __shard int")
-    keyed = df.select(F.struct(*df.columns).alias("__row"), slot_of(key, slots).alias("__slot"))
+    keyed = df.select(F.struct(*df.columns).alias("__row"), slot_of(salted(df, key, salts), slots).alias("__slot"))
     placed = keyed.join(F.broadcast(entries), "__slot")  # slots rows of two numbers
     return placed.select(*(F.col("__row")[c].alias(c) for c in df.columns), F.col("__slot").alias(slot), F.col("__shard").alias(shard))
 
 
-def write_shards(df: DataFrame, key: Column, shards: list[str], path: str, files_per_shard: int = 1) -> None:
+def write_shards(df: DataFrame, key: Column, shards: list[str], path: str, files_per_shard: int = 1, salts: int = 1) -> None:
     """One folder for each shard; a row goes to the task of its slot at once, by number and not by another hash."""
     n = len(shards) * files_per_shard
-    placed = place(df, key, shards, slot="__slot", shard="__shard")
+    placed = place(df, key, shards, slot="__slot", shard="__shard", salts=salts)
     task = F.col("__shard") * files_per_shard + (F.col("__slot") % files_per_shard).cast("int")
     names = F.element_at(F.array(*map(F.lit, shards)), F.col("__shard") + 1)
     placed.repartitionById(n, task.cast("int")).withColumn("shard", names).drop("__slot", "__shard").write.partitionBy("shard").parquet(path)
