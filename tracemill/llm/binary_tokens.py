@@ -35,8 +35,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.bpe import Encoder, Splitter, tokenizer_path
-from tracemill.llm.common import map_in_arrow, scratch, table, text_or_empty, written
+from tracemill.llm.bpe import CACHE_BYTES, Encoder, Kept, Splitter, tokenizer_path
+from tracemill.llm.common import map_in_arrow, scratch, strings, table, text_or_empty, written
 
 MAGIC = b"TMTOKENS"
 BLOCK = 1 << 16
@@ -156,26 +156,23 @@ class TokenFile:
 class LibraryEncoder(Encoder):
     """Ids by the tokenizers library, each distinct word asked for once; a chunk is kept as its ids' bytes."""
 
-    def __init__(self, path: str):
-        self.splitter, self.limit, self.kept, self.pieces = Splitter(path), 700_000, {}, {}
+    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
+        self.splitter, self.kept, self.pieces = Splitter(path), Kept(cache_bytes), Kept(cache_bytes)
         self.simple = re.compile("[!-;=-~À-ÖØ-öø-ÿß]+")  # no "<", with which the special tokens begin
 
     def learn(self, chunks: set[bytes]) -> None:
-        split, library = self.splitter, self.splitter.library
-        model, pieces = library.model, self.pieces
-        if len(pieces) > 400_000:
-            pieces.clear()
+        split, library, model = self.splitter, self.splitter.library, self.splitter.library.model
+        cut: dict[bytes, list[str]] = {}
         for c in chunks:
             text = c.decode()
             if split.known and self.simple.fullmatch(text):
-                out = []
-                for p in split._plain(text):
-                    if (ids := pieces.get(p)) is None:
-                        ids = pieces[p] = np.array([t.id for t in model.tokenize(p)], "<u4").tobytes()
-                    out.append(ids)
-                self.kept[c] = b"".join(out)
+                cut[c] = split._plain(text)
             else:
-                self.kept[c] = np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                self.kept.put(c, np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
+        for p in self.pieces.missing({p for ps in cut.values() for p in ps}):
+            self.pieces.put(p, np.array([t.id for t in model.tokenize(p)], "<u4").tobytes())
+        for c, ps in cut.items():
+            self.kept.put(c, b"".join([self.pieces[p] for p in ps]))
 
 
 _LIBRARY: dict[str, LibraryEncoder] = {}
@@ -225,7 +222,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, files: int, end_id: in
             if out is None:
                 name = b["__file"][0].as_py()
                 out, first = Writer(f"{folder}/{name:08d}.tok", vocabulary), b["doc_id"][0].as_py()
-            for doc, chunks in zip(b["doc_id"].to_pylist(), e.texts(b["text"].to_pylist()), strict=True):
+            for doc, chunks in zip(b["doc_id"].to_pylist(), e.texts(strings(b["text"])), strict=True):
                 out.add(_NULL_ID if doc is None else doc, np.frombuffer(b"".join(chunks) + end, "<u4"))
         if out is not None:
             n_docs = len(out.docs)

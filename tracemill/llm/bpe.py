@@ -22,14 +22,16 @@ import hashlib
 import heapq
 import json
 import re
+import struct
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tracemill.llm.common import map_in_arrow, table, text_or_empty
+from tracemill.llm.common import map_in_arrow, strings, table, text_or_empty
 
 #: White-space-free stretches of printable ASCII and composed Latin-1 letters: lower-casing and
 #: splitting them needs no tables of Unicode.
@@ -37,8 +39,11 @@ _SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿß]+")
 _PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 #: The file's normaliser and splitter that _SIMPLE and _PIECES stand for; others take the library's.
 _KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHE_WORDS = 700_000
-CACHE_PIECES = 400_000
+#: Bytes, about, that a worker keeps for chunks and for pieces that it has seen; longer ones than LONG_ENTRY aren't kept.
+CACHE_BYTES = 40 << 20
+LONG_ENTRY = 256
+#: Characters of text whose chunks are encoded together.
+BATCH_CHARS = 1 << 20
 _NEVER = np.iinfo(np.int64).max
 
 
@@ -233,50 +238,89 @@ class Vocabulary:
         return proposals
 
 
+@lru_cache(maxsize=2)
+def vocabulary(path: str) -> Vocabulary:
+    """One for all encoders of a worker."""
+    return Vocabulary(path)
+
+
+class Kept(dict):
+    """What a worker keeps, in two generations of half the bytes each: what is met again moves to the young one,
+    and when that is full the old one goes. Long keys stay until the next ``settle`` only."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.limit, self.old, self.size, self.long = limit, {}, 0, []
+
+    def missing(self, keys: set) -> set:
+        """Those of the keys that are unknown; the known ones are in the young generation then."""
+        new = keys.difference(self)
+        if self.old:
+            for k in [k for k in new if k in self.old]:
+                self.put(k, self.old.pop(k))
+                new.discard(k)
+        return new
+
+    def put(self, key, value) -> None:
+        self[key] = value
+        if len(key) > LONG_ENTRY:
+            self.long.append(key)
+        else:
+            self.size += 250 + 5 * len(key)  # two objects, their parts, and their slot
+
+    def settle(self) -> None:
+        """Ends a batch: only now may something go."""
+        for k in self.long:
+            self.pop(k, None)
+        self.long = []
+        if self.size > self.limit // 2:
+            self.old = dict(self)
+            self.clear()
+            self.size = 0
+
+
 class Encoder:
     """Encodes texts; ``render`` turns a chunk's ids into what is kept for it, ready to be joined."""
 
-    def __init__(self, path: str, render: Callable[[list[int]], object], limit: int = CACHE_WORDS):
-        self.splitter, self.render, self.limit = Splitter(path), render, limit
-        self.vocabulary = Vocabulary(path)
-        self.kept: dict[bytes, object] = {}
-        self.pieces: dict[str, list[int]] = {}
+    def __init__(self, path: str, render: Callable[[list[int]], object], cache_bytes: int = CACHE_BYTES):
+        self.splitter, self.render = Splitter(path), render
+        self.vocabulary = vocabulary(path)
+        self.kept, self.pieces = Kept(cache_bytes), Kept(cache_bytes)
 
     def learn(self, chunks: set[bytes]) -> None:
         """Encodes the chunks that aren't kept yet, their distinct pieces at once."""
-        if len(self.kept) + len(chunks) > self.limit:
-            self.kept.clear()
         split = {c: self.splitter.pieces(c.decode()) for c in chunks}
-        if len(self.pieces) > CACHE_PIECES:
-            self.pieces.clear()
-        words = list({p for ps in split.values() for p in ps if isinstance(p, str)}.difference(self.pieces))
-        self.pieces.update(zip(words, self.vocabulary.encode_words(words), strict=True))
+        words = list(self.pieces.missing({p for ps in split.values() for p in ps if isinstance(p, str)}))
+        for w, ids in zip(words, self.vocabulary.encode_words(words), strict=True):
+            self.pieces.put(w, ids)
         ids, render = self.pieces, self.render
         for c, ps in split.items():
-            self.kept[c] = render(ids[ps[0]] if len(ps) == 1 and ps[0] in ids else [i for p in ps for i in ([p] if isinstance(p, int) else ids[p])])
+            self.kept.put(c, render(ids[ps[0]] if len(ps) == 1 and ps[0] in ids else [i for p in ps for i in ([p] if isinstance(p, int) else ids[p])]))
 
-    def texts(self, texts: list[str | None], batch_bytes: int = 1 << 22) -> Iterator[list]:
+    def texts(self, texts: Iterable[str | None], batch_chars: int = BATCH_CHARS) -> Iterator[list]:
         """For each text, what is kept for its chunks in order."""
         block: list[list[bytes]] = []
         size = 0
-        for k, t in enumerate(texts):
+        for t in texts:
             block.append((t or "").encode("utf-8", "replace").split())
             size += len(t or "")
-            if size >= batch_bytes or k == len(texts) - 1:
-                seen = {c for chunks in block for c in chunks}
-                new = seen.difference(self.kept)
-                if len(self.kept) + len(new) > self.limit:
-                    self.kept.clear()
-                    new = seen
-                self.learn(new)
-                for chunks in block:
-                    yield [self.kept[c] for c in chunks]
+            if size >= batch_chars:
+                yield from self._block(block)
                 block, size = [], 0
+        yield from self._block(block)
 
+    def _block(self, block: list[list[bytes]]) -> Iterator[list]:
+        self.learn(self.kept.missing({c for chunks in block for c in chunks}))
+        kept = self.kept
+        for chunks in block:
+            yield [kept[c] for c in chunks]
+        self.kept.settle()
+        self.pieces.settle()
 
-def decimal_and_tokens(vocabulary_text: list[str]) -> Callable[[list[int]], tuple[bytes, bytes]]:
-    """Renders ids as their decimals and as their tokens, joined by one space."""
-    return lambda ids: (" ".join(map(str, ids)).encode(), " ".join([vocabulary_text[i] for i in ids]).encode())
+
+def rendered(vocabulary_text: list[str]) -> Callable[[list[int]], tuple[bytes, bytes, bytes]]:
+    """Renders ids as little-endian numbers, and as their decimals and their tokens, each joined by one space."""
+    return lambda ids: (struct.pack(f"<{len(ids)}I", *ids), " ".join(map(str, ids)).encode(), " ".join([vocabulary_text[i] for i in ids]).encode())
 
 
 def decode(vocabulary_text: list[str], ids: list[int]) -> str:
@@ -284,49 +328,53 @@ def decode(vocabulary_text: list[str], ids: list[int]) -> str:
     return " ".join([vocabulary_text[i] for i in ids if i < len(vocabulary_text)])
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder for each file in a worker, so that its cache outlives a task."""
+    e = Encoder(path, list)
+    e.render = rendered(e.vocabulary.text)
+    return e
 
 
-def encoder(path: str, kind: str) -> Encoder:
-    """One encoder for each file and kind in a worker, so that its cache outlives a task."""
-    if (path, kind) not in _ENCODERS:
-        e = Encoder(path, lambda ids: ids)
-        if kind == "digest":
-            e.render = decimal_and_tokens(e.vocabulary.text)
-        _ENCODERS[path, kind] = e
-    return _ENCODERS[path, kind]
+#: Rows that are encoded before their results are sent on.
+ROWS = 1024
 
 
-def encode(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The general operator: doc_id, ids and the decoded text of every row."""
-    rows = docs.select(docs[id_column].cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
+def encode(docs: DataFrame, path: str, ids: bool = True, decoded: bool = True, digests: bool = True) -> DataFrame:
+    """doc_id and n_tokens of every row and, as wanted, its ids, the decoded text, and the digests of both."""
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    fields = [("doc_id", pa.int64()), ("n_tokens", pa.int64())]
+    fields += [("ids", pa.list_(pa.int32()))] * ids + [("decoded", pa.string())] * decoded + [("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] * digests
+    shape = pa.schema(fields)
+
+    def part(b: pa.RecordBatch) -> pa.RecordBatch:
+        numbers, counts, texts, of_ids, of_text = [], [], [], [], []
+        for chunks in encoder(path).texts(strings(b["text"])):
+            chunks = [c for c in chunks if c[0]]  # a chunk may hold nothing that the normaliser keeps
+            numbers.append(b"".join([c[0] for c in chunks]))
+            counts.append(len(numbers[-1]) // 4)
+            text = b" ".join([c[2] for c in chunks]) if decoded or digests else b""
+            if digests:
+                of_ids.append(hashlib.sha256(b" ".join([c[1] for c in chunks])).hexdigest())
+                of_text.append(hashlib.sha256(text).hexdigest())
+            texts.append(text.decode() if decoded else "")
+        flat = pa.array(np.frombuffer(b"".join(numbers), "<i4")) if ids else None
+        starts = pa.array(np.cumsum([0, *counts]), pa.int32())
+        found = {"doc_id": b["doc_id"], "n_tokens": counts, "ids": ids and pa.ListArray.from_arrays(starts, flat), "decoded": texts, "ids_sha256": of_ids, "decoded_sha256": of_text}
+        return pa.RecordBatch.from_arrays([x if isinstance(x := found[f.name], pa.Array) else pa.array(x, f.type) for f in shape], schema=shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, "ids")
         for b in batches:
-            ids = [[i for c in chunks for i in c] for chunks in e.texts(b["text"].to_pylist())]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(ids, pa.list_(pa.int32())), pa.array([decode(e.vocabulary.text, x) for x in ids])], ["doc_id", "ids", "decoded"])
+            for k in range(0, b.num_rows, ROWS):
+                yield part(b.slice(k, ROWS))
 
-    return map_in_arrow(rows, run, "doc_id long, ids array<int>, decoded string")
+    names = {pa.int64(): "long", pa.string(): "string", pa.list_(pa.int32()): "array<int>"}
+    return map_in_arrow(rows, run, ", ".join(f"{name} {names[kind]}" for name, kind in fields))
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens and the digests of the ids and of the decoded text, for every row."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(path, "digest")
-        for b in batches:
-            n, ids, decoded = [], [], []
-            for chunks in e.texts(b["text"].to_pylist()):
-                chunks = [c for c in chunks if c[0]]
-                numbers = b" ".join([c[0] for c in chunks])
-                n.append(numbers.count(b" ") + bool(numbers))
-                ids.append(hashlib.sha256(numbers).hexdigest())
-                decoded.append(hashlib.sha256(b" ".join([c[1] for c in chunks])).hexdigest())
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-
-    return map_in_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encode(docs, path, ids=False, decoded=False)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,5 +382,9 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last one: the token counts and digests of every document that is left."""
-    return digests(docs, tokenizer_path())
+    """Pipeline stage, the last one: the ids of every document that is left, their number, and the digests.
+
+    A row for each row, repeated ones included; a null doc_id stays null; a null, empty or blank text has no ids;
+    texts of any length are encoded whole; no row of an empty table; further columns of any name are left out.
+    """
+    return encode(docs, tokenizer_path(), decoded=False)

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,18 +22,49 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession, purpose: str) -> str:
-    """A new folder's path under the shared ``spark.checkpoint.dir``; where it is unset, a local one is set."""
+def scratch(spark: SparkSession, purpose: str, kept: bool = False) -> str:
+    """A new folder's path under the shared ``spark.checkpoint.dir``; kept: it outlives the innermost scope.
+
+    Where that is unset, a local folder is set, but only under a local master: on a cluster, executors would
+    write to disks of their own and rows would be missing.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir is not set, and {master} has no folder that all executors share")
         if not (root := getattr(spark, "_tracemill_scratch", None)):
             root = spark._tracemill_scratch = "file://" + tempfile.mkdtemp(prefix="tracemill-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    if len(_SCOPES) > kept:
+        _SCOPES[-1 - kept].append(path)
+    return path
+
+
+#: Folders made since each of the open scopes began.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Folders that are made inside go at the end: what is to stay must have been written outside of them by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        discard(spark, *_SCOPES.pop())
+
 
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Deletes scratch folders, through Spark's own file systems."""
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+
+def written(df: DataFrame, purpose: str, kept: bool = False) -> DataFrame:
     """The rows, written to the shared folder and read again: the lineage ends there, and a lost executor costs nothing."""
-    path = scratch(df.sparkSession, purpose)
+    path = scratch(df.sparkSession, purpose, kept)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -43,6 +77,20 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
+def strings(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The column's values one by one; only ``rows`` of them are Python's at a time."""
+    for k in range(0, len(column), rows):
+        yield from column.slice(k, rows).to_pylist()
+
+
 def map_in_arrow(df: DataFrame, run, schema: str) -> DataFrame:
+    """``df.mapInArrow``; a worker gives Arrow's spare memory back at the end of a task, as it stays for others."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import map_in_arrow, table, text_or_empty, written
+from tracemill.llm.common import map_in_arrow, strings, table, text_or_empty, written
 from tracemill.llm.components import components
 
 RADIUS = 4
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.array([fingerprint(t, shingle) for t in b["text"].to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, shingle) for t in strings(b["text"])], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps), b["th"]], ["doc_id", "fp", "th"])
 
     return map_in_arrow(rows, run, "doc_id long, fp long, th long")
