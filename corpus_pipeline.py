@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm import bpe, exact_dedup, mixing, quality, simhash
-from tracemill.llm.common import table, written
+from tracemill.llm.common import scratch_scope, table, written
 
 STAGES = [
     ("quality_rules", quality.filter_stage),
@@ -24,8 +24,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch_scope(spark):  # what a stage has written on its way goes when its result stands
+            docs = written(stage(spark, docs, sf_dir), name, kept=True)
+    return STAGES[-1][1](spark, docs, sf_dir)
