@@ -69,6 +69,30 @@ def written(df: DataFrame, purpose: str, kept: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def located(docs: DataFrame) -> DataFrame:
+    """doc (the row, as one column), file and row, where each row's content is found; no two rows share a place.
+
+    A plain scan, filtered or projected, has such places; whatever else may repeat rows is written first. The
+    input's columns may have any names, these three among them.
+    """
+    whole = F.struct(*docs.columns).alias("doc")
+    places = (F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    if _is_scan(docs) and "_metadata" not in map(str.lower, docs.columns):
+        return docs.select(whole, *places)
+    return written(docs.select(whole), "located").select("doc", *places)
+
+
+def _is_scan(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().analyzed()
+    while True:
+        name = plan.nodeName()
+        if name == "LogicalRelation" or name.startswith("Relation"):
+            return "parquet" in plan.simpleString(10).lower()
+        if name not in ("Project", "Filter", "SubqueryAlias"):
+            return False
+        plan = plan.children().head()
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import scratch, table, text_or_empty, written
+from tracemill.llm.common import located, scratch, table, text_or_empty, written
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Bits of the bitmap of repeated digests: 8 MB at most, in rows of 4 kB.
@@ -29,47 +29,29 @@ BITMAP_BITS = 1 << 26
 _ROW_BITS = 32768
 
 
-def located(docs: DataFrame) -> DataFrame:
-    """The input with __file and __row, where each row's content is found; an input that isn't a plain scan is written first."""
-    if {"__file", "__row"} <= set(docs.columns):
-        return docs
-    for d in (docs, None):
-        d = written(docs, "located") if d is None else d
-        try:
-            return d.select("*", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.row_index").alias("__row"))
-        except AnalysisException:
-            continue
-    raise ValueError("rows without a content locator")
-
-
 def digest(text: str = "text") -> Column:
     return F.unhex(F.sha2(text_or_empty(text), 256))
 
 
 def stream_state(spark: SparkSession, journal: str, files_per_batch: int | None = None) -> DataFrame:
-    """Streams the journal through the keyed state. Returns digest, keep (doc_id, file, row) and n: the state at the end."""
-    source = spark.read.parquet(journal)
+    """Streams the journal through the keyed state. Returns digest, keep (doc_id, file, row) and n: the state at the end.
+
+    The stream runs in a session of its own, so that its settings hold for no other query.
+    """
     out = scratch(spark, "dedup-state")
-    settings = {
-        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-        "spark.sql.streaming.noDataMicroBatches.enabled": "false",
-        # a store's log files take the space they need, not what RocksDB reserves for large ones
-        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        rows = spark.readStream.schema(source.schema)
-        rows = (rows if files_per_batch is None else rows.option("maxFilesPerTrigger", files_per_batch)).parquet(journal)
-        state = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count("*").alias("n"))
-        # a batch that runs again replaces what it wrote
-        write = lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-        query = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", scratch(spark, "dedup-stream")).trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    own = spark.newSession()
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    own.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    # a store's log files take the space they need, not what RocksDB reserves for large ones
+    own.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
+    rows = own.readStream.schema(own.read.parquet(journal).schema)
+    rows = (rows if files_per_batch is None else rows.option("maxFilesPerTrigger", files_per_batch)).parquet(journal)
+    state = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "file", "row")).alias("keep"), F.count("*").alias("n"))
+    # a batch that runs again replaces what it wrote
+    write = lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    query = state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", scratch(spark, "dedup-stream")).trigger(availableNow=True).start()
+    query.awaitTermination()
     shape = "digest binary, keep struct<doc_id: long, file: string, row: long>, n long"
     try:
         seen = spark.read.schema(shape).parquet(out)
@@ -92,17 +74,21 @@ def _collisions(docs: DataFrame, repeated: DataFrame) -> DataFrame:
 
 def exact_duplicates(docs: DataFrame, files_per_batch: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, file and row of every row."""
-    spark = docs.sparkSession
-    docs = located(docs)
+    return _classes(located(docs), files_per_batch)
+
+
+def _classes(places: DataFrame, files_per_batch: int | None = None) -> DataFrame:
+    spark = places.sparkSession
+    docs = places.select(F.col("doc.text").alias("text"), F.col("doc.doc_id").cast("long").alias("doc_id"), "file", "row")
     path = scratch(spark, "dedup-journal")
-    docs.select(digest().alias("digest"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__file").alias("file"), F.col("__row").alias("row")).write.parquet(path)
+    docs.select(digest().alias("digest"), "doc_id", "file", "row").write.parquet(path)
     journal = spark.read.parquet(path)
     state = written(stream_state(spark, path, files_per_batch), "dedup-classes")
     collided = written(_collisions(docs, state.where("n > 1").select("digest")), "dedup-collisions")
     own = F.struct("doc_id", "file", "row")
     found = journal.join(state, "digest").select("digest", "doc_id", "file", "row", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), own.eqNullSafe(F.col("keep")).alias("kept"))
     if not collided.isEmpty():
-        rows = docs.select(digest().alias("digest"), text_or_empty().alias("text"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__file").alias("file"), F.col("__row").alias("row")).join(collided, "digest", "left_semi")
+        rows = docs.select(digest().alias("digest"), text_or_empty().alias("text"), "doc_id", "file", "row").join(collided, "digest", "left_semi")
         by_text = written(rows.groupBy("digest", "text").agg(F.max(own).alias("keep"), F.count("*").alias("n")), "dedup-by-text")
         apart = rows.join(by_text, ["digest", "text"]).select("digest", "doc_id", "file", "row", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), own.eqNullSafe(F.col("keep")).alias("kept"))
         found = found.join(collided, "digest", "left_anti").unionByName(apart)
@@ -115,11 +101,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one row of each group of equal texts stays, that of the largest doc_id."""
-    columns = docs.columns
+    """Pipeline stage: one row of each group of equal texts stays, that of the largest doc_id.
+
+    Null texts are empty ones, and so copies of each other; a null doc_id is less than any other; of rows that
+    agree in both (repeated rows among them) the one with the last place in the files stays; texts of any length
+    are compared whole; no row of an empty table; further columns of any name are kept.
+    """
     rows = located(docs)
-    gone = written(exact_duplicates(rows).where("NOT kept").select(F.col("file").alias("__file"), F.col("row").alias("__row")), "dedup-gone")
-    return rows.join(gone, ["__file", "__row"], "left_anti").select(*columns)
+    gone = written(_classes(rows).where("NOT kept").select("file", "row"), "dedup-gone")
+    return rows.join(gone, ["file", "row"], "left_anti").select("doc.*")
 
 
 ORACLE_SQL = """

@@ -6,7 +6,7 @@ so no result depends on floating-point division. All features come from built-in
 
 Defined results: a null text has no words and fails the base rule; an empty table gives no rows;
 repeated rows are judged one by one; very long texts are judged whole (repeated windows are found
-by sorting a text's windows, n log n in its length); further columns of the input are ignored.
+by sorting a text's windows, n log n in its length); further columns of the input, of any name, decide nothing.
 """
 
 from __future__ import annotations
@@ -82,41 +82,43 @@ def _repeated_starts(s: Column) -> Column:
     return F.sort_array(F.array_compact(F.zip_with(s, as_either, lambda x, y: F.when(y, x["i"]))))
 
 
+COUNTS = ["one", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_ellipsis_lines", "n_stop_words", "n_repeat_words"]
+VERDICTS = ["base_failed", "failed_rules", "kept"]
+
+
 def features(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The input's columns with the counts that the rules name.
+    """doc (the row, as one column) and the counts that the rules name.
 
     Repeated windows: a text whose windows have distinct 64-bit hashes has none; in others, the
     windows themselves are sorted and compared, so that no hash decides.
     """
-    own = docs.columns
     long = lambda c: c.cast("long")
-    d = docs.withColumn("__text", text_or_empty(text))
-    d = d.select(*own, "__text", words_of(F.col("__text")).alias("__words"), F.filter(F.split("__text", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("__lines"))
-    w = F.col("__words")
-    d = d.withColumn("__hashes", _triples(w, lambda a, b: F.xxhash64(a, b)))
+    d = docs.select(F.struct(*docs.columns).alias("doc"), text_or_empty(text).alias("t"))
+    d = d.select("doc", "t", words_of(F.col("t")).alias("words"), F.filter(F.split("t", "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")).alias("lines"))
+    w = F.col("words")
+    d = d.withColumn("hashes", _triples(w, lambda a, b: F.xxhash64(a, b)))
     strings = _triples(w, lambda a, b: F.concat(a, F.lit(" "), b))
     indexed = F.transform(strings, lambda g, i: F.struct(g.alias("g"), i.alias("i")))
-    distinct = F.size(F.array_distinct("__hashes")) == F.size("__hashes")
-    d = d.withColumn("__sorted", F.when(~distinct, F.sort_array(indexed)))
-    d = d.withColumn("__starts", F.when(F.col("__sorted").isNotNull(), _repeated_starts(F.col("__sorted"))).otherwise(F.array().cast("array<int>")))
-    p = F.col("__starts")
+    distinct = F.size(F.array_distinct("hashes")) == F.size("hashes")
+    d = d.withColumn("sorted", F.when(~distinct, F.sort_array(indexed)))
+    d = d.withColumn("starts", F.when(F.col("sorted").isNotNull(), _repeated_starts(F.col("sorted"))).otherwise(F.array().cast("array<int>")))
+    p = F.col("starts")
     steps = F.zip_with(F.slice(F.concat(F.array(F.lit(-3)), p), 1, F.size(p)), p, lambda x, y: F.least(F.lit(3), y - x))
     return d.select(
-        *own,
+        "doc",
         F.lit(1).cast("long").alias("one"),
-        long(F.size("__words")).alias("n_words"),
-        long(F.length(F.array_join("__words", ""))).alias("word_chars"),
-        long(F.regexp_count("__text", F.lit(SYMBOLS))).alias("n_symbols"),
-        long(F.size("__lines")).alias("n_lines"),
-        long(F.size("__lines") - F.size(F.array_distinct("__lines"))).alias("n_dup_lines"),
-        long(F.size(F.filter("__lines", lambda x: x.endswith("...") | x.endswith("…")))).alias("n_ellipsis_lines"),
-        long(F.size(F.filter("__words", lambda x: F.lower(x).isin(STOP_WORDS)))).alias("n_stop_words"),
+        long(F.size("words")).alias("n_words"),
+        long(F.length(F.array_join("words", ""))).alias("word_chars"),
+        long(F.regexp_count("t", F.lit(SYMBOLS))).alias("n_symbols"),
+        long(F.size("lines")).alias("n_lines"),
+        long(F.size("lines") - F.size(F.array_distinct("lines"))).alias("n_dup_lines"),
+        long(F.size(F.filter("lines", lambda x: x.endswith("...") | x.endswith("…")))).alias("n_ellipsis_lines"),
+        long(F.size(F.filter("words", lambda x: F.lower(x).isin(STOP_WORDS)))).alias("n_stop_words"),
         long(F.aggregate(steps, F.lit(0), lambda a, x: a + x)).alias("n_repeat_words"),
     )
 
 
-def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The input's columns, the counts, base_failed, failed_rules and kept."""
+def _judged(docs: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
     f = features(docs, text)
     any_of = lambda rs: reduce(Column.__or__, (r.fails() for r in rs))
     f = f.withColumn("base_failed", any_of(BASE))
@@ -124,6 +126,14 @@ def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES)
     return f.withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
+def judge(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The input's columns, the counts, base_failed, failed_rules and kept; an input's column that bears the name
+    of one of these is left out for it."""
+    made = {*COUNTS, *VERDICTS}
+    own = [F.col("doc")[c].alias(c) for c in docs.columns if c.lower() not in made]
+    return _judged(docs, text, rules).select(*own, *COUNTS, *VERDICTS)
+
+
 OUT = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
@@ -134,13 +144,14 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def filter_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go.
 
+    A null, empty or blank text has no words and goes, whatever else its row holds; texts of any length are judged
+    whole; repeated rows are judged one by one; no row of an empty table; further columns of any name are kept.
+
     The optimizer would push the verdict's filter below the projections and so write out every feature anew
     wherever a rule names it; a column that it may not move keeps the filter where it is.
     """
-    columns = docs.columns
-    packed = docs.select(F.col("text").alias("text"), F.struct(*columns).alias("__row"))
-    judged = judge(packed).withColumn("__task", F.spark_partition_id())
-    return judged.where(F.col("kept") & (F.col("__task") >= 0)).select(*(F.col("__row")[c].alias(c) for c in columns))
+    judged = _judged(docs, "text", RULES).withColumn("task", F.spark_partition_id())
+    return judged.where(F.col("kept") & (F.col("task") >= 0)).select("doc.*")
 
 
 _WORD = r"[\x20\x09-\x0D]+"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import map_in_arrow, strings, table, text_or_empty, written
+from tracemill.llm.common import located, map_in_arrow, strings, table, text_or_empty, written
 from tracemill.llm.components import components
 
 RADIUS = 4
@@ -61,16 +61,17 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a signed number) and th (a hash of the text) of every row."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty("text").alias("text"), F.xxhash64(text_or_empty("text")).alias("th"))
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, and fp (the bits of the text's fingerprint as a signed number) of every row."""
+    kept = ["doc_id", *keep]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, text_or_empty().alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.array([fingerprint(t, shingle) for t in strings(b["text"])], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fps), b["th"]], ["doc_id", "fp", "th"])
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in kept), pa.array(fps)], [*kept, "fp"])
 
-    return map_in_arrow(rows, run, "doc_id long, fp long, th long")
+    return map_in_arrow(rows, run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text") + ", fp long")
 
 
 # The trees. Arrays over the fingerprints of a task, all shards together.
@@ -210,15 +211,15 @@ def _stars(batches: Iterator[pa.RecordBatch], at_once: int = 200_000) -> Iterato
         yield flush(np.concatenate(keys), np.concatenate(fps))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, th, root (the component's least fingerprint), component_id and group_size of every row."""
-    fps = written(fingerprints(docs, shingle), "fingerprints")
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns to keep, fp, root (the component's least fingerprint), component_id and group_size of every row."""
+    fps = written(fingerprints(docs, shingle, keep), "fingerprints")
     nodes = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     roots = components(links(nodes.select("fp")))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "n", F.coalesce("root", "fp").alias("root"))
     groups = written(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("n").alias("group_size")), "groups")
     named = written(rooted.join(groups, "root").select("fp", "root", "component_id", "group_size"), "named")
-    return fps.join(named, "fp").select("doc_id", "fp", "th", "root", "component_id", "group_size")
+    return fps.join(named, "fp")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -231,12 +232,18 @@ def op3_simhash_bk_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component, the document of the smallest doc_id stays (of several such rows, that of the least text hash)."""
-    found = near_duplicates(docs.select("doc_id", "text"))
-    rows = written(found.where("group_size > 1"), "grouped")
-    keep = written(rows.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("x")).select(F.col("root").alias("__c"), F.col("x.doc_id").alias("__id"), F.col("x.th").alias("__th")), "kept")
-    mine = (rows["root"] == keep["__c"]) & rows["doc_id"].eqNullSafe(keep["__id"]) & (rows["th"] == keep["__th"])
+    """Pipeline stage: of each component, one document stays: that of the smallest doc_id.
+
+    A null doc_id is less than any other; of rows that agree in it the one with the least text hash stays, and of
+    repeated rows the one with the first place in the files. Null, empty and blank texts have the fingerprint 0 and
+    so are copies of each other; texts of any length are read whole; no row of an empty table; further columns of
+    any name are kept.
+    """
+    places = located(docs)
+    rows = places.select(F.col("doc.doc_id").alias("doc_id"), F.col("doc.text").alias("text"), F.xxhash64(text_or_empty("doc.text")).alias("th"), "file", "row")
+    grouped = written(near_duplicates(rows, keep=("th", "file", "row")).where("group_size > 1").select("root", "doc_id", "th", "file", "row"), "grouped")
+    own = F.struct("doc_id", "th", "file", "row")
+    keep = grouped.groupBy("root").agg(F.min(own).alias("keep"))
     # the rows that go are few; texts move only where they are too many to broadcast
-    gone = written(rows.join(keep, mine, "left_anti").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct(), "gone")
-    same = docs["doc_id"].eqNullSafe(gone["__id"]) & (F.xxhash64(text_or_empty("text")) == gone["__th"])
-    return docs.join(gone, same, "left_anti")
+    gone = written(grouped.join(keep, "root").where(~own.eqNullSafe(F.col("keep"))).select("file", "row"), "gone")
+    return places.join(gone, ["file", "row"], "left_anti").select("doc.*")
