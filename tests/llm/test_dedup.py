@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tracemill.llm import components, exact_dedup, simhash, substring_dedup
@@ -159,3 +160,55 @@ def test_substring_dedup_against_brute_force(spark, monkeypatch):
     assert substring_dedup.remove_repeats(docs.limit(0)).count() == 0
     full = substring_dedup.remove_repeats(docs).where("doc_id = 201").first()
     assert full["n_removed"] == sum(s["end"] - s["start"] for s in full["removed"])
+
+
+def test_one_short_phrase_in_every_text(spark, monkeypatch):
+    # a phrase shorter than a window puts all its windows on one anchor; they are spread over shards
+    rng = random.Random(9)
+    phrase = " ".join(f"p{k}" for k in range(15))
+    word = lambda: f"{rng.randrange(10**9):x}"
+    rows = [(k, " ".join([*(word() for _ in range(30)), phrase, *(word() for _ in range(30))])) for k in range(300)]
+    rows += [(1000 + k, rows[k][1]) for k in range(0, 300, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 400)
+    monkeypatch.setattr(substring_dedup, "HOT", 16)
+    assert sorted(map(tuple, substring_dedup.remove_repeats(docs, full=False).collect()), key=str) == _substring(rows)
+    folder, sizes = substring_dedup.scratch(spark, "hot"), []
+    first = substring_dedup._answered(substring_dedup.map_in_arrow(substring_dedup._index(docs, folder, 32, 0).repartitionById(32, "shard"), substring_dedup._answer_anchors(16), substring_dedup.SENT))
+    for r in substring_dedup.map_in_arrow(first, substring_dedup._windows(folder, 32, 0), substring_dedup.SENT).groupBy("shard").agg(F.sum(F.length("payload")).alias("n")).collect():
+        sizes.append(r["n"])
+    assert max(sizes) < 3 * sum(sizes) / 32
+
+
+def test_words_decide_not_hashes(spark, monkeypatch):
+    """Hashes of a few bits take different words for equal; the words show it, and other hashes are tried."""
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(25))) for k in range(6)] + [(9, " ".join(f"w1x{j}" for j in range(25)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(substring_dedup, "BLOCK_WORDS", 20)
+    seen, parse = [], substring_dedup._parsed
+
+    def poor(docs, folder, shards, full, seed):
+        """Under the first seed, the claim of document 9 is moved to the document before the one that it repeats."""
+        good = parse(docs, folder, shards, full, seed)
+        seen.append(seed)
+        if seed:
+            return good
+        other = good.select(F.explode("claims").alias("c")).select("c.ref").first()["ref"]
+        moved = F.transform("claims", lambda c: F.struct(F.lit(other).alias("ref"), (c["word"] + 1).alias("word"), c["size"].alias("size"), c["digest"].alias("digest")))
+        return substring_dedup.written(good.withColumn("claims", moved), "poor")
+
+    monkeypatch.setattr(substring_dedup, "_parsed", poor)
+    got = substring_dedup.remove_repeats(docs, full=False).collect()
+    assert seen == [0, 1] and sorted(map(tuple, got), key=str) == _substring(rows)
+    monkeypatch.setattr(substring_dedup, "SEEDS", 1)
+    with pytest.raises(RuntimeError):
+        substring_dedup.remove_repeats(docs, full=False)
+
+
+def test_factors_follow_a_reference():
+    passage = [f"p{k}" for k in range(60)]
+    texts = [" ".join(passage), " ".join(["a", *passage[5:40], "b", *passage[30:55], *passage[:22]])]
+    block = substring_dedup.Block([1, 2], texts)
+    inside = block.first_inside()
+    start, size, of, to = (x.tolist() for x in substring_dedup.factors(block, np.where(inside >= 0, 0, -1), inside))
+    assert list(zip(start, size, to, strict=True)) == [(61, 35, 5), (97, 25, 30), (122, 22, 0)] and set(of) == {0}
