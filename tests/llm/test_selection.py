@@ -161,6 +161,10 @@ def test_article_text():
     assert html_extract.extract_group([1], [PAGE]) == ["A & B One two three 4 <x> a b"]
 
 
+def test_header_of_an_article_goes():
+    assert html_extract.extract_group([1], ["<article><header><p>by someone</p></header><h1>Title</h1><p>text</p></article>"]) == ["Title text"]
+
+
 def test_pages_without_an_article():
     pages = [
         "<body><div>Home About Contact Us Now Here</div><div>Story one &amp; only</div><div class=comments>bad</div>",
@@ -212,6 +216,35 @@ def test_repeats_over_a_whole_host(spark):
     assert html_extract.extract_group(list(range(80)), [r[2] for r in rows[:80]]) == [t for _, t in want[:80]]
 
 
+def test_unique_runs_stay_by_brute_force(spark):
+    """The whole operator on pages without an article, against a search of every window in every page of the host."""
+    import random
+
+    rng = random.Random(11)
+    phrases = [" ".join(rng.choices("abcde", k=rng.randint(4, 9))) for _ in range(12)]
+    texts = []
+    for _ in range(60):
+        texts.append([" ".join(rng.choices([*phrases, *(f"u{rng.randrange(10**6)}" for _ in range(6))], k=rng.randint(1, 4))) for _ in range(rng.randint(1, 4))])
+    hosts = [f"h{k % 3}" for k in range(60)]
+    rows = [(k, f"http://{h}/{k}", "".join(f"<nav>{b}</nav>" if j == 2 else f"<div>{b}</div>" for j, b in enumerate(bs))) for k, (h, bs) in enumerate(zip(hosts, texts, strict=True))]
+    seen, streams, n = collections.defaultdict(set), [], html_extract.LONG
+    for k, bs in enumerate(texts):
+        stream = [("", None)]
+        for j, b in enumerate(bs):
+            stream += [(w, j) for w in b.split(" ")] + [("", None)]
+        streams.append(stream)
+        for i in range(len(stream) - n + 1):
+            seen[hosts[k], tuple(w for w, _ in stream[i : i + n])].add(k)
+    want = []
+    for k, stream in enumerate(streams):
+        gone = {i + m for i in range(len(stream) - n + 1) for m in range(n) if len(seen[hosts[k], tuple(w for w, _ in stream[i : i + n])]) > 1}
+        want.append((k, " ".join(w for i, (w, j) in enumerate(stream) if j is not None and j != 2 and i not in gone)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for parts in (2, 31):
+        assert sorted(map(tuple, html_extract.extract(pages.repartition(parts)).select("page_id", "text").collect())) == want
+    assert any(0 < len(t) < len(" ".join(b)) for (_, t), b in zip(want, texts, strict=True))
+
+
 def test_hot_key_is_salted(spark, tmp_path):
     docs = spark.createDataFrame([("hot", k) for k in range(900)] + [("hot", 5), (None, 1)], "source string, doc_id long")
     placed = sharding.place(docs, F.col("source"), sharding.shard_names(4), 1009, salts=16)

@@ -5,8 +5,8 @@ footers, sidebars, forms, adverts, notices and reader comments (by element, or b
 id) are chrome; blocks of an article element, or else of a main element, are the main text, all of them.
 Where a page has neither, its other blocks are open, and the host decides: of the token streams of chrome and
 open blocks of all pages of the host, the substrings of LONG tokens or more that distinct pages share are
-found, and an open block goes if such repeats cover half of it; unique runs stay. Repeats don't decide about
-articles: authors quote, and hosts publish copies, and both belong to the text.
+found, the tokens of open blocks that they cover go, and the unique runs between them stay. Repeats don't decide
+about articles: authors quote, and hosts publish copies, and both belong to the text.
 
 Html never moves for that. Each task reads its pages in groups of bounded size; a suffix array over a group
 gives its distinct windows of LONG tokens, and of each and its host 128 bits are sent with the least and the
@@ -132,7 +132,7 @@ def blocks(source: str) -> list[tuple[int, str]]:
             elif tag == "main" or role == "main":
                 now = max(place, MAIN)
             elif tag == "header":
-                now = OUT if place in (OPEN, MAIN) else place
+                now = OUT
             elif words & MARKS and tag not in ("html", "body"):
                 now = OUT
         if now != place:
@@ -201,10 +201,17 @@ def best(bs: list[tuple[int, str]]) -> int:
 
 
 def main_texts(found: list[list[tuple[int, str]]], spans: list[tuple[int, int, int, int]], repeat: np.ndarray) -> list[str]:
-    """The pages' main texts; repeat: which tokens repeats of the host cover."""
-    covered = np.r_[0, np.cumsum(repeat)]
-    common = {(k, j) for k, j, a, b in spans if 2 * (covered[b] - covered[a]) >= b - a}
-    return [" ".join([t for j, (p, t) in enumerate(bs) if p == best(bs) and (p > OPEN or (p == OPEN and (k, j) not in common))]) for k, bs in enumerate(found)]
+    """The pages' main texts; repeat: which tokens repeats of the host cover. Of open blocks the other tokens stay."""
+    unique = {(k, j): ~repeat[a:b] for k, j, a, b in spans} if len(repeat) else {}
+    texts = []
+    for k, bs in enumerate(found):
+        main, parts = best(bs), []
+        for j, (place, text) in enumerate(bs):
+            if place == main > OUT:
+                keep = unique.get((k, j)) if place == OPEN else None
+                parts.append(text if keep is None or keep.all() else " ".join([w for w, stays in zip(text.split(" "), keep.tolist(), strict=True) if stays]))
+        texts.append(" ".join([p for p in parts if p]))
+    return texts
 
 
 def extract_group(ids: list, sources: list[str]) -> list[str]:
