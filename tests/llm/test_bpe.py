@@ -104,3 +104,16 @@ def test_token_files(spark, path, library, tmp_path):
         start += len(ids)
     assert got == want
     assert binary_tokens.read_tokens(binary_tokens.write_tokens(docs.limit(0), f"file://{tmp_path}/e", path, 2), f"file://{tmp_path}/e").count() == 0
+
+
+def test_files_are_alike_whatever_the_ids(spark, path, tmp_path):
+    import os
+
+    least, most = -(1 << 63), (1 << 63) - 1
+    ids = [least, most, 4 * 10**18, *range(4000), *([None] * 2000), *([17] * 2000)]
+    docs = spark.createDataFrame([(d, f"text number {k} of these") for k, d in enumerate(ids)], "doc_id long, text string").repartition(5)
+    files = binary_tokens.write_tokens(docs, f"file://{tmp_path}/t", path, files=8)
+    sizes = [os.path.getsize(f"{tmp_path}/t/{n}") for n in os.listdir(tmp_path / "t")]
+    assert len(sizes) == 8 and max(sizes) < 2 * min(sizes)
+    got = [r["doc_id"] for r in binary_tokens.read_tokens(files, f"file://{tmp_path}/t").orderBy("start").collect()]
+    assert got == sorted(ids, key=lambda d: (d is not None, d or 0))

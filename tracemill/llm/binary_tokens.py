@@ -7,18 +7,18 @@ hold the vocabulary. Layout, all numbers little-endian:
     4 x u32   version, bits of an id, ids in a block, 0
     ...       blocks: each BLOCK ids (the last fewer), packed most significant bit first, padded to a byte
     footer    u64 block offsets (one more than blocks), i64 doc_ids, u64 first ids (one more than documents)
-    3 x u64   offset of the footer, number of blocks, number of documents
+    4 x u64   offset of the footer, numbers of blocks, of documents, and of those, the first ones, without a doc_id
 
 A block unpacks by itself with numpy (``unpack``); ``TokenFile.read(a, b)`` touches only the blocks
 that hold ids a to b. Files are written whole under a temporary name and renamed, so that a task that
 runs again after a lost executor replaces its own file and a reader never sees half of one.
 
-The folder is any URI that pyarrow.fs opens (file, hdfs, s3, gs). Placement: cut points over doc_id
-come from a histogram of doc_ids alone, every document is sent to the file of its range once, sorted
-there, encoded and written in a stream of blocks.
+The folder is any URI that pyarrow.fs opens (file, hdfs, s3, gs). Placement: Spark's range partitioner, by
+doc_id, sends every document to its file once; there it is sorted, encoded and written in a stream of blocks.
 
 Defined results: a null text is empty and holds the end id only; a null doc_id sorts first; rows of
-equal doc_id are all kept, in order of their text; an empty table makes no file and no row.
+equal doc_id are all kept, in order of the first 64 characters of their texts and then of the texts' hashes;
+an empty table makes no file and no row; further columns of any name are left out.
 """
 
 from __future__ import annotations
@@ -28,23 +28,23 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.bpe import CACHE_BYTES, Encoder, Kept, Splitter, tokenizer_path
-from tracemill.llm.common import map_in_arrow, scratch, strings, table, text_or_empty, written
+from tracemill.llm.common import located, map_in_arrow, scratch, strings, table, text_or_empty, written
 
 MAGIC = b"TMTOKENS"
 BLOCK = 1 << 16
 END_ID = 1
 #: Bytes of text that a file's ids come from, on average.
 FILE_TEXT_BYTES = 32 << 20
-#: Ranges of doc_id that the histogram tells apart, for each file.
-CUTS_PER_FILE = 64
 
 
 def width(vocabulary: int) -> int:
@@ -80,12 +80,14 @@ class Writer:
         self.part = f"{self.path}.{uuid.uuid4().hex}.part"
         self.out = self.fs.open_output_stream(self.part)
         self.out.write(MAGIC + struct.pack("<4I", 1, self.bits, BLOCK, 0))
-        self.offsets, self.docs, self.firsts = [24], [], [0]
+        self.offsets, self.docs, self.firsts, self.nulls = [24], [], [0], 0
         self.rest: list[np.ndarray] = []
         self.n_rest = 0
 
-    def add(self, doc_id: int, ids: np.ndarray) -> None:
-        self.docs.append(doc_id)
+    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
+        """Documents without a doc_id come first."""
+        self.nulls += doc_id is None
+        self.docs.append(doc_id or 0)
         self.firsts.append(self.firsts[-1] + len(ids))
         self.rest.append(ids)
         self.n_rest += len(ids)
@@ -105,7 +107,7 @@ class Writer:
         if self.n_rest:
             self._block(np.concatenate(self.rest))
         self.out.write(np.array(self.offsets, "<u8").tobytes() + np.array(self.docs, "<i8").tobytes() + np.array(self.firsts, "<u8").tobytes())
-        self.out.write(struct.pack("<3Q", self.offsets[-1], len(self.offsets) - 1, len(self.docs)))
+        self.out.write(struct.pack("<4Q", self.offsets[-1], len(self.offsets) - 1, len(self.docs), self.nulls))
         self.out.close()
         self.fs.move(self.part, self.path)
         return self.firsts[-1]
@@ -122,8 +124,8 @@ class TokenFile:
             raise ValueError(f"{uri} is no token file")
         _, self.bits, self.block, _ = struct.unpack("<4I", head[8:])
         size = self.file.size()
-        at, blocks, docs = struct.unpack("<3Q", self.file.read_at(24, size - 24))
-        footer = self.file.read_at(size - 24 - at, at)
+        at, blocks, docs, self.nulls = struct.unpack("<4Q", self.file.read_at(32, size - 32))
+        footer = self.file.read_at(size - 32 - at, at)
         self.offsets = np.frombuffer(footer, "<u8", blocks + 1)
         self.docs = np.frombuffer(footer, "<i8", docs, 8 * (blocks + 1))
         self.firsts = np.frombuffer(footer, "<u8", docs + 1, 8 * (blocks + 1 + docs)).astype(np.int64)
@@ -140,17 +142,17 @@ class TokenFile:
         ids = np.concatenate([self.read_block(k) for k in range(low, (end - 1) // self.block + 1)])
         return ids[first - low * self.block : end - low * self.block]
 
-    def documents(self) -> Iterator[tuple[int, int, np.ndarray]]:
+    def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """doc_id, first id and ids of every document, each block unpacked once."""
         k, held, at = -1, np.zeros(0, np.uint32), 0  # ids at to at + len(held) are unpacked
-        for doc, first, end in zip(self.docs.tolist(), self.firsts[:-1].tolist(), self.firsts[1:].tolist(), strict=True):
+        for n, (doc, first, end) in enumerate(zip(self.docs.tolist(), self.firsts[:-1].tolist(), self.firsts[1:].tolist(), strict=True)):
             parts = [held[first - at :]]
             while at + len(held) < end:
                 k, at = k + 1, at + len(held)
                 held = self.read_block(k)
                 parts.append(held)
             ids = np.concatenate(parts)[: end - first] if len(parts) > 1 else parts[0][: end - first]
-            yield doc, first, ids
+            yield None if n < self.nulls else doc, first, ids
 
 
 class LibraryEncoder(Encoder):
@@ -175,55 +177,35 @@ class LibraryEncoder(Encoder):
             self.kept.put(c, b"".join([self.pieces[p] for p in ps]))
 
 
-_LIBRARY: dict[str, LibraryEncoder] = {}
-
-
+@lru_cache(maxsize=2)
 def library_encoder(path: str) -> LibraryEncoder:
-    if path not in _LIBRARY:
-        _LIBRARY[path] = LibraryEncoder(path)
-    return _LIBRARY[path]
-
-
-def ranges(docs: DataFrame, files: int) -> list[int]:
-    """Ascending doc_ids at which a new file begins, from a histogram over all of them: at most files - 1."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
-    if low is None or files < 2:
-        return []
-    bins = files * CUTS_PER_FILE
-    step = max(1, -(-(high - low + 1) // bins))
-    found = docs.where("doc_id IS NOT NULL").groupBy(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(step)).alias("bin")).agg(F.count("*").alias("n"))
-    counts = sorted((int(r["bin"]), r["n"]) for r in found.collect())  # at most ``bins`` rows
-    each, seen, cuts = sum(n for _, n in counts) / files, 0, []
-    for b, n in counts:
-        if seen >= each * (len(cuts) + 1) and len(cuts) < files - 1:
-            cuts.append(low + b * step)
-        seen += n
-    return cuts
+    return LibraryEncoder(path)
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, files: int, end_id: int = END_ID) -> DataFrame:
-    """Encodes and writes all documents; a row for each file: file, first_doc, n_docs, n_ids, in the files' order."""
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    cuts = ranges(rows.select("doc_id"), files)
-    place = F.lit(0)
-    if cuts:  # the number of cut points that a doc_id has reached
-        bounds = F.array(*map(F.lit, cuts))
-        place = F.coalesce(F.aggregate(bounds, F.lit(0), lambda n, c: n + (F.col("doc_id") >= c).cast("int")), F.lit(0)) if len(cuts) < 64 else _bisect(cuts)
-    placed = rows.withColumn("__file", place.cast("int")).repartitionById(len(cuts) + 1, "__file").sortWithinPartitions("doc_id", "text")
+    """Encodes and writes all documents; a row for each file: file (its number), first_doc, n_docs, n_ids.
+
+    Spark's range partitioner cuts the order into about equal files. The order is that of doc_id, then of the
+    text's beginning and its hash, then of the row's place in the input, so that no doc_id, however many rows it
+    has, is a file by itself, and no cut depends on how doc_ids are spread.
+    """
+    kept = docs.select("doc_id", "text")
+    rows = located(kept).select(F.col("doc.doc_id").cast("long").alias("doc_id"), text_or_empty("doc.text").alias("text"), "file", "row")
+    order = ["doc_id", F.substring("text", 1, 64), F.xxhash64("text"), F.xxhash64("file"), "row"]
+    placed = rows.repartitionByRange(max(1, files), *order).sortWithinPartitions(*order).select("doc_id", "text")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = library_encoder(path)
         vocabulary = e.splitter.library.get_vocab_size(with_added_tokens=True)
-        out, name, first = None, None, None
+        out, name, first = None, TaskContext.get().partitionId(), None
         for b in batches:
             if not b.num_rows:
                 continue
             if out is None:
-                name = b["__file"][0].as_py()
                 out, first = Writer(f"{folder}/{name:08d}.tok", vocabulary), b["doc_id"][0].as_py()
             for doc, chunks in zip(b["doc_id"].to_pylist(), e.texts(strings(b["text"])), strict=True):
-                out.add(_NULL_ID if doc is None else doc, np.frombuffer(b"".join(chunks) + end, "<u4"))
+                out.add(doc, np.frombuffer(b"".join(chunks) + end, "<u4"))
         if out is not None:
             n_docs = len(out.docs)
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((name, pa.int64()), (first, pa.int64()), (n_docs, pa.int64()), (out.close(), pa.int64()))], ["file", "first_doc", "n_docs", "n_ids"])
@@ -232,41 +214,26 @@ def write_tokens(docs: DataFrame, folder: str, path: str, files: int, end_id: in
     return written(map_in_arrow(placed, run, "file long, first_doc long, n_docs long, n_ids long"), "token-files")
 
 
-_NULL_ID = -(1 << 63)
-
-
-def _bisect(cuts: list[int]):
-    """The number of cut points reached, by halving: log2 comparisons in nested conditions."""
-
-    def within(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        mid = (low + high) // 2
-        return F.when(F.col("doc_id") >= cuts[mid], within(mid + 1, high)).otherwise(within(low, mid))
-
-    return F.coalesce(F.when(F.col("doc_id").isNotNull(), within(0, len(cuts))), F.lit(0))
-
-
 def read_tokens(files: DataFrame, folder: str) -> DataFrame:
     """doc_id, start, n_tokens and the crc32 of the ids of every document, from the files alone."""
-    spark = files.sparkSession
-    found = sorted((r["file"], r["n_ids"]) for r in files.select("file", "n_ids").collect())  # a row for each file
-    starts = np.cumsum([0, *(n for _, n in found)]).tolist()
-    listed = spark.createDataFrame([(k, f, s) for k, ((f, _), s) in enumerate(zip(found, starts, strict=False))], "k int, file long, base long")
+    # over a row of two numbers for each file
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    listed = files.select("file", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long").alias("base"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, base in zip(b["file"].to_pylist(), b["base"].to_pylist(), strict=True):
                 rows: list[tuple] = []
                 for doc, first, ids in TokenFile(f"{folder}/{name:08d}.tok").documents():
-                    rows.append((None if doc == _NULL_ID else doc, base + first, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
+                    rows.append((doc, base + first, len(ids), zlib.crc32(ids.astype("<u4").tobytes())))
                     if len(rows) == 20_000:
                         yield _batch(rows)
                         rows = []
                 if rows:
                     yield _batch(rows)
 
-    return map_in_arrow(listed.repartitionById(max(1, len(found)), "k"), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    n = files.agg(F.max("file")).first()[0]
+    return map_in_arrow(listed.repartitionById(1 if n is None else n + 1, F.col("file").cast("int")), run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
