@@ -133,12 +133,12 @@ def test_toxicity(spark):
         w = rng.choices(neutral, k=60)
         for _ in range(n_bad):
             w.insert(rng.randrange(60), rng.choice(bad))
-        return " ".join(w)
+        return " ".join(x + "." * (k % 10 == 9) for k, x in enumerate(w))
 
     rows = [(k, text(0 if k % 4 else rng.randint(2, 8)), int(k % 4 == 0)) for k in range(600)]
     docs = spark.createDataFrame([r[:2] for r in rows] + [(900, None), (901, ""), (902, "vile rotten vile foulest"), (None, "nothing")], "doc_id long, text string")
     labels = spark.createDataFrame([(r[0], r[2]) for r in rows[:400]] + [(5000, 1), (3, None)], "doc_id long, toxic int")
-    model = toxicity.fit(*toxicity.labelled_sample(docs, labels))
+    model = toxicity.fit_sample(docs, labels)
     got = {r["doc_id"]: r for r in toxicity.score(docs, model).collect()}
     held = rows[400:]
     assert sum(got[k]["toxic"] == bool(y) for k, _, y in held) >= 0.97 * len(held)
@@ -146,10 +146,57 @@ def test_toxicity(spark):
     assert all(0 <= r["severity"] <= 2 for r in got.values()) and model.thresholds[0] < model.thresholds[1]
     many = [r["severity"] for k, r in got.items() if k is not None and k < 600 and k % 4 == 0]
     assert sum(many) / len(many) > 1
-    none = toxicity.score(docs, toxicity.fit(["a"], [0]))
+    none = toxicity.score(docs, toxicity.fit_sample(docs, labels.where("toxic = 0")))
     assert none.where("toxic OR severity <> 0").count() == 0
 
 
+def test_ordinal_fit_against_brute_force():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 5, (400, 1)).astype(np.float32)
+    score, noise = 1.3 * x[:, 0], rng.logistic(size=400)
+    grade = (score + noise > 2).astype(int) + (score + noise > 4)
+    # the gradient, by differences
+    at = np.array([0.7, 1.5, 3.1])
+    value, gradient = toxicity.loss(at[:1], at[1:], x, grade)
+    for k in range(3):
+        up, down = at.copy(), at.copy()
+        up[k], down[k] = up[k] + 1e-5, down[k] - 1e-5
+        assert gradient[k] == pytest.approx((toxicity.loss(up[:1], up[1:], x, grade)[0] - toxicity.loss(down[:1], down[1:], x, grade)[0]) / 2e-5, abs=1e-5)
+    # the likelihood, from its definition, and its maximum, by trying
+    p = lambda z: 1 / (1 + np.exp(-z))
+    over = np.stack([p(at[0] * x[:, 0] - at[1]), p(at[0] * x[:, 0] - at[2])], 1)
+    mine = np.where(grade == 0, 1 - over[:, 0], np.where(grade == 1, over[:, 0] - over[:, 1], over[:, 1]))
+    assert value == pytest.approx(-np.log(mine).mean() + toxicity.PENALTY / 2 * 0.49)
+    w, t = toxicity.fit(x, grade)
+    best = min(toxicity.loss(np.array([a]), np.array([b, c]), x, grade)[0] for a, b, c in itertools.product(np.arange(0.9, 1.8, 0.05), np.arange(1, 3, 0.1), np.arange(3, 5, 0.1)))
+    assert toxicity.loss(w, t, x, grade)[0] <= best + 1e-3 and t[0] < t[1]
+    m = toxicity.Model({"bad": float(w[0])}, (float(t[0]), float(t[1])))
+    for n in range(1, 5):
+        s = m.score(toxicity.Counter({"bad": n}))
+        assert m.severity(s) == pytest.approx([p(w[0] * n - t[0]), p(w[0] * n - t[1])])
+
+
+def test_grades_come_from_the_other_half(spark, monkeypatch):
+    sample = spark.createDataFrame(
+        [(True, 0, [["vile", "x"], ["rotten"], ["vile"]]), (True, 0, [["rotten"], ["x"]]), (True, 1, [["vile"], ["rotten"]]), (True, 1, [[]]), (False, 1, [["rotten"]] * 9)],
+        "toxic boolean, half int, sentences array<array<string>>",
+    )
+    # half 0 is graded by half 1's words and the other way round; the median toxic text has one toxic sentence
+    monkeypatch.setattr(toxicity, "tied_terms", lambda s: {1: ["vile", "vi-"], 0: ["rotten"]}[s.first()["half"]])
+    assert sorted((r["toxic"], r["half"], r["bad"], r["grade"]) for r in toxicity.graded(sample).collect()) == [(False, 1, 9, 0), (True, 0, 0, 1), (True, 0, 2, 2), (True, 1, 0, 1), (True, 1, 1, 2)]
+
+
+def test_sample_is_bounded(spark):
+    docs = spark.createDataFrame([(k, "same words") for k in range(6)] + [(2, "another text"), (0, "same words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 1), (2, 1), (3, 0), (4, 0), (4, None), (1, 1)], "doc_id long, toxic int")
+    assert sorted(r["toxic"] for r in toxicity.sample_terms(docs, labels).collect()) == [False, False, True, True, True]
+    assert toxicity.sample_terms(docs, labels, 2).count() == 2
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-sidebar">
 <nav><ul><li><a href=/>Home</a></li></ul></nav><!-- ad --><div class="ad">Buy <b>now</b></div><header><h1>Site</h1></header>
 <article><h1>A &amp;  B</h1><p><b>One<br>two<p>th<i>r</i>ee&nbsp;4 &lt;x&gt;</p><aside>side</aside><form>f<input></form><div class=cookie-notice>c</div>

@@ -2,17 +2,22 @@
 
 P(grade > k) = sigmoid(w . x - t_k), with one weight vector for all of the ordered thresholds t_1 < t_2.
 Features are the counts of the terms (words, and beginnings of words) that the labelled sample ties to
-toxic texts beyond chance, and the text's length. The severity grade of a labelled text is 0 if it
-is clean; of a toxic one 1 or 2, for as many hits of such terms as the median toxic text or for more.
-The output is the expected severity P(grade > 0) + P(grade > 1), the likeliest grade and the flag toxic.
+toxic texts beyond chance, and the text's length. The severity grade of a labelled text is 0 if it is clean; of a
+toxic one it is 2 if it has more toxic sentences than the median toxic text, else 1. Which sentences are toxic is
+told by words that the other half of the sample ties to toxic texts, so that no text helps to choose the words that
+grade it. The output is the expected severity P(grade > 0) + P(grade > 1), the likeliest grade and the flag toxic.
 
-Fitting takes a bounded sample of the labelled rows (SAMPLE of them, by a digest of the doc_id; an even
-split over grades isn't forced), on the driver; scoring reads every word of every document, in one pass
-without a shuffle. The model that scoring needs is a dictionary of at most FEATURES words.
+Fitting takes a bounded sample of the labelled documents (SAMPLE of them, by a digest of the doc_id; an even
+split over grades isn't forced). Their terms are counted, ranked and looked up on the executors; the driver
+gets at most FEATURES terms and, for each sampled document, its counts of these, and no text. Scoring reads
+every word of every document, in one pass without a shuffle; the model that it needs is a dictionary of at
+most FEATURES terms.
 
 Defined results: a text without any of the model's terms, such as a null or empty one, has severity 0; null labels
-and labels without a document aren't used for fitting; without a toxic and a clean label nothing is
-flagged and the severity is 0; repeated rows are scored one by one; texts are scored whole.
+and labels without a document aren't used for fitting; of several labels of a document the worst counts, and of
+several texts with its doc_id the least; without a toxic and a clean label nothing is flagged and the severity
+is 0; repeated rows are scored one by one; texts are scored whole, whatever their length; an empty table gives no
+rows; further columns of any name are left out.
 """
 
 from __future__ import annotations
@@ -28,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import map_in_arrow, table, text_or_empty
+from tracemill.llm.common import map_in_arrow, strings, table, text_or_empty, written
 
 #: Labelled rows at most that a fit takes; documented bound.
 SAMPLE = 4_000
@@ -42,6 +47,7 @@ HEAD, STEM = 4, 8
 #: Occurrences of a term beyond which further ones add nothing.
 MOST = 6
 _WORD = re.compile(r"[^\W\d_]+")
+_END = re.compile(r"[.!?\n]+")
 LENGTH = ""  # the term whose count is the text's number of words
 
 
@@ -75,59 +81,90 @@ class Model:
         return sum(self.weights[t] * value(t, counts[t]) for t in sorted(known))
 
 
-def fit(texts: list[str], toxic: list[int]) -> Model:
-    """The model of a labelled sample."""
-    y = np.array(toxic, bool)
-    if not y.any() or y.all():
-        return Model()
-    in_toxic, in_clean = Counter(), Counter()
-    for text, t in zip(texts, y, strict=True):
-        (in_toxic if t else in_clean).update(terms(_WORD.findall(text.lower())).keys())
-    n_toxic, n_clean = int(y.sum()), int((~y).sum())
-    # a term's log odds ratio over its standard error: chance ties stay out
-    ranked = []
-    for w in in_toxic.keys() | in_clean.keys():
-        a, b = in_toxic[w], in_clean[w]
-        if a + b >= MIN_TEXTS and w != LENGTH:
-            odds = math.log((a + 0.5) / (n_toxic - a + 0.5)) - math.log((b + 0.5) / (n_clean - b + 0.5))
-            error = math.sqrt(1 / (a + 0.5) + 1 / (n_toxic - a + 0.5) + 1 / (b + 0.5) + 1 / (n_clean - b + 0.5))
-            ranked.append((odds / error, odds, w))
-    ranked.sort(key=lambda x: (-x[0], x[2]))
-    chosen = [w for z, odds, w in ranked[:FEATURES] if z >= LEAST_Z and odds >= 1]
-    if not chosen:
-        return Model()
-    index = {w: k for k, w in enumerate(chosen)}
-    counts = [{w: n for w, n in terms(_WORD.findall(t.lower())).items() if w in index or w == LENGTH} for t in texts]
-    hits = np.array([sum(value(w, c[w]) for w in c.keys() & index.keys()) for c in counts])
-    grade = np.where(y, np.where(hits > np.median(hits[y]), 2, 1), 0)
-    chosen.append(LENGTH)
-    index = {w: k for k, w in enumerate(chosen)}
-    x = np.zeros((len(counts), len(chosen)), np.float32)
-    for i, c in enumerate(counts):
-        for w in c.keys() & index.keys():
-            x[i, index[w]] = value(w, c[w])
-    w, t = np.zeros(len(chosen)), np.array([0.0, 1.0])
+def loss(w: np.ndarray, t: np.ndarray, x: np.ndarray, grade: np.ndarray) -> tuple[float, np.ndarray]:
+    """The mean negative log-likelihood of the grades with its penalty on the weights, and its gradient over w and t."""
+    n = len(grade)
+    above = 1 / (1 + np.exp(np.clip(t[None, :] - (x @ w)[:, None], -50, 50)))  # P(grade > k)
+    slope = above * (1 - above)
+    mine = np.clip(np.stack([1 - above[:, 0], above[:, 0] - above[:, 1], above[:, 1]], 1)[np.arange(n), grade], 1e-12, 1)
+    by_score = np.stack([-slope[:, 0], slope[:, 0] - slope[:, 1], slope[:, 1]], 1)[np.arange(n), grade] / mine
+    sign = np.stack([(grade == 0) * 1.0 - (grade == 1), (grade == 1) * 1.0 - (grade == 2)], 1)
+    return -np.log(mine).mean() + PENALTY / 2 * float(w @ w), np.r_[-(x.T @ by_score) / n + PENALTY * w, -(slope * sign / mine[:, None]).mean(0)]
+
+
+def fit(x: np.ndarray, grade: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and thresholds, by Adam. Without a text of grade 2 the second threshold lies out of reach."""
+    w, t = np.zeros(x.shape[1]), np.array([0.0, 1.0])
     m, v = np.zeros(len(w) + 2), np.zeros(len(w) + 2)
-    for r in range(1, ROUNDS + 1):  # Adam on the mean negative log-likelihood, with a penalty on the weights
-        above = 1 / (1 + np.exp(np.clip(t[None, :] - (x @ w)[:, None], -50, 50)))  # P(grade > k)
-        slope = above * (1 - above)
-        mine = np.clip(np.stack([1 - above[:, 0], above[:, 0] - above[:, 1], above[:, 1]], 1)[np.arange(len(y)), grade], 1e-12, 1)
-        by_score = np.stack([-slope[:, 0], slope[:, 0] - slope[:, 1], slope[:, 1]], 1)[np.arange(len(y)), grade] / mine
-        sign = np.stack([(grade == 0) * 1.0 - (grade == 1), (grade == 1) * 1.0 - (grade == 2)], 1)
-        g = np.r_[-(x.T @ by_score) / len(y) + PENALTY * w, -(slope * sign / mine[:, None]).mean(0)]
+    for r in range(1, rounds + 1):
+        _, g = loss(w, t, x, grade)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         step = 0.1 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.999**r)) + 1e-8)
         w, t = w - step[:-2], t - step[-2:]
         t[1] = max(t[1], t[0] + 1e-3)
-    return Model({c: float(a) for c, a in zip(chosen, w, strict=True)}, (float(t[0]), float(t[1])))
+    return w, t
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> tuple[list[str], list[int]]:
-    """At most ``limit`` labelled texts. The labels are few and go to the documents, not the other way round."""
-    few = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.sha2(F.col("doc_id").cast("string"), 256), "doc_id").limit(limit)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(few), "doc_id")  # ``limit`` rows of two numbers
-    found = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.collect())
-    return [t for _, t, _ in found], [y for _, _, y in found]
+def sample_terms(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> DataFrame:
+    """toxic, half (0 or 1), counted terms, and the distinct words of each sentence, of at most ``limit`` labelled
+    documents. The labels are few and go to the documents."""
+    label = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).alias("toxic"))
+    few = label.withColumn("by", F.sha2(F.col("doc_id").cast("string"), 256)).orderBy("by", "doc_id").limit(limit)
+    few = few.select("doc_id", "toxic", (F.conv(F.substring("by", 16, 4), 16, 10) % 2).cast("int").alias("half"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(few), "doc_id")  # ``limit`` rows of three numbers
+    one = rows.groupBy("doc_id", "toxic", "half").agg(F.min("text").alias("text")).select("toxic", "half", "text")
+    shape = pa.schema([("toxic", pa.bool_()), ("half", pa.int32()), ("terms", pa.list_(pa.string())), ("counts", pa.list_(pa.int64())), ("sentences", pa.list_(pa.list_(pa.string())))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for toxic, half, text in zip(b["toxic"].to_pylist(), b["half"].to_pylist(), strings(b["text"], 16), strict=True):
+                sentences = [_WORD.findall(x) for x in _END.split(text.lower())]
+                counts = terms([w for ws in sentences for w in ws])
+                yield pa.RecordBatch.from_pylist([{"toxic": toxic, "half": half, "terms": list(counts), "counts": list(counts.values()), "sentences": [sorted(set(ws)) for ws in sentences]}], schema=shape)
+
+    return map_in_arrow(one, run, "toxic boolean, half int, terms array<string>, counts array<long>, sentences array<array<string>>")
+
+
+def tied_terms(sample: DataFrame) -> list[str]:
+    """The FEATURES terms whose log odds ratio is most above its standard error, of those beyond chance."""
+    n_toxic, n_clean = sample.agg(F.expr("count_if(toxic)"), F.expr("count_if(NOT toxic)")).first()
+    if not n_toxic or not n_clean:
+        return []
+    seen = sample.select("toxic", F.explode("terms").alias("term")).where(F.col("term") != LENGTH)
+    seen = seen.groupBy("term").agg(F.expr("count_if(toxic)").alias("a"), F.expr("count_if(NOT toxic)").alias("b")).where(F.col("a") + F.col("b") >= MIN_TEXTS)
+    a, b = F.col("a") + 0.5, F.col("b") + 0.5
+    rest_a, rest_b = F.lit(n_toxic + 1.0) - a, F.lit(n_clean + 1.0) - b
+    odds = F.log(a / rest_a) - F.log(b / rest_b)
+    error = F.sqrt(1 / a + 1 / rest_a + 1 / b + 1 / rest_b)
+    found = seen.select("term", odds.alias("odds"), (odds / error).alias("z")).where((F.col("z") >= LEAST_Z) & (F.col("odds") >= 1))
+    return [r["term"] for r in found.orderBy(F.desc("z"), "term").limit(FEATURES).collect()]
+
+
+def graded(sample: DataFrame) -> DataFrame:
+    """The sample with grade."""
+    words = [F.array(*(F.lit(t) for t in tied_terms(sample.where(F.col("half") == 1 - k)) if not t.endswith("-"))).cast("array<string>") for k in (0, 1)]
+    bad = lambda of: F.size(F.filter("sentences", lambda s: F.arrays_overlap(s, of)))
+    rows = written(sample.withColumn("bad", F.when(F.col("half") == 0, bad(words[0])).otherwise(bad(words[1]))).drop("sentences"), "toxicity-graded")
+    median = rows.where("toxic").agg(F.median("bad")).first()[0] or 0.0
+    return rows.withColumn("grade", F.when(~F.col("toxic"), 0).when(F.col("bad") > median, 2).otherwise(1))
+
+
+def fit_sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Model:
+    """The model of the labelled sample."""
+    sample = written(sample_terms(docs, labels, limit), "toxicity-sample")
+    chosen = tied_terms(sample)
+    if not chosen:
+        return Model()
+    names = [*chosen, LENGTH]
+    known = F.array(*map(F.lit, names))
+    counted = F.map_from_arrays("terms", "counts")
+    found = graded(sample).select("grade", F.map_filter(counted, lambda t, n: F.array_contains(known, t)).alias("counts")).collect()  # ``limit`` rows
+    index, x = {w: k for k, w in enumerate(names)}, np.zeros((len(found), len(names)), np.float32)
+    for i, r in enumerate(found):
+        for w, n in r["counts"].items():
+            x[i, index[w]] = value(w, n)
+    w, t = fit(x, np.array([r["grade"] for r in found]))
+    return Model({c: float(a) for c, a in zip(names, w, strict=True)}, (float(t[0]), float(t[1])))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -138,7 +175,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         heads = {t[:HEAD] for t in model.weights}
         for b in batches:
             severity, grade, toxic = [], [], []
-            for text in b["text"].to_pylist():
+            for text in strings(b["text"]):
                 found = _WORD.findall(text.lower())
                 counts = terms([w for w in found if w[:HEAD] in heads])  # no other word has a term of the model
                 counts[LENGTH] = len(found)
@@ -153,4 +190,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, fit(*labelled_sample(docs, table(spark, sf_dir, "labels"))))
+    return score(docs, fit_sample(docs, table(spark, sf_dir, "labels")))
