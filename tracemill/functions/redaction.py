@@ -33,11 +33,16 @@ TOKENS = {
     "authorization-header": r"(?i)(\bauthorization\s*[:=])(?!\s*\[REDACTED_)\s*[^\r\n]+",
     "bearer-token": r"(?i)(\bbearer\s+)[A-Za-z0-9._~+/=-]{20,}",
 }
+# fixed values: names of fields that hold secrets
 FIELDS = frozenset(
     "accesskey accesstoken apikey authorization blobencryptionkey clientsecret connectionstring credential credentials credentialsjson "
     "databaseurl idtoken oauthtoken password privatekey refreshtoken secret secretaccesskey token".split()
 )
 _NAME = r"(?:password|passwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|connection[_-]?string|database[_-]?url)"
+#: Every format and name above has one of these; a text without any has nothing to find.
+SUSPECT = (
+    "(?iu)-----BEGIN|AKIA|ASIA|gh[pousr]_|github_pat_|sk-|fw_|xox[abprs]-|AIza|eyJ|authorization|bearer|" + _NAME[3:-1]
+)
 _ASSIGNED = re.compile(rf"(?i)(?P<name>[\w.-]*{_NAME}[\w-]*)(?P<quote>\\?[\"']?)(?P<before>[ \t]*)(?P<op>:=|=(?!=)|:(?!:))(?P<after>[ \t]*)")
 _REFERENCE = re.compile(r"\$\{?[A-Za-z_]\w*\}?|%[A-Za-z_]\w*%")
 _PLACEHOLDER = re.compile(r"(?i)\[REDACTED[_\]].*|<[^<>]*>|\*{3,}|x{3,}|\.{3}|your[_-].*|changeme|example|placeholder|none|null|undefined")
@@ -191,10 +196,11 @@ def redacted(df: DataFrame, columns: list[str], findings: str | None = None) ->
 
     out = df
     for c in columns:
-        out = out.withColumn("__r", run(F.col(c)))
+        suspect = F.coalesce(F.col(c).rlike(SUSPECT), F.lit(False))  # only these texts go to Python
+        out = out.withColumn("__r", run(F.when(suspect, F.col(c))))
         if findings and c == columns[0]:
             out = out.withColumn(findings, F.col("__r.findings"))
-        out = out.withColumn(c, F.col("__r.text")).drop("__r")
+        out = out.withColumn(c, F.when(suspect, F.col("__r.text")).otherwise(F.col(c))).drop("__r")
     return out
 
 
@@ -220,7 +226,8 @@ def leaks(df: DataFrame, columns: list[str]) -> DataFrame:
         return s.map(lambda t: has_secret(t if isinstance(t, str) else None), na_action=None)
 
     each = F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("text")) for c in columns)))
-    return df.select(each.alias("x")).select("x.column", "x.text").where(hit("text")).groupBy("column").agg(F.count("*").alias("leaks"))
+    suspects = df.select(each.alias("x")).select("x.column", "x.text").where(F.col("text").rlike(SUSPECT))
+    return suspects.where(hit("text")).groupBy("column").agg(F.count("*").alias("leaks"))
 
 
 def register(spark: SparkSession) -> None:

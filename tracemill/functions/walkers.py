@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import SparkSession
@@ -16,46 +17,58 @@ from tracemill.sources.shipping import ship
 
 DEPTH = 12
 # fixed values: block types that aren't visible, keys that hold no text, keys that name a folder
-HIDDEN = frozenset("thinking redacted_thinking reasoning tool_result tool-result tool_use toolCall".split())
+HIDDEN = frozenset(("thinking", "redacted_thinking", "reasoning", "tool_result", "tool-result", "tool_use", "toolCall"))
 TEXT_BLOCKS = frozenset(("text", "agentMessage", "userMessage"))
-OPAQUE = frozenset("signature encrypted_content encryptedContent thinking".split())
-IDENTIFIERS = frozenset("signature id toolCallId tool_use_id callId".split())
-FOLDERS = frozenset("cwd workdir working_directory workingDirectory workspace workspacePath root".split())
+OPAQUE = frozenset(("signature", "encrypted_content", "encryptedContent", "thinking"))
+IDENTIFIERS = frozenset(("signature", "id", "toolCallId", "tool_use_id", "callId"))
+FOLDERS = frozenset(("cwd", "workdir", "working_directory", "workingDirectory", "workspace", "workspacePath", "root"))
 
 
-def visible_text(value: object, depth: int = 0) -> Iterator[str]:
+@dataclass(frozen=True)
+class View:
+    """What a reader sees of a value: keys that are skipped, types of blocks that are hidden or are one text, and
+    whether a string inside of other values is seen."""
+
+    skipped: frozenset[str]
+    hidden: frozenset[str] = frozenset()
+    texts: frozenset[str] = frozenset()
+    nested: bool = True
+
+    def inside(self, block: dict) -> list:
+        """A block's values that the walk goes on with; of a text block, a marked string."""
+        if block.get("type") in self.hidden or (self.hidden and block.get("channel") == "analysis"):
+            return []
+        if block.get("type") in self.texts and isinstance(block.get("text"), str):
+            return [(block["text"],)]
+        return [v for k, v in block.items() if k not in self.skipped]
+
+
+MESSAGE = View(OPAQUE, HIDDEN, TEXT_BLOCKS, nested=False)
+RESULT = View(IDENTIFIERS)
+
+
+def seen(value: object, view: View) -> Iterator[str]:
+    """The strings of a value that a view shows, in order, DEPTH levels deep."""
+    left: list[tuple[int, object]] = [(0, value)]
+    while left:
+        depth, at = left.pop()
+        if isinstance(at, tuple):  # a text block's text
+            yield at[0]
+        elif isinstance(at, str) and (view.nested or not depth):
+            yield at
+        elif isinstance(at, (dict, list)) and depth <= DEPTH:
+            inner = view.inside(at) if isinstance(at, dict) else at
+            left += [(depth + 1, v) for v in reversed(inner) if depth < DEPTH or isinstance(v, tuple)]
+
+
+def visible_text(value: object) -> Iterator[str]:
     """Text of a message that its reader sees: plain strings at the top, and text blocks."""
-    if isinstance(value, str):
-        if depth == 0:
-            yield value
-    elif depth > DEPTH or value is None:
-        return
-    elif isinstance(value, list):
-        for v in value:
-            yield from visible_text(v, depth + 1)
-    elif isinstance(value, dict):
-        kind = value.get("type")
-        if kind in HIDDEN or value.get("channel") == "analysis":
-            return
-        if kind in TEXT_BLOCKS and isinstance(value.get("text"), str):
-            yield value["text"]
-            return
-        for k, v in value.items():
-            if k not in OPAQUE:
-                yield from visible_text(v, depth + 1)
-
-
-def result_text(value: object, depth: int = 0) -> Iterator[str]:
+    return seen(value, MESSAGE)
+
+
+def result_text(value: object) -> Iterator[str]:
     """Every string of a tool's result but identifiers and signatures."""
-    if isinstance(value, str):
-        yield value
-    elif depth <= DEPTH and isinstance(value, list):
-        for v in value:
-            yield from result_text(v, depth + 1)
-    elif depth <= DEPTH and isinstance(value, dict):
-        for k, v in value.items():
-            if k not in IDENTIFIERS:
-                yield from result_text(v, depth + 1)
+    return seen(value, RESULT)
 
 
 def edit_lines(value: object, depth: int = 0) -> tuple[int, int]:

@@ -154,7 +154,17 @@ def balanced_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.interleave(table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey"), "n_regionkey", ["n_nationkey"])
 
 
-@query()
+@query("""
+WITH RECURSIVE q AS (SELECT s_suppkey, row_number() OVER (ORDER BY s_suppkey) - 1 AS k FROM supplier), n AS (SELECT count(*) AS n FROM q),
+f AS (
+  SELECT n - 1 AS k, CAST('0x' || substr(sha256('queue-seed'), 1, 8) AS BIGINT) AS s, range(n) AS o FROM n
+  UNION ALL
+  SELECT k - 1, s, list_transform(range(len(o)), lambda i: CASE i WHEN k THEN o[j + 1] WHEN j THEN o[k + 1] ELSE o[i + 1] END) FROM (
+    SELECT k, o, s, s % (k + 1) AS j FROM (SELECT k, o, xor(s, (s << 5) & 4294967295) AS s FROM (SELECT k, o, xor(s, s >> 17) AS s FROM (SELECT k, o, xor(s, (s << 13) & 4294967295) AS s FROM f WHERE k > 0)))
+  )
+)
+SELECT q.s_suppkey, p.position FROM (SELECT unnest(o) AS k, unnest(range(len(o))) AS position FROM f WHERE k = 0) p JOIN q ON p.k = q.k
+""")
 def seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.shuffled(table(spark, sf_dir, "supplier").select("s_suppkey"), ["s_suppkey"], "queue-seed")
 
@@ -203,7 +213,14 @@ def facet_lift_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return enrichment.facet_lift(facets, "doc_id", "cluster", "facet", docs.select("doc_id", "cluster"))
 
 
-@query()
+@query("""
+WITH RECURSIVE b AS (SELECT min(c_acctbal) AS x0, max(c_acctbal) AS x1, CAST(min(c_nationkey) AS DOUBLE) AS y0, CAST(max(c_nationkey) AS DOUBLE) AS y1 FROM customer),
+p AS (SELECT c_custkey, CAST(least(31, floor((c_nationkey - y0) / greatest(y1 - y0, 1e-6) * 32)) * 32 + least(31, floor((c_acctbal - x0) / greatest(x1 - x0, 1e-6) * 32)) AS BIGINT) AS cell FROM customer, b),
+d AS (SELECT cell FROM p GROUP BY cell HAVING count(*) >= 4),
+r AS (SELECT cell, cell AS reached FROM d UNION SELECT r.cell, d.cell FROM r JOIN d ON abs(r.reached - d.cell) = 32 OR (abs(r.reached - d.cell) = 1 AND r.reached // 32 = d.cell // 32)),
+l AS (SELECT cell, min(reached) AS cluster FROM r GROUP BY cell)
+SELECT p.c_custkey, p.cell, coalesce(l.cluster, -1) AS cluster FROM p LEFT JOIN l USING (cell)
+""")
 def density_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.col("c_nationkey").cast("double").alias("y"))
     return vectors.density_clusters(points, "c_custkey", "x", "y", grid=32)
@@ -216,13 +233,30 @@ def lcs_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.align(pairs, "left", "right").select("k", "common", "similarity", "divergent")
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT conv_id, turn, CAST(length(text) AS BIGINT) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+r AS (
+  SELECT conv_id, turn, size, n, 0 AS chunk, size AS used FROM t WHERE n = 1
+  UNION ALL
+  SELECT t.conv_id, t.turn, t.size, t.n, CASE WHEN used > 0 AND used + t.size > 2000 THEN chunk + 1 ELSE chunk END, CASE WHEN used > 0 AND used + t.size > 2000 THEN t.size ELSE used + t.size END
+  FROM t JOIN r ON t.conv_id = r.conv_id AND t.n = r.n + 1
+)
+SELECT conv_id, turn, size, CAST(chunk AS BIGINT) AS chunk FROM r
+""")
 def ledger_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("size"))
     return sampling.budget_chunks(rows, "conv_id", ["turn"], "size", 2000)
 
 
-@query()
+@query("""
+WITH RECURSIVE t AS (SELECT conv_id, turn, CASE role WHEN 'user' THEN 0 ELSE 1 END AS tier, CAST(length(text) AS BIGINT) AS size, row_number() OVER (PARTITION BY conv_id ORDER BY CASE role WHEN 'user' THEN 0 ELSE 1 END, turn) AS n FROM conversations),
+r AS (
+  SELECT conv_id, turn, tier, size, n, size <= 1500 AS selected, CASE WHEN size <= 1500 THEN 1500 - size ELSE 1500 END AS rest FROM t WHERE n = 1
+  UNION ALL
+  SELECT t.conv_id, t.turn, t.tier, t.size, t.n, t.size <= rest, CASE WHEN t.size <= rest THEN rest - t.size ELSE rest END FROM t JOIN r ON t.conv_id = r.conv_id AND t.n = r.n + 1
+)
+SELECT conv_id, turn, tier, size, selected FROM r
+""")
 def evidence_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", 0).otherwise(1).alias("tier"), F.length("text").cast("long").alias("size"))
     return sampling.select_evidence(rows, "conv_id", "tier", ["turn"], "size", 1500)

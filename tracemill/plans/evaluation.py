@@ -261,7 +261,7 @@ def worst_qualification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH e AS (SELECT user_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(substr(props, 7, length(props) - 7) AS BIGINT) END AS r, event_type AS s FROM events WHERE value > 10),
+WITH e AS (SELECT user_id, CASE WHEN event_type = 'error' THEN NULL ELSE CAST(substr(props, 7, length(props) - 7) AS BIGINT) END AS r, event_type AS s FROM events),
 i AS (SELECT user_id, r, count(DISTINCT s) AS n, count(*) AS c FROM e GROUP BY user_id, r)
 SELECT user_id, CASE WHEN coalesce(sum(c) FILTER (r IS NULL), 0) = 0 THEN CAST(sum(greatest(1, n)) FILTER (r IS NOT NULL) AS BIGINT) END AS requests,
        CASE WHEN coalesce(sum(c) FILTER (r IS NULL), 0) > 0 THEN 'unavailable' ELSE 'known' END AS status
@@ -269,7 +269,7 @@ FROM i GROUP BY user_id
 """)
 def logical_request_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.expr("CAST(substr(props, 7, length(props) - 7) AS BIGINT)")
-    rows = table(spark, sf_dir, "events").where("value > 10").select("user_id", F.when(F.col("event_type") != "error", k).alias("request"), "event_type")
+    rows = table(spark, sf_dir, "events").select("user_id", F.when(F.col("event_type") != "error", k).alias("request"), "event_type")
     return agg.request_count(rows, "user_id", "request", "event_type")
 
 

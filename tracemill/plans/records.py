@@ -35,10 +35,20 @@ def unmapped_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.unmapped(native, normalize.normalize(native)).select("attempt_id", "locator", "reason")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS attempt_id, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS problem WHERE false")
+@query("""
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS attempt_id, event_id % 50 AS k, lag(event_id % 50) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events WHERE event_type IN ('view', 'click', 'purchase', 'error'))
+SELECT attempt_id, 'id-not-unique' AS problem, 2 * count(*) AS n FROM e WHERE k = 1 GROUP BY attempt_id
+UNION ALL SELECT attempt_id, 'undeclared-value', count(*) FROM e WHERE k = 2 GROUP BY attempt_id
+UNION ALL SELECT attempt_id, 'reference-not-captured', count(*) FROM e WHERE k = 3 GROUP BY attempt_id
+UNION ALL SELECT attempt_id, 'order-decreases', count(*) FROM e WHERE k = 4 AND p <> 4 GROUP BY attempt_id
+""")
 def adapter_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An adapter's output with breaches of each kind planted."""
     native = _native(spark, sf_dir)
-    return normalize.breaches(normalize.normalize(native), native)
+    events = normalize.normalize(native)
+    k = F.regexp_extract("locator", "line:(\\d+)", 1).cast("long") % 50
+    planted = events.withColumn("family", F.when(k == 2, "rumour").otherwise(F.col("family"))).withColumn("order_value", F.when(k == 4, F.lit(-1)).otherwise(F.col("order_value")))
+    return normalize.breaches(planted.unionByName(planted.where(k == 1)), native.where(k != 3)).groupBy("attempt_id", "problem").agg(F.count("*").alias("n"))
 
 
 _OPS = """
@@ -93,13 +103,13 @@ def decision_breaches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH a AS (SELECT l_orderkey AS occurrence, l_linenumber AS dimension, CASE l_returnflag WHEN 'A' THEN 'rule' WHEN 'R' THEN 'model' ELSE 'fallback' END AS source, l_discount * 10 AS confidence FROM lineitem WHERE l_partkey % 5 <> 0),
+WITH a AS (SELECT l_orderkey AS occurrence, l_linenumber AS dimension, CASE l_returnflag WHEN 'A' THEN 'rule' WHEN 'R' THEN 'model' ELSE 'fallback' END AS source, l_discount * 10 AS confidence FROM lineitem),
 r AS (SELECT *, CASE WHEN source = 'rule' THEN 0 WHEN source = 'model' AND confidence >= 0.8 THEN 1 WHEN source = 'fallback' THEN 2 ELSE 3 END AS k FROM a)
 SELECT occurrence, dimension, CASE min(k) WHEN 0 THEN 'rule' WHEN 2 THEN 'fallback' ELSE 'model' END AS source, CASE WHEN min(k) = 3 THEN 'deferred' ELSE 'decided' END AS status FROM r GROUP BY occurrence, dimension
 """)
 def final_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = F.when(F.col("l_returnflag") == "A", "rule").when(F.col("l_returnflag") == "R", "model").otherwise("fallback")
-    rows = table(spark, sf_dir, "lineitem").where("l_partkey % 5 <> 0").select(F.col("l_orderkey").alias("occurrence"), F.col("l_linenumber").alias("dimension"), source.alias("source"), F.lit("choice").alias("kind"), (F.col("l_discount") * 10).alias("confidence"), F.lit(None).cast("double").alias("probability"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("occurrence"), F.col("l_linenumber").alias("dimension"), source.alias("source"), F.lit("choice").alias("kind"), (F.col("l_discount") * 10).alias("confidence"), F.lit(None).cast("double").alias("probability"))
     return evaluations.final_ratings(rows).select("occurrence", "dimension", "source", "status")
 
 

@@ -56,46 +56,92 @@ def event_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 _T = "token\\s*=\\s*\"[0-9a-f]{40}\""
 
 
-@query(f"SELECT doc_id, regexp_replace(regexp_replace(text, '{_T}', 'token = \"[REDACTED_SECRET]\"', 'g'), 'sk-[A-Za-z0-9_-]{{20,}}', '[REDACTED_SECRET]', 'g') AS text FROM documents WHERE regexp_matches(text, '{_T}')")
+@query(f"SELECT doc_id, regexp_replace(regexp_replace(text, '{_T}', 'token = \"[REDACTED_SECRET]\"', 'g'), 'sk-[A-Za-z0-9_-]{{20,}}', '[REDACTED_SECRET]', 'g') AS text FROM documents")
 def secret_tokens_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").where(F.col("text").rlike(_T))
-    return redaction.redacted(docs, ["text"])
+    return redaction.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"])
 
 
-@query()
+@query(f"SELECT doc_id, 'secret-assignment' AS kind, 'redacted' AS disposition, 'token' AS name, CAST(NULL AS VARCHAR) AS reason FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{_T}')) FROM documents)")
 def secret_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = redaction.redacted(table(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], "findings")
     return found.select("doc_id", F.explode("findings").alias("f")).select("doc_id", "f.kind", "f.disposition", "f.name", "f.reason")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS \"column\", CAST(0 AS BIGINT) AS leaks WHERE false")
+@query(f"""
+SELECT 'raw' AS "column", count(*) AS leaks FROM documents WHERE regexp_matches(text, '{_T}') HAVING count(*) > 0
+UNION ALL SELECT 'note', count(*) FROM documents WHERE doc_id % 10 = 3 HAVING count(*) > 0
+""")
 def final_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = redaction.redacted(table(spark, sf_dir, "documents").select("text", "source"), ["text"])
-    return redaction.leaks(docs, ["text", "source"])
+    """Of three columns, one is redacted, one isn't, and one has a planted key in every tenth row."""
+    note = F.when(F.col("doc_id") % 10 == 3, F.concat(F.lit("key sk-"), F.repeat(F.lit("a"), 24))).otherwise("sk-short")
+    docs = table(spark, sf_dir, "documents").select("text", F.col("text").alias("raw"), note.alias("note"))
+    return redaction.leaks(redaction.redacted(docs, ["text"]), ["text", "raw", "note"])
+
+
+# tool names with the kind that the published table gives each
+_TOOLS = {
+    "Bash": "shell", "run_terminal_cmd": "shell", "commandExecution": "shell", "KillShell": "shell", "Read": "read", "NotebookRead": "read", "cat": "read", "apply_patch": "edit",
+    "MultiEdit": "edit", "fileChange": "edit", "Grep": "search", "list_dir": "search", "WebFetch": "web", "browse": "web", "Task": "delegate", "spawn_agent": "delegate",
+    "TodoWrite": "plan", "update_plan": "plan", "bashful": "other", "reader": "other", "": "other",
+}
 
 
-@query("SELECT event_type, CASE event_type WHEN 'view' THEN 'read' WHEN 'click' THEN 'shell' WHEN 'purchase' THEN 'edit' ELSE 'other' END AS tool_kind, count(*) AS n FROM events GROUP BY ALL")
+def _values(rows) -> str:
+    quoted = lambda x: "'" + str(x).replace("'", "''") + "'"
+    return ", ".join(f"({k}, {', '.join(map(quoted, row))})" for k, row in enumerate(rows))
+
+
+@query(f"""
+SELECT v.name, v.kind AS tool_kind, count(*) AS n FROM events e JOIN (VALUES {_values(_TOOLS.items())}) v(k, name, kind) ON e.event_id % {len(_TOOLS)} = v.k GROUP BY ALL
+""")
 def tool_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.when(F.col("event_type") == "click", "Bash").when(F.col("event_type") == "purchase", "apply_patch").otherwise(F.col("event_type"))
-    return table(spark, sf_dir, "events").groupBy("event_type", commands.tool_kind(name).alias("tool_kind")).agg(F.count("*").alias("n"))
+    name = F.element_at(F.array(*map(F.lit, _TOOLS)), (F.col("event_id") % len(_TOOLS) + 1).cast("int"))
+    return table(spark, sf_dir, "events").groupBy(name.alias("name"), commands.tool_kind(name).alias("tool_kind")).agg(F.count("*").alias("n"))
+
+
+# commands with the checks that they run, the source paths that they write, their heads and their first checks
+_COMMANDS = [
+    ("pnpm run test && pnpm lint", "test,lint", "", "pnpm run test", "test"),
+    ("cd /w && sed -i s/a/b/ src/app/main.ts", "", "src/app/main.ts", "sed", "inspect"),
+    ("bash -lc 'npx tsc --noEmit | tail'", "typecheck", "", "npx tsc", "typecheck"),
+    ("git status", "", "", "git status", "vcs"),
+    ("CI=1 timeout 60 yarn --cwd web jest --listTests", "", "", "yarn jest", "other"),
+    ("npx playwright install chromium", "", "", "npx playwright", "other"),
+    ("cargo test --all", "test", "", "cargo test", "test"),
+    ("python3 -m pytest -q tests", "test", "", "python3 -m pytest", "test"),
+    ("for f in a b; do wc -l $f; done", "", "", "for-block", "other"),
+    ("pip install -r requirements.txt", "", "", "pip install", "install"),
+    ("npm install", "", "", "npm install", "install"),
+    ("rm -rf src/old.ts node_modules/x.js && cp a.md docs/b.md", "", "src/old.ts,docs/b.md", "rm", "other"),
+    ("echo x > out/report.json 2> err.log", "", "out/report.json", "echo x >", "inspect"),
+    ("ruff check . ; mypy src", "lint,typecheck", "", "ruff check", "lint"),
+    ("corepack pnpm build", "", "", "corepack pnpm", "other"),
+    ("pnpm --filter web exec vitest run", "test", "", "pnpm exec vitest", "test"),
+    ("prettier --write src/a.ts", "format", "", "prettier", "format"),
+    ("", "", "", "", "other"),
+]
 
 
-@query("""
-WITH c AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'pnpm run test && pnpm lint' WHEN 1 THEN 'cd /w && sed -i s/a/b/ src/app/main.ts' WHEN 2 THEN 'bash -lc ''npx tsc --noEmit | tail''' ELSE 'git status' END AS c FROM events)
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'test,lint' WHEN 2 THEN 'typecheck' ELSE '' END AS checks, CASE event_id % 4 WHEN 1 THEN 'src/app/main.ts' ELSE '' END AS writes,
-       CASE event_id % 4 WHEN 0 THEN 'pnpm run test' WHEN 1 THEN 'sed s/a/b/' WHEN 2 THEN 'npx tsc' ELSE 'git status' END AS head_of, CASE event_id % 4 WHEN 0 THEN 'test' WHEN 1 THEN 'inspect' WHEN 2 THEN 'typecheck' ELSE 'vcs' END AS primary_check
-FROM c
+@query(f"""
+SELECT e.event_id, v.checks, v.writes, v.head_of, v.primary_check FROM events e
+JOIN (VALUES {_values(_COMMANDS)}) v(k, command, checks, writes, head_of, primary_check) ON e.event_id % {len(_COMMANDS)} = v.k
 """)
 def command_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = commands.udfs(spark)
-    forms = F.array(*map(F.lit, ["pnpm run test && pnpm lint", "cd /w && sed -i s/a/b/ src/app/main.ts", "bash -lc 'npx tsc --noEmit | tail'", "git status"]))
-    rows = table(spark, sf_dir, "events").select("event_id", F.element_at(forms, (F.col("event_id") % 4 + 1).cast("int")).alias("c"))
-    head = F.when(F.col("event_id") % 4 == 1, F.concat(f["command_head"]("c"), F.lit(" s/a/b/"))).otherwise(f["command_head"]("c"))
-    return rows.select("event_id", F.array_join(f["check_kinds"]("c"), ",").alias("checks"), F.array_join(f["shell_writes"]("c"), ",").alias("writes"), head.alias("head_of"), f["primary_check"]("c").alias("primary_check"))
+    forms = F.array(*(F.lit(c) for c, *_ in _COMMANDS))
+    rows = table(spark, sf_dir, "events").select("event_id", F.element_at(forms, (F.col("event_id") % len(_COMMANDS) + 1).cast("int")).alias("c"))
+    return rows.select("event_id", F.array_join(f["check_kinds"]("c"), ",").alias("checks"), F.array_join(f["shell_writes"]("c"), ",").alias("writes"), f["command_head"]("c").alias("head_of"), f["primary_check"]("c").alias("primary_check"))
+
 
+# what a turn says after its text, and the claim that is in it
+_SAID = [("All tests passed", "All tests passed", "test"), ("The tests were not run yet", "", ""), ("Everything is green", "", ""), ("- lint is clean", "lint is clean", "lint")]
 
-@query()
+
+@query(f"""
+SELECT c.conv_id, c.turn, v.claim, v.kinds FROM conversations c JOIN (VALUES {_values(_SAID)}) v(k, said, claim, kinds) ON (c.conv_id + c.turn) % {len(_SAID)} = v.k
+WHERE c.role = 'assistant' AND v.claim <> ''
+""")
 def claim_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    said = F.concat(F.col("text"), F.lit("\nAll tests passed. The build is green."))
-    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.explode(text.claim_lines(said)).alias("c"))
+    said = F.element_at(F.array(*(F.lit(x) for x, *_ in _SAID)), ((F.col("conv_id") + F.col("turn")) % len(_SAID) + 1).cast("int"))
+    rows = table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn", F.explode(text.claim_lines(F.concat(F.col("text"), F.lit("\n"), said))).alias("c"))
     return rows.select("conv_id", "turn", F.col("c.text").alias("claim"), F.array_join("c.kinds", ",").alias("kinds"))

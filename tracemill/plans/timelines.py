@@ -183,7 +183,19 @@ def relation_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seq.unique_lowest(rows, ["session_id", "tool_name"], "rk", "event_id")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {OPERATIONS_SQL}, o AS (
+  SELECT session_id, event_id, CASE WHEN event_type IN ('click', 'signup') THEN event_type || CAST(input_digest % 3 AS VARCHAR) END AS kind, failed AS breaks,
+         row_number() OVER (PARTITION BY session_id ORDER BY event_id) AS n FROM operations
+), r AS (
+  SELECT session_id, event_id, kind, breaks, n, CASE WHEN kind IS NULL THEN -1 ELSE 0 END AS number, CASE WHEN kind IS NULL THEN NULL ELSE [kind] END AS seen FROM o WHERE n = 1
+  UNION ALL
+  SELECT o.session_id, o.event_id, o.kind, o.breaks, o.n, CASE WHEN o.kind IS NOT NULL AND (r.seen IS NULL OR list_contains(r.seen, o.kind)) THEN r.number + 1 ELSE r.number END,
+         CASE WHEN o.kind IS NULL THEN CASE WHEN o.breaks THEN NULL ELSE r.seen END WHEN r.seen IS NULL OR list_contains(r.seen, o.kind) THEN [o.kind] ELSE list_append(r.seen, o.kind) END
+  FROM o JOIN r ON o.session_id = r.session_id AND o.n = r.n + 1
+)
+SELECT session_id, event_id, kind, breaks, CAST(number AS BIGINT) AS boundary FROM r WHERE kind IS NOT NULL
+""")
 def compaction_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("event_type").isin("click", "signup"), F.concat(F.col("event_type"), (F.col("input_digest") % 3).cast("string")))
     rows = operations(spark, sf_dir).select("session_id", "event_id", kind.alias("kind"), F.col("failed").alias("breaks"))
@@ -212,13 +224,15 @@ def merged_message_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH RECURSIVE p AS (SELECT event_id AS id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id - event_id % 3 END AS parent FROM events WHERE event_id < 3000),
+WITH RECURSIVE p AS (SELECT event_id AS id, CASE event_id % 500 WHEN 0 THEN NULL WHEN 497 THEN event_id + 2 ELSE event_id - 1 END AS parent FROM events),
 r AS (SELECT id, id AS root, 0 AS depth FROM p WHERE parent IS NULL UNION ALL SELECT p.id, r.root, r.depth + 1 FROM p JOIN r ON p.parent = r.id)
-SELECT id, root, CAST(depth AS BIGINT) AS depth, false AS in_cycle FROM r
+SELECT p.id, r.root, CAST(r.depth AS BIGINT) AS depth, r.id IS NULL AS in_cycle FROM p LEFT JOIN r ON p.id = r.id
 """)
 def parent_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "events").where("event_id < 3000").select(F.col("event_id").alias("id"))
-    return units.roots(ids.withColumn("parent", F.when(F.col("id") % 3 != 0, F.col("id") - F.col("id") % 3)))
+    """Chains of up to 496 steps, and in every 500 events three that go round in a circle."""
+    id = F.col("id")
+    ids = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+    return units.roots(ids.withColumn("parent", F.when(id % 500 == 0, None).when(id % 500 == 497, id + 2).otherwise(id - 1)))
 
 
 @query("""
@@ -234,7 +248,18 @@ def token_lanes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(F.round(spent, 4).alias("tokens"), F.round(F.max("context"), 4).alias("max_context"), F.count_if(kind == "error").alias("errors"), (F.floor(spent * 100 + 0.5) / 100).alias("cost"))
 
 
-@query()
+@query("""
+WITH RECURSIVE c AS (SELECT user_id, event_id, epoch(ts) AS s, epoch(ts) + value * 3600 AS e FROM events),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s, e, event_id) AS n FROM c),
+r AS (
+  SELECT user_id, event_id, s, e, n, 1 AS t, [e] AS ends FROM o WHERE n = 1
+  UNION ALL
+  SELECT user_id, event_id, s, e, n, t, list_concat(list_concat(ends[1:t - 1], [e]), ends[t + 1:]) FROM (
+    SELECT o.*, r.ends, coalesce(nullif(list_position(list_transform(r.ends, lambda x: x <= o.s), true), 0), len(r.ends) + 1) AS t FROM o JOIN r ON o.user_id = r.user_id AND o.n = r.n + 1
+  )
+)
+SELECT user_id, event_id, s AS start, e AS "end", CAST(t - 1 AS BIGINT) AS track FROM r
+""")
 def overlapping_call_tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", _seconds(F.col("ts")).alias("start"), (_seconds(F.col("ts")) + F.col("value") * 3600).alias("end"))
     return units.pack_tracks(rows, "user_id", "event_id")
