@@ -195,9 +195,12 @@ def normalize(native: DataFrame) -> DataFrame:
     digest = F.map_filter(F.create_map(F.lit("inputDigest"), F.when(F.col("__input").isNotNull(), F.concat(F.lit("sha256:"), F.sha2("__input", 256)))), lambda _, y: y.isNotNull())
     rows = rows.withColumn("attributes", F.map_concat("attributes", digest))
     # a rule for the subtype wins over one for any
-    r = F.broadcast(rules(native.sparkSession))  # the table above
-    joined = rows.join(r, ["harness", "native_type"]).where((F.col("rule_subtype") == "*") | F.col("rule_subtype").eqNullSafe(F.col("subtype")))
-    best = first_per_key(joined, ["run_id", "attempt_id", "artifact_id", "locator"], [(F.col("rule_subtype") == "*").cast("int")])
+    r = rules(native.sparkSession)  # the table above, broadcast as two lookups
+    gives = F.struct(*(c for c in r.columns if c not in ("harness", "native_type", "rule_subtype")))
+    exact = r.where("rule_subtype <> '*'").select("harness", "native_type", F.col("rule_subtype").alias("subtype"), gives.alias("__exact"))
+    usual = r.where("rule_subtype = '*'").select("harness", "native_type", gives.alias("__usual"))
+    found = rows.join(F.broadcast(exact), ["harness", "native_type", "subtype"], "left").join(F.broadcast(usual), ["harness", "native_type"], "left")
+    best = found.withColumn("__rule", F.coalesce("__exact", "__usual")).where("__rule IS NOT NULL").select("*", "__rule.*")
     synthetic = F.when((F.col("harness") == "agent-sdk") & F.try_variant_get("__v", "$.message.isSynthetic", "boolean"), "harness").otherwise(F.col("actor_kind"))
     base = best.withColumn("actor_kind", synthetic).withColumn("id", event_id(F.lit("record")))
     blocks = F.try_variant_get("__v", "$.message.message.content", "array<variant>")

@@ -31,8 +31,15 @@ def run_matrix(tasks: DataFrame, models: DataFrame, harnesses: DataFrame, trials
     return tasks.crossJoin(models).crossJoin(harnesses).crossJoin(numbers)
 
 
-def interleave(df: DataFrame, group: str, order: list[str]) -> DataFrame:
-    """Round robin over the groups, in the order in which they first appear: adds position, from 0."""
+def _bounded(queue: DataFrame, limit: int) -> None:
+    if (n := queue.count()) > limit:
+        raise ValueError(f"{n} entries: over the limit of {limit}")
+
+
+def interleave(df: DataFrame, group: str, order: list[str], limit: int = 100_000) -> DataFrame:
+    """Round robin over a queue's groups, in the order in which they first appear: adds position, from 0. Positions are
+    global, so a queue longer than ``limit`` is an error."""
+    _bounded(df, limit)
     inside = F.row_number().over(W.partitionBy(group).orderBy(*order))
     first = F.min(F.struct(*order)).over(W.partitionBy(group))
     rows = df.withColumn("__round", inside).withColumn("__first", first)
@@ -107,6 +114,7 @@ def compile_queue(cells: DataFrame, experiment: str, strategy: str, seed: str) -
     if strategy == "shuffled":
         queue = shuffled(cells, order, seed)
     elif strategy == "declared":
+        _bounded(cells, 100_000)
         queue = cells.withColumn("position", (F.row_number().over(W.orderBy(*order)) - 1).cast("long"))
     elif strategy in ("by-task", "by-model", "by-harness"):
         queue = interleave(cells, strategy.removeprefix("by-") + "_id", order)

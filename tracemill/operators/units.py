@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracemill.sources.scratch import written
+
 
 def group_operations(records: DataFrame, key: list[str]) -> DataFrame:
     """Native records of one logical operation: a row with its span, records, outcome and whether kinds are mixed."""
@@ -33,25 +32,18 @@ def inside_share(df: DataFrame, category: str, inside: Column) -> DataFrame:
     return per.select("*", share("inside"), share("outside"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracemill-")
-    path = f"{root.rstrip('/')}/chains-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def roots(rows: DataFrame) -> DataFrame:
     """rows: id, parent. Each id with the root of its chain and its depth, by pointer doubling; ids on or behind a cycle are marked.
 
     Round k joins each pointer with the pointer 2**k levels up, so a chain of n takes log2(n) joins. Every round
     ends some chain, unless only ids on or behind cycles are left: it is done when their number stays.
     """
-    at = _written(rows.select("id", F.coalesce("parent", "id").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("parent").isNull().alias("ended")))
+    at = written(rows.select("id", F.coalesce("parent", "id").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("parent").isNull().alias("ended")), "chains")
     open_ids = lambda: at.where("NOT ended").agg(F.count_distinct(F.struct("id"))).first()[0]
     left, before = open_ids(), None
     while left and left != before:
         above = at.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("steps").alias("__steps"), F.col("ended").alias("__ended")).distinct()
-        at = _written(at.join(above, "up", "left").select("id", F.coalesce("__up", "up").alias("up"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), F.coalesce("__ended", F.lit(True)).alias("ended")))
+        at = written(at.join(above, "up", "left").select("id", F.coalesce("__up", "up").alias("up"), (F.col("steps") + F.coalesce("__steps", F.lit(0))).alias("steps"), F.coalesce("__ended", F.lit(True)).alias("ended")), "chains")
         before, left = left, open_ids()
     return at.select("id", F.when(F.col("ended"), F.col("up")).alias("root"), F.when(F.col("ended"), F.col("steps")).alias("depth"), (~F.col("ended")).alias("in_cycle"))
 

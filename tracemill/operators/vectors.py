@@ -120,6 +120,12 @@ def density_clusters(points: DataFrame, id: str, x: str, y: str, grid: int = 256
     return rows.join(labels, "cell", "left").select(id, "cell", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster"))
 
 
+def label_positions(points: DataFrame, cluster: str, x: str, y: str) -> DataFrame:
+    """Per cluster, where its label stands: the upper medians of its points' coordinates, and how many points it has."""
+    upper = lambda c: F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c} DESC)")
+    return points.groupBy(cluster).agg(upper(x).alias("label_x"), upper(y).alias("label_y"), F.count("*").alias("priority"))
+
+
 def align(pairs: DataFrame, left: str, right: str) -> DataFrame:
     """Adds the longest common subsequence of two arrays of actions: its length, the similarity 2m / (a + b), and
     how many divergent stretches of three or more steps its alignment has."""

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracemill.functions import text
 from tracemill.functions.availability import histogram_text
 from tracemill.operators import aggregation as agg
-from tracemill.operators import outcomes
+from tracemill.operators import outcomes, vectors
 from tracemill.plans.registry import query
 from tracemill.sources.tables import ATTEMPTS_SQL, attempts, table
 
@@ -162,3 +163,61 @@ def known_changes_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.lag("id").over(W.partitionBy("user_id", "domain").orderBy("id"))
     pairs = rows.where("event_type = 'view'").select("user_id", before.alias("from_id"), F.col("id").alias("to_id")).where("from_id IS NOT NULL")
     return outcomes.known_changes_between(rows.drop("event_type"), "user_id", pairs)
+
+
+@query("SELECT doc_id, split_part(source, '-', 2) AS arm FROM (SELECT doc_id, 'run-' || lang || '-' || doc_id AS source FROM documents)")
+def condition_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.concat(F.lit("run-"), "lang", F.lit("-"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.named_group(name, r"^(run)-(?<condition>[a-z]+)-(\d+)$").alias("arm"))
+
+
+@query("""
+SELECT event_id, CASE event_type WHEN 'signup' THEN 'compaction' WHEN 'click' THEN 'edit:shell:src/a.ts' WHEN 'view' THEN 'read:cat:' WHEN 'error' THEN 'check:npm test' ELSE 'other:?' END AS signature FROM events
+""")
+def action_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.col("event_type")
+    of = lambda **values: F.coalesce(*(F.when(kind == k, v) for k, v in values.items()))
+    signature = text.action_signature(
+        F.when(kind == "signup", "compaction").otherwise("tool"), of(click="edit", view="read", error="check", purchase="other", signup="other"), of(view="cat", error="npm test", click=""),
+        of(click="shell", view="read", error="shell"), of(click="src/a.ts", error="x.ts"),
+    )
+    return table(spark, sf_dir, "events").select("event_id", signature.alias("signature"))
+
+
+# units with the sentences that they are embedded as: kind, role, text, tool kind, tool, head, checks, writes, target, lines, status, error, seconds
+_UNITS = [
+    (("message", "user", "do it", "", "", "", "", "", "", 0, "ok", "", 0), "do it"),
+    (("message", "harness", "x", "", "", "", "", "", "", 0, "ok", "", 90), "[injected by harness] x"),
+    (("compaction", "", "", "", "", "", "", "", "", 0, "ok", "", 0), "context compacted"),
+    (("compaction", "", "kept", "", "", "", "", "", "", 0, "ok", "", 0), "context compacted: kept"),
+    (("delegation", "", "", "", "", "", "", "", "", 0, "ok", "", 0), "delegation event: delegation"),
+    (("tool", "", "", "shell", "Bash", "pnpm test", "test,lint", "", "", 0, "error", "exit <n>", 31), "run `pnpm test` (test + lint) — failed: exit <n> [long-running]"),
+    (("tool", "", "", "shell", "Bash", "", "", "src/app/a.ts,b.md", "", 0, "ok", "", 5), "run `Bash` — writes src/app/*.ts (+1 more)"),
+    (("tool", "", "", "edit", "Edit", "", "", "", "src/a.test.ts", 40, "ok", "", 0), "edit src/*.ts (test) (medium edit)"),
+    (("tool", "", "", "read", "Read", "", "", "", "", 0, "error", "", 0), "read a file — failed"),
+    (("tool", "", "", "search", "Grep", "", "", "", "", 0, "ok", "", 0), "search the repository"),
+    (("tool", "", "", "plan", "TodoWrite", "", "", "", "", 0, "ok", "", 0), "update the task plan"),
+    (("tool", "", "", "web", "", "", "", "", "", 0, "ok", "", 0), "use tool unknown"),
+]
+
+
+@query("SELECT event_id, CASE event_id % 12 " + " ".join(f"WHEN {k} THEN '{want}'" for k, (_, want) in enumerate(_UNITS)) + " END AS sentence FROM events")
+def unit_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = "unit_kind role text tool_kind tool_name command_head check_kinds writes target lines_changed status error_signature duration_seconds".split()
+    at = (F.col("event_id") % len(_UNITS) + 1).cast("int")
+    u = {n: F.element_at(F.array(*(F.lit(row[k]) for row, _ in _UNITS)), at) for k, n in enumerate(names)}
+    empty_is_null = lambda c: F.when(c != "", c)
+    u |= {n: empty_is_null(u[n]) for n in ("tool_name", "command_head", "target", "error_signature")}
+    u |= {n: F.filter(F.split(u[n], ","), lambda x: x != "") for n in ("check_kinds", "writes")}
+    u |= {"summary": F.lit(None).cast("string"), "subkind": F.lit(None).cast("string")}
+    return table(spark, sf_dir, "events").select("event_id", text.embed_text(u).alias("sentence"))
+
+
+@query("""
+WITH r AS (SELECT c_nationkey AS cluster, c_acctbal AS x, CAST(c_custkey % 101 AS DOUBLE) AS y, count(*) OVER (PARTITION BY c_nationkey) AS n,
+  row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal) - 1 AS i, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey % 101) - 1 AS j FROM customer)
+SELECT cluster, max(x) FILTER (i = n // 2) AS label_x, max(y) FILTER (j = n // 2) AS label_y, count(*) AS priority FROM r GROUP BY cluster
+""")
+def label_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("cluster"), F.col("c_acctbal").alias("x"), (F.col("c_custkey") % 101).cast("double").alias("y"))
+    return vectors.label_positions(points, "cluster", "x", "y")

@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.plans.registry import query
+from tracemill.sources.scratch import folder
 from tracemill.streaming import monitor
 
 
-def _folder(spark: SparkSession, purpose: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tracemill-")
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-
-
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events.parquet as a stream; a glob, since a stream's source is a folder or a pattern."""
     path = f"{sf_dir}/events.parque[t]"
@@ -25,8 +18,8 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ran(spark: SparkSession, frame: DataFrame, mode: str) -> DataFrame:
-    out = _folder(spark, "stream-out")
-    monitor.replay(frame, out, _folder(spark, "stream-checkpoint"), mode)
+    out = folder(spark, "stream-out")
+    monitor.replay(frame, out, folder(spark, "stream-checkpoint"), mode)
     return spark.read.parquet(out).drop("batch")
 
 
