@@ -40,10 +40,10 @@ _PIECES = re.compile("'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-
 #: The file's normaliser and splitter that _SIMPLE and _PIECES stand for; others take the library's.
 _KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes, about, that a worker keeps for chunks and for pieces that it has seen; longer ones than LONG_ENTRY aren't kept.
-CACHE_BYTES = 40 << 20
+CACHE_BYTES = 64 << 20
 LONG_ENTRY = 256
 #: Characters of text whose chunks are encoded together.
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 21
 _NEVER = np.iinfo(np.int64).max
 
 
