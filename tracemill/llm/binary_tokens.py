@@ -37,12 +37,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.bpe import CACHE_BYTES, Encoder, Kept, Splitter, tokenizer_path
+from tracemill.llm.bpe import Encoder, Kept, Splitter, tokenizer_path
 from tracemill.llm.common import located, map_in_arrow, scratch, strings, table, text_or_empty, written
 
 MAGIC = b"TMTOKENS"
 BLOCK = 1 << 16
 END_ID = 1
+#: Bytes, about, that a worker keeps for chunks of text that it has seen, and half as many for their pieces.
+LIBRARY_CACHE_BYTES = 192 << 20
 #: Bytes of text that a file's ids come from, on average.
 FILE_TEXT_BYTES = 32 << 20
 
@@ -158,23 +160,26 @@ class TokenFile:
 class LibraryEncoder(Encoder):
     """Ids by the tokenizers library, each distinct word asked for once; a chunk is kept as its ids' bytes."""
 
-    def __init__(self, path: str, cache_bytes: int = CACHE_BYTES):
-        self.splitter, self.kept, self.pieces = Splitter(path), Kept(cache_bytes), Kept(cache_bytes)
+    def __init__(self, path: str, cache_bytes: int = LIBRARY_CACHE_BYTES):
+        self.splitter = Splitter(path)
+        self.kept, self.pieces = Kept(cache_bytes, self._chunk), Kept(cache_bytes // 2, self._piece)
         self.simple = re.compile("[!-;=-~À-ÖØ-öø-ÿß]+")  # no "<", with which the special tokens begin
 
-    def learn(self, chunks: set[bytes]) -> None:
-        split, library, model = self.splitter, self.splitter.library, self.splitter.library.model
-        cut: dict[bytes, list[str]] = {}
-        for c in chunks:
-            text = c.decode()
-            if split.known and self.simple.fullmatch(text):
-                cut[c] = split._plain(text)
-            else:
-                self.kept.put(c, np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes())
-        for p in self.pieces.missing({p for ps in cut.values() for p in ps}):
-            self.pieces.put(p, np.array([t.id for t in model.tokenize(p)], "<u4").tobytes())
-        for c, ps in cut.items():
-            self.kept.put(c, b"".join([self.pieces[p] for p in ps]))
+    def _piece(self, piece: str) -> bytes:
+        return np.array([t.id for t in self.splitter.library.model.tokenize(piece)], "<u4").tobytes()
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text, pieces = chunk.decode(), self.pieces
+        if self.splitter.known and self.simple.fullmatch(text):
+            return b"".join([pieces[p] for p in self.splitter._plain(text)])
+        return np.array(self.splitter.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _block(self, block: list[list[bytes]]) -> Iterator[list]:
+        kept = self.kept
+        for chunks in block:
+            yield [kept[c] for c in chunks]
+        kept.settle()
+        self.pieces.settle()
 
 
 @lru_cache(maxsize=2)

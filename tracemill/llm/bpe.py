@@ -42,6 +42,8 @@ _KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Bytes, about, that a worker keeps for chunks and for pieces that it has seen; longer ones than LONG_ENTRY aren't kept.
 CACHE_BYTES = 64 << 20
 LONG_ENTRY = 256
+#: Bytes of an entry besides its key: two objects, their parts, and their slot.
+ENTRY_BYTES = 250
 #: Characters of text whose chunks are encoded together.
 BATCH_CHARS = 1 << 21
 _NEVER = np.iinfo(np.int64).max
@@ -246,27 +248,38 @@ def vocabulary(path: str) -> Vocabulary:
 
 class Kept(dict):
     """What a worker keeps, in two generations of half the bytes each: what is met again moves to the young one,
-    and when that is full the old one goes. Long keys stay until the next ``settle`` only."""
+    and when that is full the old one goes. Long keys stay until the next ``settle`` only.
 
-    def __init__(self, limit: int):
+    ``kept[key]`` makes what it lacks, one by one; ``missing`` and ``add`` are for keys that are made together.
+    """
+
+    def __init__(self, limit: int, make: Callable | None = None):
         super().__init__()
-        self.limit, self.old, self.size, self.long = limit, {}, 0, []
+        self.limit, self.make, self.old, self.size, self.long = limit, make, {}, 0, []
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        if len(key) > LONG_ENTRY:
+            self.long.append(key)
+        self.size += ENTRY_BYTES + 5 * len(key)
+        return value
 
     def missing(self, keys: set) -> set:
         """Those of the keys that are unknown; the known ones are in the young generation then."""
         new = keys.difference(self)
         if self.old:
-            for k in [k for k in new if k in self.old]:
-                self.put(k, self.old.pop(k))
-                new.discard(k)
+            again = {k: self.old.pop(k) for k in new.intersection(self.old)}
+            self.add(again)
+            new.difference_update(again)
         return new
 
-    def put(self, key, value) -> None:
-        self[key] = value
-        if len(key) > LONG_ENTRY:
-            self.long.append(key)
-        else:
-            self.size += 250 + 5 * len(key)  # two objects, their parts, and their slot
+    def add(self, made: dict) -> None:
+        self.update(made)
+        self.size += ENTRY_BYTES * len(made) + 5 * sum(map(len, made))
+        self.long += [k for k in made if len(k) > LONG_ENTRY]
 
     def settle(self) -> None:
         """Ends a batch: only now may something go."""
@@ -291,11 +304,9 @@ class Encoder:
         """Encodes the chunks that aren't kept yet, their distinct pieces at once."""
         split = {c: self.splitter.pieces(c.decode()) for c in chunks}
         words = list(self.pieces.missing({p for ps in split.values() for p in ps if isinstance(p, str)}))
-        for w, ids in zip(words, self.vocabulary.encode_words(words), strict=True):
-            self.pieces.put(w, ids)
+        self.pieces.add(dict(zip(words, self.vocabulary.encode_words(words), strict=True)))
         ids, render = self.pieces, self.render
-        for c, ps in split.items():
-            self.kept.put(c, render(ids[ps[0]] if len(ps) == 1 and ps[0] in ids else [i for p in ps for i in ([p] if isinstance(p, int) else ids[p])]))
+        self.kept.add({c: render(ids[ps[0]] if len(ps) == 1 and ps[0] in ids else [i for p in ps for i in ([p] if isinstance(p, int) else ids[p])]) for c, ps in split.items()})
 
     def texts(self, texts: Iterable[str | None], batch_chars: int = BATCH_CHARS) -> Iterator[list]:
         """For each text, what is kept for its chunks in order."""
