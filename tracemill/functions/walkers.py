@@ -133,6 +133,22 @@ def _loaded(text: object) -> object:
         return text
 
 
+def blinded(spark: SparkSession, names: dict[str, str]) -> Callable:
+    """A column function: JSON without the models' names, in canonical form; text that isn't JSON is blinded as text."""
+    ship(spark)
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(text: object) -> str | None:
+            value = blind(_loaded(text), names)
+            plain = value is None or (isinstance(value, str) and not text.lstrip().startswith('"'))
+            return value if plain else json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+        return s.map(one, na_action=None)
+
+    return run
+
+
 def udfs(spark: SparkSession) -> dict:
     """visible_text, result_text, edit_lines and folders of a column of JSON, for SQL as well."""
     ship(spark)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracemill import schemas
+from tracemill.functions.text import parsed_json
 from tracemill.operators.sequences import first_per_key, unique_lowest
 
 
@@ -174,7 +175,7 @@ def normalize(native: DataFrame) -> DataFrame:
     """native: schemas.NATIVE, doc being JSON. Returns schemas.EVENT, a row for each record that a rule covers,
     and one for each tool block of an agent SDK message."""
     v = F.col("__v")
-    rows = native.withColumn("__v", F.try_parse_json("doc"))
+    rows = native.withColumn("__v", parsed_json(F.col("doc")))
     attributes = _by_harness(lambda a: F.map_filter(F.create_map(*(x for k, p in {"toolName": a.tool, "callId": a.call, "sessionId": a.session, **{k: (p,) for k, p in a.attributes.items()}}.items() for x in (F.lit(k), _first(v, p)))), lambda _, y: y.isNotNull()))
     given = _by_harness(lambda a: _first(v, a.input, "variant").cast("variant") if a.input else F.lit(None).cast("variant"))
     rows = rows.select(
@@ -233,7 +234,7 @@ def _shaped(rows: DataFrame) -> DataFrame:
 def unmapped(native: DataFrame, events: DataFrame) -> DataFrame:
     """Captured records that no event came from, with the reason."""
     key = ["run_id", "attempt_id", "artifact_id", "locator"]
-    reason = F.when(F.try_parse_json("doc").isNull(), "not valid JSON").otherwise("no uniform mapping for this native type")
+    reason = F.when(parsed_json(F.col("doc")).isNull(), "not valid JSON").otherwise("no uniform mapping for this native type")
     return native.join(events.select(*key).distinct(), key, "left_anti").select(*key, reason.alias("reason"))
 
 

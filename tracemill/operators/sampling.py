@@ -105,6 +105,31 @@ def select_evidence(df: DataFrame, by: str, tier: str, order: list[str], size: s
     return df.groupBy(by).applyInPandas(choose, schema)
 
 
+def pack_context(df: DataFrame, by: str, order: list[str], size: str, note: str, budget: int) -> DataFrame:
+    """Rows in order while their sizes fit into the budget. A row left out costs its note, for which the last rows that
+    were taken give way where it no longer fits: adds included. A partition is one task's, so it is to be bounded."""
+    import pandas as pd
+
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        sizes, notes = rows[size].tolist(), rows[note].tolist()
+        taken, used = [], 0
+        for k, s in enumerate(sizes):
+            if used + s <= budget:
+                taken.append(k)
+                used += s
+                continue
+            used += notes[k]
+            while used > budget and taken:
+                last = taken.pop()
+                used += notes[last] - sizes[last]
+        inside = set(taken)
+        return rows.assign(included=[k in inside for k in range(len(sizes))])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", included boolean"
+    return df.groupBy(by).applyInPandas(pack, schema)
+
+
 def compile_queue(cells: DataFrame, experiment: str, strategy: str, seed: str) -> DataFrame:
     """A run matrix as an ordered queue: position and run_id, a digest of the experiment and the cell.
 

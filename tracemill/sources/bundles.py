@@ -8,9 +8,10 @@ import struct
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tracemill import schemas
-from tracemill.functions.text import csv_safe, digest
+from tracemill.functions.text import csv_safe, digest, parsed_json
 from tracemill.operators.sets import verify_manifest
 from tracemill.sources.shipping import ship
 
@@ -58,7 +59,7 @@ def corpus_index(found: DataFrame) -> DataFrame:
 
     The structural qualification supersedes the legacy one; without either it is "unavailable".
     """
-    doc = F.try_parse_json("text")
+    doc = parsed_json(F.col("text"))
     rows = found.select("manifest_path", digest(F.col("text")).alias("manifest_digest"), doc.alias("doc"))
     rows = rows.select("manifest_path", "manifest_digest", "doc", *(F.try_variant_get("doc", p, "bigint" if c == "attempt_number" else "string").alias(c) for c, p in PATHS.items()))
     evidence = F.try_variant_get("doc", "$.evidence", "array<struct<id: string, kind: string, source: string, mediaType: string, digest: string, status: string, workspaceArtifactId: string>>")
@@ -78,6 +79,28 @@ def corpus_index(found: DataFrame) -> DataFrame:
     )
 
 
+def write_index(index: DataFrame, path: str) -> None:
+    """An index as JSON lines in canonical form: keys sorted, nulls left out, an existing one is an error."""
+    index.select(F.to_json(F.struct(*sorted(index.columns))).alias("value")).write.mode("errorifexists").text(path)
+
+
+def read_index(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A stored index; a line that isn't JSON, or repeats a key, is a row of nulls with its text in ``broken``."""
+    lines = spark.read.text(path)
+    whole = parsed_json(F.col("value")).isNotNull()
+    rows = lines.select(F.when(whole, F.from_json("value", schema)).alias("r"), F.when(~whole, F.col("value")).alias("broken"))
+    return rows.select(*(F.col("r")[c].alias(c) for c in schema.names), "broken")
+
+
+def telemetry_receipts(documents: DataFrame, text: str) -> DataFrame:
+    """Adds receipt (canonical JSON, null if there is none) and receipt_status, "absent" without one."""
+    doc = parsed_json(F.col(text))
+    receipt = F.try_variant_get(doc, "$.telemetry.receipt", "variant")
+    record = F.schema_of_variant(receipt).startswith("OBJECT")
+    status = F.try_variant_get(doc, "$.telemetry.receipt.status", "string")
+    return documents.withColumns({"receipt": F.when(record, F.to_json(receipt)), "receipt_status": F.when(record, status).otherwise("absent")})
+
+
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
     """path, locator (line:N) and text of the lines of JSONL files that hold something; a file is one row until it is split."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
@@ -87,9 +110,9 @@ def jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 def envelope_breaches(lines: DataFrame) -> DataFrame:
     """Lines that aren't JSON, or whose sequence isn't their line number."""
-    sequence = F.try_variant_get(F.try_parse_json("text"), "$.sequence", "bigint")
+    sequence = F.try_variant_get(parsed_json(F.col("text")), "$.sequence", "bigint")
     line = F.regexp_extract("locator", "line:(\\d+)", 1).cast("long")
-    problem = F.when(F.try_parse_json("text").isNull(), "not-json").when(sequence.isNotNull() & (sequence != line), "sequence-differs")
+    problem = F.when(parsed_json(F.col("text")).isNull(), "not-json").when(sequence.isNotNull() & (sequence != line), "sequence-differs")
     return lines.select("path", "locator", problem.alias("problem")).where("problem IS NOT NULL")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tracemill.functions.text import parsed_json
 from tracemill.sources.shipping import ship
 
 QUIET_SECONDS = 120
@@ -21,7 +22,7 @@ QUIET_SECONDS = 120
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A folder of growing JSONL: new files become rows; lines that don't parse are left out, not fatal."""
     lines = spark.readStream.format("text").load(path)
-    return lines.where(F.try_parse_json("value").isNotNull()).select(F.from_json("value", schema).alias("x")).select("x.*")
+    return lines.where(parsed_json(F.col("value")).isNotNull()).select(F.from_json("value", schema).alias("x")).select("x.*")
 
 
 def accumulators(events: DataFrame, by: str, counted: dict[str, Column], known: Column | None = None) -> DataFrame:
