@@ -2,7 +2,20 @@
 
 from __future__ import annotations
 
-from tracemill.llm import binary_tokens, bpe, exact_dedup, html_extract, mixing, quality, sharding, simhash, substring_dedup, toxicity
+from tracemill.llm import (
+    binary_tokens,
+    bpe,
+    exact_dedup,
+    html_extract,
+    mixing,
+    quality,
+    sentencepiece_bpe,
+    sharding,
+    simhash,
+    substring_dedup,
+    toxicity,
+    vector_codes,
+)
 
 QUERIES = {
     "op1_html_extraction": html_extract.op1_html_extraction,
@@ -15,10 +28,13 @@ QUERIES = {
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_permutation_table": sharding.op9_permutation_table,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_sentencepiece": sentencepiece_bpe.op12_sentencepiece,
 }
 ORACLES = {
     "op2_quality_rules": quality.ORACLE_SQL,
     "op6_pareto_mixing": mixing.ORACLE_SQL,
     "op9_permutation_table": sharding.oracle_sql(),
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op11_vector_codes": vector_codes.ORACLE_SQL,
 }
