@@ -12,6 +12,7 @@ from tracemill.llm import (
     sentencepiece_bpe,
     sharding,
     simhash,
+    spelling,
     substring_dedup,
     toxicity,
     vector_codes,
@@ -30,6 +31,7 @@ QUERIES = {
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
     "op11_vector_codes": vector_codes.op11_vector_codes,
     "op12_sentencepiece": sentencepiece_bpe.op12_sentencepiece,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }
 ORACLES = {
     "op2_quality_rules": quality.ORACLE_SQL,
@@ -37,4 +39,5 @@ ORACLES = {
     "op9_permutation_table": sharding.oracle_sql(),
     "op10_exact_dedup": exact_dedup.ORACLE_SQL,
     "op11_vector_codes": vector_codes.ORACLE_SQL,
+    "op13_spelling_variants": spelling.ORACLE_SQL,
 }
