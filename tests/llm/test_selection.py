@@ -57,11 +57,11 @@ def test_mixing(spark):
     rows += [(600, "f", None), (601, "f", ""), (None, "a", "x y z"), (7, rows[7][1], rows[7][2])]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("target", F.lit("clash"))
     got = mixing.sample(docs).collect()
-    sizes = collections.Counter()
+    sizes = collections.collections.Counter()
     for _, s, t in rows:
         sizes[s] += len((t or "").split())
     want = _targets(sizes)
-    taken, most = collections.Counter(), collections.Counter()
+    taken, most = collections.collections.Counter(), collections.collections.Counter()
     for r in got:
         assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(want[r["source"]])
         assert r["taken"] in (0, r["size"], 2 * r["size"])
@@ -300,3 +300,20 @@ def test_hot_key_is_salted(spark, tmp_path):
     sharding.write_shards(docs, F.col("source"), sharding.shard_names(4), str(tmp_path / "s"), salts=16)
     back = spark.read.parquet(str(tmp_path / "s"))
     assert back.count() == 902 and back.where("source = 'hot'").select("shard").distinct().count() > 1
+
+
+def test_the_mix_stage_takes_repeated_rows_as_the_sample_does(spark):
+    """Rows that agree in id, source and size are taken one by one where a source's sample ends among them."""
+    words = lambda n: " ".join(["w"] * n)
+    rows = [(k % 40 if k % 5 else None, words(1 + k % 4), "abc"[k % 3], "en") for k in range(400)] + [(7, words(3), "d", "en")] * 33 + [(None, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, file string")
+    count = lambda t: len(t.split()) if t else 0
+    want, total = collections.Counter(), collections.Counter()
+    for r in mixing.sample(docs).collect():
+        want[(r["doc_id"], r["source"], r["size"])] += r["copies"]
+        total[r["source"]] += r["taken"]
+    got = mixing.mix_stage(spark, docs.repartition(3), "").collect()
+    assert collections.Counter((r["doc_id"], r["source"], count(r["text"])) for r in got) == +want
+    assert any(0 < n % 11 < 11 for n in want.values())
+    split = [k for k, n in want.items() if n % collections.Counter((r[0], r[2], count(r[1])) for r in rows)[k]]
+    assert split  # some group is taken in part

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -36,23 +37,29 @@ def scratch(spark: SparkSession, purpose: str, kept: bool = False) -> str:
         if not (root := getattr(spark, "_tracemill_scratch", None)):
             root = spark._tracemill_scratch = "file://" + tempfile.mkdtemp(prefix="tracemill-")
     path = f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
-    if len(_SCOPES) > kept:
-        _SCOPES[-1 - kept].append(path)
+    if len(_scopes()) > kept:
+        _scopes()[-1 - kept].append(path)
     return path
 
 
-#: Folders made since each of the open scopes began.
-_SCOPES: list[list[str]] = []
+_OWN = threading.local()
+
+
+def _scopes() -> list[list[str]]:
+    """Folders made since each of the open scopes of this thread began: runs side by side have their own."""
+    if not hasattr(_OWN, "scopes"):
+        _OWN.scopes = []
+    return _OWN.scopes
 
 
 @contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Folders that are made inside go at the end: what is to stay must have been written outside of them by then."""
-    _SCOPES.append([])
+    _scopes().append([])
     try:
         yield
     finally:
-        discard(spark, *_SCOPES.pop())
+        discard(spark, *_scopes().pop())
 
 
 def discard(spark: SparkSession, *paths: str) -> None:

@@ -19,7 +19,7 @@ That end is computed at once: in ascending order of cap over weight, the first s
 
 Defined results: a null text has size 0; documents of size 0 take part and count nothing; a null source
 is a source; a null doc_id has a U of its own; repeated rows have the same U, and ties in Q are broken
-by doc_id; an empty table gives no rows.
+by doc_id, then size, rows that agree in all being taken in any order; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.common import WORD, table, text_or_empty, written
+from tracemill.llm.common import WORD, located, table, text_or_empty, written
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -140,23 +140,47 @@ def sample(docs: DataFrame, seed: int = SEED) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def _some_of(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """groups: k and n. As many places (file, row) of each group's rows as its n says, in the order of the places.
+
+    A group may hold any number of rows: they are numbered within their files, and the files' counts, of which there
+    are few, are added up.
+    """
+    own = written(rows.join(groups, "k").select("k", "n", "file", "row"), "end-bin-rows")
+    counts = own.groupBy("k", "file").agg(F.count("*").alias("rows"))
+    before = F.coalesce(F.sum("rows").over(Window.partitionBy("k").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("k", "file", before.alias("before"))
+    numbered = own.withColumn("at", F.row_number().over(Window.partitionBy("k", "file").orderBy("row")))
+    return numbered.join(counts, ["k", "file"]).where(F.col("before") + F.col("at") <= F.col("n")).select("file", "row")
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as often as the mix takes it.
 
     A document's copies follow from its own rank and its source's row, so texts don't move: they meet a row
-    for each source and, for the end bins, about a millionth of the documents.
+    for each source and, for the end bins, about a millionth of the documents. Rows that agree in id, source and
+    size lie together in a source's order; where its sample ends among them, the first of them by place are taken.
+
+    Rows without an id, and repeated ones, are taken row by row, as many as the sample has; a null text has no words
+    and is never taken; a null source is one of its own, the last; an empty table gives no rows; columns may have any name.
     """
     columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("__doc"), "doc_id", "source", "text")
-    sources, _, edge = _plan(written(sizes(rows), "sized"), SEED)
-    ends = written(edge.groupBy("doc_id", "source", "size").agg(F.max("extra").alias("at_end")), "end-bins")
-    rows = rows.select("__doc", F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
-    ranked = _ranked(rows, sources, SEED).withColumn("extra", _clear())
-    same = ranked["doc_id"].eqNullSafe(ends["doc_id"]) & ranked["source"].eqNullSafe(ends["source"]) & (ranked["size"] == ends["size"]) & ranked["extra"].isNull()
-    copies = (F.col("whole") + F.coalesce("extra", "at_end", F.lit(0))).cast("int")
-    taken = ranked.join(ends.select("doc_id", "source", "size", "at_end"), same, "left").select("__doc", copies.alias("__copies")).where("__copies > 0")
-    taken = taken.select("__doc", F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy"))
-    return taken.select(*(F.col("__doc")[c].alias(c) for c in columns))
+    located_docs = located(docs).select("doc", "file", "row", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.source").cast("string").alias("source"), F.regexp_count(text_or_empty("doc.text"), F.lit(WORD)).cast("long").alias("size"))
+    sources, _, edge = _plan(written(located_docs.select("doc_id", "source", "size"), "sized"), SEED)
+    key = lambda df: F.struct(df["doc_id"], df["source"], df["size"])
+    ends = edge.groupBy("doc_id", "source", "size").agg(F.sum("extra").alias("n"), F.count("*").alias("rows"))
+    ends = written(ends.select(F.struct("doc_id", "source", "size").alias("k"), "n", "rows"), "end-bins")
+    ranked = _ranked(located_docs, sources, SEED).withColumn("extra", _clear())
+    found = ranked.join(ends, (key(ranked) == ends["k"]) & ranked["extra"].isNull(), "left")
+    extra = F.coalesce("extra", F.when(F.col("n") == F.col("rows"), 1).when(F.col("n") == 0, 0))
+    split = ends.where("n > 0 AND n < rows").select("k", "n")
+    if not split.isEmpty():  # at most one group of a source
+        places = written(_some_of(located_docs.select(key(located_docs).alias("k"), "file", "row"), split), "end-rows").select(F.col("file").alias("__file"), F.col("row").alias("__row"))
+        found = found.join(places, (F.col("file") == F.col("__file")) & (F.col("row") == F.col("__row")) & extra.isNull(), "left")
+        extra = F.coalesce(extra, F.col("__row").isNotNull().cast("int"))
+    copies = (F.col("whole") + F.coalesce(extra, F.lit(0))).cast("int")
+    taken = found.select("doc", copies.alias("copies")).where("copies > 0").select("doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    return taken.select(*(F.col("doc")[c].alias(c) for c in columns))
 
 
 ORACLE_SQL = f"""
