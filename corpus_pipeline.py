@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracemill.llm import bpe, exact_dedup, mixing, quality, simhash
-from tracemill.llm.common import scratch_scope, table, written
+from tracemill.llm.common import discard, scratch, scratch_scope, table
 
 STAGES = [
     ("quality_rules", quality.filter_stage),
@@ -23,8 +23,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
+        path = scratch(spark, name)
         with scratch_scope(spark):  # what a stage has written on its way goes when its result stands
-            docs = written(stage(spark, docs, sf_dir), name, kept=True)
+            out = stage(spark, docs, sf_dir)
+            out.write.parquet(path)
+        docs = spark.read.schema(out.schema).parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
