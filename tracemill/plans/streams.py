@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.plans.registry import query
+from tracemill.plans import timelines  # noqa: F401  the batch operators' SQL is registered there
+from tracemill.plans.registry import ORACLES, query
 from tracemill.sources.scratch import folder
-from tracemill.streaming import monitor
+from tracemill.sources.tables import operations
+from tracemill.streaming import chains, monitor
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,3 +49,45 @@ SELECT user_id AS key, event_id AS at, p AS before, event_type AS after FROM l W
 """)
 def state_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ran(spark, monitor.transitions(_events(spark, sf_dir), "user_id", "event_id", "event_type"), "append")
+
+
+BATCHES = 3
+#: A scope is closed after so long without a record; the replay's last record is later than that.
+IDLE_MS = 366 * 86_400_000
+
+
+def _replayed(spark: SparkSession, records: DataFrame, fold: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a fold gives for records (scope, id, ts, ...) that arrive in batches of equal time, every seventh one a
+    batch late. Each batch is a run of its own that goes on from the checkpoint; a far later record ends the stream."""
+    arriving, out, checkpoint = (folder(spark, f"stream-{x}") for x in ("arriving", "out", "checkpoint"))
+    span = records.agg(F.min(F.unix_micros("ts")).alias("first"), F.max(F.unix_micros("ts")).alias("last")).first()
+    first, last = span["first"] or 0, span["last"] or 0
+    width = (last - first) // BATCHES + 1
+    batch = F.floor((F.unix_micros("ts") - first) / width) + (F.col("id") % 7 == 3).cast("int")
+    end = spark.range(1).select(F.timestamp_micros(F.lit(last + 4 * IDLE_MS * 1000)).alias("ts"))
+    parts = [records.where(batch == k) for k in range(BATCHES + 1)]
+    with chains.state_store(spark) as own:
+        for part in [*parts, records.limit(0).unionByName(end, allowMissingColumns=True)]:
+            part.write.mode("append").parquet(arriving)
+            stream = own.readStream.schema(records.schema).parquet(arriving)
+            monitor.replay(fold(chains.timed(stream, "ts", f"{2 * width} microseconds")), out, checkpoint, "append")
+    return spark.read.parquet(out).drop("batch")
+
+
+@query(ORACLES["failure_chains"])
+def failure_chains_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ops = operations(spark, sf_dir)
+    records = ops.select(F.col("session_id").alias("scope"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.col("tool_name").alias("tool"), "failed")
+    found = _replayed(spark, records, lambda r: chains.failure_chains(r, "scope", IDLE_MS))
+    return found.select(F.col("scope").cast("long").alias("session_id"), F.col("tool").alias("tool_name"), "failures", "first_failure", "last_failure", "response", "next_outcome")
+
+
+@query(f"""
+SELECT session_id, boundary, count(*) AS records, min(event_id) AS first_record, max(event_id) AS last_record, string_agg(DISTINCT kind, ' ' ORDER BY kind) AS kinds
+FROM ({ORACLES["compaction_boundaries"]}) GROUP BY session_id, boundary
+""")
+def compaction_boundaries_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("event_type").isin("click", "signup"), F.concat(F.col("event_type"), (F.col("input_digest") % 3).cast("string")))
+    records = operations(spark, sf_dir).select(F.col("session_id").alias("scope"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.col("failed").alias("breaks"))
+    found = _replayed(spark, records, lambda r: chains.compaction_boundaries(r, "scope", IDLE_MS))
+    return found.select(F.col("scope").cast("long").alias("session_id"), "boundary", "records", "first_record", "last_record", F.array_join("kinds", " ").alias("kinds"))

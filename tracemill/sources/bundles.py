@@ -8,6 +8,7 @@ import struct
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql.types import StructType
 
 from tracemill import schemas
@@ -102,10 +103,17 @@ def telemetry_receipts(documents: DataFrame, text: str) -> DataFrame:
 
 
 def jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """path, locator (line:N) and text of the lines of JSONL files that hold something; a file is one row until it is split."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where(F.trim("line") != "")
-    return lines.select("path", F.concat(F.lit("line:"), (F.col("n") + 1).cast("string")).alias("locator"), F.col("line").alias("text"))
+    """path, locator (line:N) and text of the lines of JSONL files that hold something. Files are read in splits: a
+    line's number is its place in its split and the lines of the splits before it, of which there are few rows."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("id"), "value"
+    )
+    splits = lines.groupBy("path", "split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("path").orderBy("split").rowsBetween(W.unboundedPreceding, -1))
+    splits = splits.select("path", "split", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    numbered = lines.join(splits, ["path", "split"]).withColumn("n", F.col("before") + F.col("id") - F.col("first") + 1)
+    text = F.regexp_replace("value", "\r$", "")
+    return numbered.where(F.trim(text) != "").select("path", F.concat(F.lit("line:"), F.col("n").cast("string")).alias("locator"), text.alias("text"))
 
 
 def envelope_breaches(lines: DataFrame) -> DataFrame:
