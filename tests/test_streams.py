@@ -1,9 +1,12 @@
 """Folds over streams: how records fall into batches doesn't matter, late ones wait, idle scopes are closed."""
 
+import json
+import os
 import tempfile
 
 from pyspark.sql import functions as F
 
+from tracemill.sources import bundles, tail
 from tracemill.streaming import chains, monitor
 
 OPS = "id long, ts string, scope string, tool string, failed boolean"
@@ -36,3 +39,63 @@ def test_boundaries_end_at_breaks_and_repeats(spark):
     rows = [(k, f"2024-01-01 00:00:{k:02d}", "s", kind, breaks) for k, (kind, breaks) in enumerate([("x", False), ("y", False), (None, False), ("x", False), (None, True), ("y", False)])]
     found = replayed(spark, [rows[::2], rows[1::2], LAST], lambda r: chains.compaction_boundaries(r, "scope", 10**10), "id long, ts string, scope string, kind string, breaks boolean")
     assert found == [("s", 0, 2, 0, 1, ["x", "y"]), ("s", 1, 1, 3, 3, ["x"]), ("s", 2, 1, 5, 5, ["y"])]
+
+
+def tailed(spark, d):
+    monitor.replay(tail.tail(spark, f"{d}/in"), f"{d}/out", f"{d}/state", "append")
+    rows = spark.read.parquet(f"{d}/out")
+    last = rows.agg(F.max("batch")).first()[0]
+    return sorted((os.path.basename(r["path"]), r["at"], r["text"]) for r in rows.where(F.col("batch") == last).collect())
+
+
+def test_tail_gives_complete_new_lines_and_resets(spark):
+    d = tempfile.mkdtemp(prefix="spark-")
+    os.makedirs(f"{d}/in")
+
+    def put(name, text, mode="a"):
+        with open(f"{d}/in/{name}", mode, newline="") as f:
+            f.write(text)
+
+    put("a.jsonl", '{"a":1}\n\n{"a":2}\r\nopen é')
+    put("b.jsonl", "x\ny\nz\n")
+    put("c.txt", "not one of them\n")
+    assert tailed(spark, d) == [("a.jsonl", 0, '{"a":1}'), ("a.jsonl", 9, '{"a":2}'), ("b.jsonl", 0, "x"), ("b.jsonl", 2, "y"), ("b.jsonl", 4, "z")]
+    put("a.jsonl", " end\nnext\nopen")
+    put("b.jsonl", "v\nw\n", "w")  # truncated and shorter
+    assert tailed(spark, d) == [("a.jsonl", 18, "open é end"), ("a.jsonl", 30, "next"), ("b.jsonl", 0, "v"), ("b.jsonl", 2, "w")]
+    put("b.jsonl", "written anew in place\n", "w")
+    put("new", "".join(f"{k}\n" for k in range(30)), "w")
+    os.replace(f"{d}/in/new", f"{d}/in/a.jsonl")  # another file of that name
+    assert tailed(spark, d) == sorted([("b.jsonl", 0, "written anew in place"), *(("a.jsonl", 2 * k - min(0, 10 - k) * (k > 10), str(k)) for k in range(30))])
+    put("b.jsonl", "more\n")
+    os.remove(f"{d}/in/a.jsonl")
+    assert tailed(spark, d) == [("b.jsonl", 22, "more")]
+
+
+def test_ranges_share_a_files_lines(tmp_path):
+    lines = ["x" * (k % 7) + str(k) for k in range(200)]
+    path = tmp_path / "f"
+    path.write_text("\n".join(lines) + "\n")
+    size = path.stat().st_size
+    import pyarrow.fs as fs
+
+    for step in (1, 5, 64, size):
+        got = []
+        for at in range(0, size, step):
+            with fs.LocalFileSystem().open_input_file(str(path)) as f:
+                got += [t for rows in tail._lines(f, tail.Range(str(path), at, min(at + step, size), at == 0), block=16) for _, t in rows]
+        assert got == lines
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    for name, n in (("a", 400), ("b", 3)):
+        with open(tmp_path / f"{name}.jsonl", "w", newline="") as f:
+            f.writelines(f"{json.dumps({'n': k})}\r\n" if k % 5 else "\n" for k in range(1, n + 1))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        rows = bundles.jsonl(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = sorted((os.path.basename(r["path"]), int(r["locator"].removeprefix("line:")), r["text"]) for r in rows)
+    assert got == sorted((f"{name}.jsonl", k, json.dumps({"n": k})) for name, n in (("a", 400), ("b", 3)) for k in range(1, n + 1) if k % 5)

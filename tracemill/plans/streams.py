@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import os
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.plans import timelines  # noqa: F401  the batch operators' SQL is registered there
 from tracemill.plans.registry import ORACLES, query
+from tracemill.sources import tail
 from tracemill.sources.scratch import folder
-from tracemill.sources.tables import operations
+from tracemill.sources.tables import operations, table
 from tracemill.streaming import chains, monitor
 
 
@@ -91,3 +94,58 @@ def compaction_boundaries_streamed(spark: SparkSession, sf_dir: str) -> DataFram
     records = operations(spark, sf_dir).select(F.col("session_id").alias("scope"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("kind"), F.col("failed").alias("breaks"))
     found = _replayed(spark, records, lambda r: chains.compaction_boundaries(r, "scope", IDLE_MS))
     return found.select(F.col("scope").cast("long").alias("session_id"), "boundary", "records", "first_record", "last_record", F.array_join("kinds", " ").alias("kinds"))
+
+
+#: Rows of a growing file, about; a file is written by one task.
+LOG_ROWS = 5_000
+
+
+def _grown(logs: DataFrame, root: str, step: int) -> None:
+    """Files of logs (file, step, event_id, line) as they stand after a step. Step 0 leaves its last line without an
+    end, step 1 goes on behind it; step 2 writes on, truncates and starts anew, or puts another file in its place, by
+    the file's number. A task that runs again leaves the same files: each step knows where it begins."""
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pathlib import Path
+
+        lines: dict[int, list[list[str]]] = {}
+        for b in batches:
+            for r in b.to_pylist():
+                lines.setdefault(r["file"], [[], [], []])[r["step"]].append(r["line"])
+        for number, parts in lines.items():
+            first, second, third = ("".join(f"{x}\n" for x in p).encode() for p in parts)
+            path, open_end = Path(root) / f"log-{number}.jsonl", max(len(first) - 8, 0)
+            if step == 0:
+                path.write_bytes(first[:open_end])
+            elif step == 1 or number % 3 == 0:
+                at, rest = (open_end, first[open_end:] + second) if step == 1 else (len(first + second), third)
+                with open(path, "r+b") as f:
+                    f.seek(at)
+                    f.truncate()
+                    f.write(rest)
+            elif number % 3 == 1:
+                path.write_bytes(third)
+            else:
+                new = path.with_suffix(".new")
+                new.write_bytes(third)
+                os.replace(new, path)
+            yield pa.RecordBatch.from_pydict({"file": [number]})
+
+    logs.repartition("file").sortWithinPartitions("file", "event_id").mapInArrow(write, "file long").write.format("noop").mode("overwrite").save()
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def growing_files_tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as lines of files that grow, are truncated and replaced between batches: every line comes once. The files
+    lie in the shared folder, which must be one that tasks can open by its path."""
+    events = table(spark, sf_dir, "events")
+    files = max(6, events.count() // LOG_ROWS)
+    logs = events.select((F.col("user_id") % files).alias("file"), (F.col("event_id") % 3).cast("int").alias("step"), "event_id", F.to_json(F.struct("event_id", "user_id", "event_type", "value")).alias("line"))
+    root, out, checkpoint = (folder(spark, f"tail-{x}") for x in ("logs", "out", "checkpoint"))
+    local = root.removeprefix("file://")
+    os.makedirs(local, exist_ok=True)
+    stream = tail.tail_json(spark, local, "event_id long, user_id long, event_type string, value double")
+    for step in range(3):
+        _grown(logs, local, step)
+        monitor.replay(stream, out, checkpoint, "append")
+    return spark.read.parquet(out).drop("batch")
