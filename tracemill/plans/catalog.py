@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracemill.plans import analytics, corpus, evaluation, exports, outcomes, records, streams, texts, timelines  # noqa: F401  the modules register their queries
+from tracemill.plans import analytics, corpus, evaluation, exports, folds, outcomes, records, streams, texts, timelines  # noqa: F401  the modules register their queries
 from tracemill.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
