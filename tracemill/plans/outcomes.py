@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from tracemill.functions import text
 from tracemill.functions.availability import histogram_text
 from tracemill.operators import aggregation as agg
-from tracemill.operators import outcomes, vectors
+from tracemill.operators import intervals, outcomes, vectors
 from tracemill.plans.registry import query
 from tracemill.sources.tables import ATTEMPTS_SQL, attempts, table
 
@@ -165,6 +165,26 @@ def known_changes_between(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.known_changes_between(rows.drop("event_type"), "user_id", pairs)
 
 
+@query("""
+WITH e AS (SELECT user_id, event_id AS id, 'd' || (event_id % 3) AS d, event_id // 2 AS v, CASE WHEN event_id % 9973 <> 0 THEN epoch_us(ts) // 60000000 + 7 * (event_id % 3) END AS t, event_type = 'purchase' AS c, event_type FROM events),
+p AS (SELECT user_id, lag(id) OVER w AS f, id AS o FROM e WHERE event_type IN ('view', 'click') WINDOW w AS (PARTITION BY user_id ORDER BY id)),
+x AS (
+  SELECT p.user_id, p.f, p.o, CASE WHEN c.id IS NULL THEN 9 WHEN c.id = ef.id THEN 0 WHEN c.d = ef.d THEN CASE WHEN c.v <> ef.v THEN sign(c.v - ef.v) END WHEN c.t <> ef.t THEN sign(c.t - ef.t) END AS after,
+         CASE WHEN c.id IS NULL THEN 9 WHEN c.id = eo.id THEN 0 WHEN c.d = eo.d THEN CASE WHEN c.v <> eo.v THEN sign(eo.v - c.v) END WHEN c.t <> eo.t THEN sign(eo.t - c.t) END AS before
+  FROM p JOIN e ef ON ef.id = p.f JOIN e eo ON eo.id = p.o LEFT JOIN (SELECT * FROM e WHERE c) c ON c.user_id = p.user_id
+)
+SELECT user_id, f AS from_id, o AS to_id, CASE WHEN count(*) = count(after) AND count(*) = count(before) THEN count(*) FILTER (after = 1 AND before = 1) END AS changes FROM x GROUP BY ALL
+""")
+def changes_across_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbouring views and clicks of a user, two of three in different domains; values tie, times jump between domains."""
+    id = F.col("event_id")
+    minute = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 60_000_000) + 7 * (id % 3)
+    rows = table(spark, sf_dir, "events").select("user_id", id.alias("id"), F.concat(F.lit("d"), (id % 3).cast("string")).alias("domain"), F.floor(id / 2).alias("value"), F.when(id % 9973 != 0, minute).alias("time"), (F.col("event_type") == "purchase").alias("change"), "event_type")
+    before = F.lag("id").over(W.partitionBy("user_id").orderBy("id"))
+    pairs = rows.where("event_type IN ('view', 'click')").select("user_id", before.alias("from_id"), F.col("id").alias("to_id")).where("from_id IS NOT NULL")
+    return intervals.changes_between(rows.drop("event_type"), "user_id", pairs)
+
+
 @query("SELECT doc_id, split_part(source, '-', 2) AS arm FROM (SELECT doc_id, 'run-' || lang || '-' || doc_id AS source FROM documents)")
 def condition_arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("run-"), "lang", F.lit("-"), F.col("doc_id").cast("string"))
