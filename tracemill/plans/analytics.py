@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.operators import calibration, enrichment, sampling, vectors
+from tracemill.operators import calibration, enrichment, layout, sampling, vectors
 from tracemill.plans.registry import query
 from tracemill.sources.tables import ATTEMPTS_SQL, attempts, table
 
@@ -226,6 +226,41 @@ def density_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.density_clusters(points, "c_custkey", "x", "y", grid=32)
 
 
+@query("SELECT count(*) AS queries, true AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def knn_graph_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph of all vectors' 15 nearest; of the vectors whose id 100 divides, whether 0.9 of the exact ones are among them."""
+    v = table(spark, sf_dir, "embeddings")
+    exact = vectors.nearest(v.where("vec_id % 100 = 0"), v, "vec_id", "embedding", 15)
+    found = layout.recall(layout.knn_graph(v, "vec_id", "embedding", 15).where("id % 100 = 0"), exact, 1e-6)
+    return found.select("queries", (F.col("recall") >= 0.9).alias("reached"))
+
+
+_BOX = """
+b AS (SELECT c_mktsegment AS family, min(c_acctbal) AS x0, max(c_acctbal) AS x1, CAST(min(c_custkey) AS DOUBLE) AS y0, CAST(max(c_custkey) AS DOUBLE) AS y1 FROM customer GROUP BY 1),
+p AS (SELECT c_custkey, family, CAST(least(31, floor((c_acctbal - x0) / greatest(x1 - x0, 1e-6) * 32)) AS BIGINT) AS px, CAST(least(31, floor((c_custkey - y0) / greatest(y1 - y0, 1e-6) * 32)) AS BIGINT) AS py FROM customer JOIN b ON family = c_mktsegment),
+g AS (SELECT family, x.px, y.py FROM b, range(32) x(px), range(32) y(py)),
+m0 AS (SELECT g.*, CAST(count(p.family) AS DOUBLE) AS d FROM g LEFT JOIN p USING (family, px, py) GROUP BY g.family, g.px, g.py),
+m1 AS (SELECT a.family, a.px, a.py, avg(b.d) AS d FROM m0 a JOIN m0 b ON a.family = b.family AND abs(a.px - b.px) <= 3 AND abs(a.py - b.py) <= 3 GROUP BY ALL),
+m2 AS (SELECT a.family, a.px, a.py, avg(b.d) AS d FROM m1 a JOIN m1 b ON a.family = b.family AND abs(a.px - b.px) <= 3 AND abs(a.py - b.py) <= 3 GROUP BY ALL)"""
+
+
+@query(f"""
+WITH RECURSIVE {_BOX},
+t AS (SELECT avg(d) AS t FROM m0), h AS (SELECT family, px, py, py * 32 + px AS c FROM m2, t WHERE round(d, 9) >= round(t.t, 4)),
+r AS (SELECT family, c, c AS reached FROM h UNION SELECT r.family, r.c, h.c FROM r JOIN h ON h.family = r.family AND (abs(r.reached - h.c) = 32 OR (abs(r.reached - h.c) = 1 AND r.reached // 32 = h.c // 32))),
+l AS (SELECT family, c, min(reached) AS cluster FROM r GROUP BY family, c)
+SELECT m2.family, m2.px, m2.py, round(m2.d, 6) AS density, l.cluster FROM m2 LEFT JOIN l ON l.family = m2.family AND l.c = m2.py * 32 + m2.px
+""")
+def density_blurred(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by balance and key, a raster for each segment, blurred twice; clusters of the cells above the mean."""
+    points = table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("family"), F.col("c_acctbal").alias("x"), F.col("c_custkey").cast("double").alias("y"))
+    density = layout.density_map(points, "family", "x", "y", grid=32)
+    families = points.select("family").distinct().count()
+    found = layout.clusters(density, "family", round(points.count() / max(1, families * 32 * 32), 4))
+    named = found.select("family", "px", "py", (F.col("top_y") * 32 + F.col("top_x")).alias("cluster"))
+    return density.join(named, ["family", "px", "py"], "left").select("family", "px", "py", F.round("density", 6).alias("density"), "cluster")
+
+
 @query()
 def lcs_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = table(spark, sf_dir, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))), lambda x: x["event_type"]).alias("actions"))
