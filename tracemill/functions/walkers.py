@@ -71,27 +71,43 @@ def result_text(value: object) -> Iterator[str]:
     return seen(value, RESULT)
 
 
-def edit_lines(value: object, depth: int = 0) -> tuple[int, int]:
+def named_strings(value: object, levels: int = 9) -> Iterator[tuple[str, str]]:
+    """Names and texts of the fields that hold a text, so many levels deep."""
+    left = [(value, levels)]
+    while left:
+        at, more = left.pop()
+        if more and isinstance(at, (dict, list)):
+            left += [(v, more - 1) for v in (at.values() if isinstance(at, dict) else at)]
+        if more and isinstance(at, dict):
+            yield from ((k, v) for k, v in at.items() if isinstance(v, str))
+
+
+def _lines(_: str, text: str) -> tuple[int, int]:
+    return text.count("\n") + 1, 0
+
+
+def _marked(name: str, text: str) -> tuple[int, int]:
+    """A patch by its marks, headers aside; any other text by its lines."""
+    if name != "patch" and not text.lstrip().startswith("*** Begin Patch"):
+        return _lines(name, text)
+    marks = [x[0] for x in text.split("\n") if x[:1] in ("+", "-") and x[:3] not in ("+++", "---")]
+    return marks.count("+"), marks.count("-")
+
+
+# fixed values: parts of the names of an edit's arguments, what was there before and what is there now
+SIDES = (
+    (("old", "search", "original", "before"), lambda name, text: _lines(name, text)[::-1]),
+    (("new", "content", "replacement", "after", "patch", "text"), _marked),
+)
+
+
+def edit_lines(value: object) -> tuple[int, int]:
     """Lines that an edit's arguments add and remove; a patch counts by its marks."""
-    if depth > 8 or not isinstance(value, (dict, list)):
-        return 0, 0
-    added = removed = 0
-    for key, v in value.items() if isinstance(value, dict) else ((None, x) for x in value):
-        name = (key or "").lower()
-        if not isinstance(v, str):
-            more = edit_lines(v, depth + 1)
-            added, removed = added + more[0], removed + more[1]
-        elif key is None:
-            continue
-        elif any(w in name for w in ("old", "search", "original", "before")):
-            removed += v.count("\n") + 1
-        elif any(w in name for w in ("new", "content", "replacement", "after", "patch", "text")):
-            if name == "patch" or v.lstrip().startswith("*** Begin Patch"):
-                lines = v.split("\n")
-                added += sum(x.startswith("+") and not x.startswith("+++") for x in lines)
-                removed += sum(x.startswith("-") and not x.startswith("---") for x in lines)
-            else:
-                added += v.count("\n") + 1
+    found = [(0, 0)]
+    for name, text in named_strings(value):
+        side = next((count for parts, count in SIDES if any(p in name.lower() for p in parts)), None)
+        found += [side(name.lower(), text)] if side else []
+    added, removed = map(sum, zip(*found, strict=True))
     return added, removed
 
 
