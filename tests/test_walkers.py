@@ -3,7 +3,7 @@ import itertools
 from pyspark.sql import functions as F
 
 from tracemill.functions import walkers
-from tracemill.operators import sampling, sequences
+from tracemill.operators import sampling, sequences, units
 
 
 def test_walks():
@@ -46,3 +46,42 @@ def test_queue(spark):
         assert sampling.queue_breaches(queue, cells).count() == 0
     assert {r["task_id"] for r in sampling.compile_queue(cells, "e", "by-task", "s").where("position < 2").collect()} == {"t1", "t2"}
     assert {r["problem"] for r in sampling.queue_breaches(cells.limit(7).unionByName(cells.limit(1)), cells).collect()} == {"missing", "repeated"}
+
+
+def test_spread_order_of_every_size(spark):
+    rows = spark.createDataFrame([(n, k) for n in range(1, 41) for k in range(n)], "g long, k long")
+    found = {}
+    for r in sequences.spread_order(rows, ["g"], ["k"]).collect():
+        found.setdefault(r["g"], {})[r["visit"]] = r["k"]
+    assert all([found[n][v] for v in range(n)] == sequences.spread(n) for n in found)
+
+
+def test_tracks_are_the_first_free_ones(spark):
+    rnd = __import__("random").Random(2)
+    calls = [(g, k, s := rnd.randrange(60), s + rnd.randrange(12)) for g in range(3) for k in range(70)]
+    want = {}
+    for g in range(3):
+        ends = []
+        for _, k, s, e in sorted((c for c in calls if c[0] == g), key=lambda c: (c[2], c[3], c[1])):
+            track = next((t for t, x in enumerate(ends) if x <= s), len(ends))
+            ends[track : track + 1] = [e]
+            want[(g, k)] = track
+    found = units.pack_tracks(spark.createDataFrame(calls, "g long, k long, start long, end long"), "g", "k").collect()
+    assert {(r["g"], r["k"]): r["track"] for r in found} == want
+
+
+def test_words_outside_of_the_basic_plane_hash_by_their_units(spark):
+    from pyspark.sql import functions as F
+
+    from tracemill.operators import vectors
+
+    def fnv(word):
+        h = 2166136261
+        raw = word.encode("utf-16-be")
+        for k in range(0, len(raw), 2):
+            h = (h ^ int.from_bytes(raw[k : k + 2], "big")) * 16777619 % 2**32
+        return h
+
+    words = ["plain", "né", "日本", "a😀b", ""]
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", vectors.fnv1a(F.col("w")).alias("h")).collect()
+    assert {r["w"]: r["h"] for r in rows} == {w: fnv(w) for w in words}

@@ -6,12 +6,15 @@ plan has one shuffle and one sort whatever the distance between matches.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracemill.operators.scan import scan
+
 
 def _both(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str) -> DataFrame:
     """Both sides as (by, __at, __left: the left row, __right: the right row)."""
@@ -184,31 +187,30 @@ def unique_lowest(df: DataFrame, key: list[str], rank: str, value: str) -> DataF
     return rows.groupBy(*key).agg(F.count("*").alias("__n"), F.min(value).alias(value)).where("__n = 1").drop("__n")
 
 
+def boundaries() -> Callable[[str | None, bool], int | None]:
+    """A fold that numbers the boundaries of compaction records."""
+    number, seen = -1, None
+
+    def step(kind: str | None, breaks: bool | None) -> int | None:
+        nonlocal number, seen
+        if kind is None:
+            seen = None if breaks else seen
+            return None
+        if seen is None or kind in seen:
+            number, seen = number + 1, set()
+        seen.add(kind)
+        return number
+
+    return step
+
+
 def compaction_boundaries(events: DataFrame, attempt: str, order: list[str]) -> DataFrame:
     """events: attempt, kind (null unless a compaction record), breaks (ends a boundary). Numbers the boundaries.
 
     Whether a record opens a new boundary depends on the kinds seen since the last one began, so each attempt
-    is folded in order, one attempt at a time.
+    is folded in order; a task keeps those kinds, not the attempt.
     """
-    import pandas as pd
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        number, seen, out = -1, None, []
-        for kind, breaks in zip(rows["kind"], rows["breaks"], strict=True):
-            if isinstance(kind, str):
-                if seen is None or kind in seen:
-                    number, seen = number + 1, set()
-                seen.add(kind)
-                out.append(number)
-            else:
-                out.append(None)
-                if breaks:
-                    seen = None
-        return rows.assign(boundary=pd.array(out, dtype="Int64"))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema) + ", boundary long"
-    ordered = lambda rows: fold(rows.sort_values(order, kind="stable"))
-    return events.groupBy(attempt).applyInPandas(ordered, schema)
+    return scan(events, [attempt], order, ["kind", "breaks"], boundaries, "boundary", "long")
 
 
 def correlate(left: DataFrame, right: DataFrame, keys: dict[str, Column], id: str = "id") -> DataFrame:
@@ -241,13 +243,19 @@ def spread(n: int) -> list[int]:
 def spread_order(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """Adds visit: the place of each row in its partition's evenly spaced order.
 
-    A midpoint's place follows from the level at which halving reaches it and from its rank within that level,
-    so the halving is done once for each size of a partition that occurs.
+    Halving reaches a row at a level, which follows from its place and the partition's size alone; within a level rows
+    are visited from the left. So the places are one more window, without a table of sizes.
     """
     w = W.partitionBy(*by)
     rows = df.withColumn("__k", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count("*").over(w))
-    largest = [r[0] for r in rows.select("__n").distinct().limit(10_001).collect()]
-    if len(largest) > 10_000:
-        raise ValueError("more than 10000 sizes of partitions")
-    places = [(n, k, v) for n in largest for v, k in enumerate(spread(n))]
-    return rows.join(df.sparkSession.createDataFrame(places, "__n long, __k int, visit int"), ["__n", "__k"]).drop("__n", "__k")
+    k, last = F.col("__k"), F.col("__n") - 1
+    start = F.struct(F.lit(0).cast("long").alias("a"), last.cast("long").alias("b"), F.lit(0).alias("level"))
+
+    def halve(s: Column) -> Column:
+        m = F.floor((s["a"] + s["b"]) / 2)
+        done = (s["a"] == k) | (s["b"] == k)
+        half = F.struct(F.when(k >= m, m).otherwise(s["a"]).alias("a"), F.when(k <= m, m).otherwise(s["b"]).alias("b"), (s["level"] + 1).alias("level"))
+        return F.when(done, s).otherwise(half)
+
+    level = F.aggregate(F.sequence(F.lit(1), F.length(F.bin("__n")) + 1), start, lambda s, _: halve(s))["level"]
+    return rows.withColumn("__level", level).withColumn("visit", F.row_number().over(w.orderBy("__level", "__k")) - 1).drop("__k", "__n", "__level")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracemill.operators.scan import scan
 from tracemill.sources.scratch import written
 
 
@@ -52,22 +56,25 @@ def sequence_numbers(df: DataFrame, by: list[str], order: list[str]) -> DataFram
     return df.withColumn("seq", F.row_number().over(W.partitionBy(*by).orderBy(*order)) - 1)
 
 
+def first_fit() -> Callable[[float, float], int]:
+    """A packer of intervals that come by start: each gets the least number whose last one has ended."""
+    busy: list[tuple[float, int]] = []
+    free: list[int] = []
+
+    def place(start: float, end: float) -> int:
+        while busy and busy[0][0] <= start:
+            heapq.heappush(free, heapq.heappop(busy)[1])
+        track = heapq.heappop(free) if free else len(busy)
+        heapq.heappush(busy, (end, track))
+        return track
+
+    return place
+
+
 def pack_tracks(calls: DataFrame, by: str, id: str) -> DataFrame:
-    """Overlapping calls (by, id, start, end) in tracks: each takes the first track that is free when it starts."""
-    import pandas as pd
-
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        ends: list[float] = []
-        out = []
-        rows = rows.sort_values(["start", "end", id])
-        for start, end in zip(rows["start"], rows["end"], strict=True):
-            track = next((k for k, e in enumerate(ends) if e <= start), len(ends))
-            ends[track : track + 1] = [end]
-            out.append(track)
-        return rows.assign(track=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in calls.schema) + ", track long"
-    return calls.groupBy(by).applyInPandas(pack, schema)
+    """Overlapping calls (by, id, start, end) in tracks: each takes the first track that is free when it starts. A task
+    keeps the calls that are running, not the group."""
+    return scan(calls, [by], ["start", "end", id], ["start", "end"], first_fit, "track", "long")
 
 
 def stable_event_id(*parts: Column) -> Column:

@@ -23,8 +23,11 @@ def words(text: Column) -> Column:
 
 
 def fnv1a(word: Column) -> Column:
-    """FNV-1a over the characters' codes; equal to the hash of the bytes for ASCII words."""
-    codes = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    """FNV-1a over the UTF-16 units of a word; equal to the hash of the bytes for ASCII words."""
+    raw = F.hex(F.encode(word, "UTF-16BE"))
+    units = F.transform(F.sequence(F.lit(1), F.length(raw) - 3, F.lit(4)), lambda k: F.conv(F.substring(raw, k, F.lit(4)), 16, 10).cast("long"))
+    plain = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    codes = F.when(word.rlike("[^\\x{0}-\\x{FFFF}]"), units).otherwise(plain)
     # the product of two 32-bit numbers exceeds 63 bits in part: multiply by halves
     step = lambda h, c: ((h.bitwiseXOR(c) * F.lit(FNV_PRIME & 0xFFFF)) + F.shiftleft(h.bitwiseXOR(c) * F.lit(FNV_PRIME >> 16), 16)).bitwiseAND(F.lit(0xFFFFFFFF))
     return F.aggregate(codes, F.lit(FNV_OFFSET).cast("long"), step)
