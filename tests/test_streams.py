@@ -4,10 +4,11 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracemill.sources import bundles, tail
-from tracemill.streaming import chains, monitor
+from tracemill.streaming import chains, evidence, monitor
 
 OPS = "id long, ts string, scope string, tool string, failed boolean"
 LAST = [(None, "2050-01-01 00:00:00", None, None, None)]
@@ -99,3 +100,26 @@ def test_lines_are_numbered_over_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     got = sorted((os.path.basename(r["path"]), int(r["locator"].removeprefix("line:")), r["text"]) for r in rows)
     assert got == sorted((f"{name}.jsonl", k, json.dumps({"n": k})) for name, n in (("a", 400), ("b", 3)) for k in range(1, n + 1) if k % 5)
+
+
+@pytest.mark.parametrize("stage", ["records", "heads"])
+def test_evidence_has_no_gap_and_no_repeat_after_a_failure(spark, tmp_path, stage):
+    log = evidence.EvidenceLog(spark, str(tmp_path), "log", ["n"])
+    batch = lambda *rows: spark.createDataFrame(rows, "log string, n long")
+
+    def stop(at):
+        if at == stage:
+            raise RuntimeError(at)
+
+    assert log.read() is None and log.committed() == []
+    log.append(batch(("a", 2), ("a", 1), (None, 5)), 0)
+    with pytest.raises(RuntimeError):
+        log.append(batch(("a", 3), ("b", 1)), 1, stop)
+    assert log.committed() == [0] and log.read().count() == 3  # what isn't committed isn't seen
+    again = evidence.EvidenceLog(spark, str(tmp_path), "log", ["n"])
+    again.append(batch(("a", 3), ("b", 1)), 1)
+    again.append(batch(("a", 9)), 1)  # committed already
+    again.append(batch(("a", 4), ("a", 4), (None, 6)), 4)
+    got = sorted(((r["log"] or "", r["n"], r["sequence"]) for r in again.read().collect()))
+    assert got == [("", 5, 0), ("", 6, 1), ("a", 1, 0), ("a", 2, 1), ("a", 3, 2), ("a", 4, 3), ("a", 4, 4), ("b", 1, 0)]
+    assert again.breaches().count() == 0

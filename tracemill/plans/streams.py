@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from tracemill.plans.registry import ORACLES, query
 from tracemill.sources import tail
 from tracemill.sources.scratch import folder
 from tracemill.sources.tables import operations, table
-from tracemill.streaming import chains, monitor
+from tracemill.streaming import chains, evidence, monitor
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,3 +150,29 @@ def growing_files_tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
         _grown(logs, local, step)
         monitor.replay(stream, out, checkpoint, "append")
     return spark.read.parquet(out).drop("batch")
+
+
+@query("""
+SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, event_id) - 1 AS sequence FROM events
+""")
+def evidence_log_recovered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in three batches to a log for each user; every batch fails twice on its way and is started again."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    arriving, out, checkpoint = (folder(spark, f"evidence-{x}") for x in ("arriving", "log", "checkpoint"))
+    log, failed = evidence.EvidenceLog(spark, out, "user_id", ["event_id"]), set()
+
+    def fail(batch: int, stage: str) -> None:
+        if (batch, stage) not in failed:
+            failed.add((batch, stage))
+            raise RuntimeError(f"batch {batch} is to fail after its {stage}")
+
+    for batch in range(3):
+        events.where(F.col("event_id") % 3 == batch).write.mode("append").parquet(arriving)
+        while True:
+            try:
+                log.sink(spark.readStream.schema(events.schema).parquet(arriving), checkpoint, fail).awaitTermination()
+                break
+            except StreamingQueryException:
+                if len(failed) > 2 * (batch + 1):
+                    raise
+    return log.read().select("user_id", "event_id", "sequence")
