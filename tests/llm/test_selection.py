@@ -317,3 +317,43 @@ def test_the_mix_stage_takes_repeated_rows_as_the_sample_does(spark):
     assert any(0 < n % 11 < 11 for n in want.values())
     split = [k for k, n in want.items() if n % collections.Counter((r[0], r[2], count(r[1])) for r in rows)[k]]
     assert split  # some group is taken in part
+
+
+@pytest.mark.parametrize(
+    "source, want",
+    [
+        ('<article><p class="notice">N<p>Real text</article>', "Real text"),
+        ('<article><ul><li class="share">x<li>Second item</ul>tail</article>', "Second item tail"),
+        ('<article><section id="search-algorithms">kept</section></article>', "kept"),
+        ('<article><table><tr><td class="ad">x<td>y<tr><td>z</table></article>', "y z"),
+        ("<article><dl><dt class=ad>a<dd>b</dl><p>c<div>d</div></article>", "b c d"),
+        ('<article><p class="ad">a<table><tr><td>b<p>c</table></article>', "b c"),
+        ('<article><select><option class="ad">x<option>y</select><p>z</article>', "z"),
+        ('<article><div class="related-posts">x</div>y</article>', "y"),
+        ('<article><ul><li class="ad">a<ul><li>b</ul>c<li>d</ul></article>', "d"),
+    ],
+)
+def test_implied_ends_and_marked_words(source, want):
+    assert html_extract.text_of(source, "", None) == want
+
+
+def test_hostile_pages_take_time_in_proportion():
+    import time
+
+    n = 1 << 19
+    pages = ["<p>" * (n // 8) + "</x>" * (n // 8), "<p " * (n // 3), '<a="' * (n // 4), "<a " * (n // 3) + '">"', "<a" * (n // 2), "<!" * (n // 2), "<b><p>" * (n // 6), "<b>" * (n // 6) + "<div>" * (n // 10)]
+    for page in pages:
+        began = time.process_time()
+        html_extract.text_of(page, "", None)
+        assert time.process_time() - began < 8
+
+
+def test_long_pages_have_the_same_tags(monkeypatch):
+    import random
+
+    rnd = random.Random(3)
+    parts = ["<", "a", "p ", '"', "'", ">", "/", "=", "<p", "</p", "<!--", "-->", "<![CDATA[", "]]>", "<script", "</script>", "<!", "?", " ", "x", '<b "', "<title>"]
+    pages = ["".join(rnd.choice(parts) for _ in range(rnd.randrange(40))) for _ in range(3000)]
+    short = [[m.span() for m in html_extract.tags(p)] for p in pages]
+    monkeypatch.setattr(html_extract, "PLAIN", -1)
+    assert [[m.span() for m in html_extract.tags(p)] for p in pages] == short

@@ -15,8 +15,9 @@ is two pages, so a host that holds a third of all pages is summed up before it i
 with open blocks that are shared come back to these pages, and the pages are read once more. So a page's text
 depends neither on the groups nor on the number of partitions.
 
-Defined results: a null or empty html has an empty text; a null url is a host of its own; an unclosed tag
-ends with the element around it, an unclosed comment or script with the page; repeated rows are extracted
+Defined results: a null or empty html has an empty text; a null url is a host of its own; elements whose end tags
+may be left out (p, li, dt, dd, tr, td, th, option) end where the next one of their kind or, for p, a block begins;
+any other unclosed tag ends with the element around it, an unclosed comment or script with the page; repeated rows are extracted
 one by one (as equal pages they are evidence against their own open blocks only if their page_id differs);
 an empty table gives no rows; whole pages are read.
 """
@@ -25,6 +26,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,10 +67,62 @@ NOT_ARTICLES = MARKS & frozenset("ad ads advert advertisement sponsored promo re
 _NEGATED = frozenset("has no with without hide show".split())
 OUT, OPEN, MAIN, ARTICLE = range(4)
 
-
-def _marks(attributes: str) -> tuple[set[str], str, bool]:
-    """Words of class and id, the role, and whether the element is hidden."""
+#: Elements whose end may be implied, in kinds; which tags end an open one of a kind, and which keep it out of reach.
+KINDS = ("p", "li", "term", "cell", "row", "option")
+KIND_OF = {"p": 0, "li": 1, "dt": 2, "dd": 2, "td": 3, "th": 3, "tr": 4, "option": 5}
+_CLOSE_P = "address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split()
+_PARTS = "tbody thead tfoot".split()
+ENDS = {tag: (0,) for tag in _CLOSE_P} | {"li": (1, 0), "dt": (2, 0), "dd": (2, 0), "td": (3,), "th": (3,), "tr": (4, 3), "option": (5,), "optgroup": (5,)} | dict.fromkeys(_PARTS, (4, 3))
+_ALL = (-1,) * len(KINDS)
+_LISTS = {"ul": (1,), "ol": (1,), "menu": (1,), "dl": (2,), "table": (0, 3, 4), "td": (0,), "th": (0,), "caption": (0,), "button": (0,), "select": (5,)}
+#: Pages of more characters are scanned with a table of where tags can end.
+PLAIN = 1 << 15
+_NAMED = re.compile(rf"</?[a-zA-Z]|<({RAW})(?=[\s/>])|<!--|<!\[CDATA\[", re.I)
+
+
+def tags(source: str) -> Iterator[re.Match]:
+    """The page's tags, comments and raw elements in order. On a long page a tag that never ends is passed over by a look
+    at a table, so that the time is in proportion to the page whatever it holds."""
+    if len(source) <= PLAIN:
+        yield from _TAG.finditer(source)
+        return
+    special = [m.start() for m in re.finditer("[>\"']", source)]
+    stops = [m.start() for m in re.finditer(r"[\s/>]", source)]
+    last = source.rfind(">")
+    # from the last one on: whether a tag that comes to this character outside of quotes ends
+    ends, following = [False] * (len(special) + 1), {'"': len(special), "'": len(special)}
+    for i in range(len(special) - 1, -1, -1):
+        c = source[special[i]]
+        if c == ">":
+            ends[i] = True
+        else:
+            j = following[c]
+            ends[i] = j < len(special) and ends[j + 1]
+            following[c] = i
+    at = 0
+    while (at := source.find("<", at)) >= 0:
+        m = _NAMED.match(source, at)
+        if m is None:
+            possible = source[at + 1 : at + 2] in ("!", "?") and at < last
+        elif m[0][-1].isalpha() and not _RAW.match(source, at):
+            k = bisect_left(stops, m.end())  # the name's end
+            possible = k < len(stops) and ends[bisect_left(special, stops[k])]
+        else:
+            possible = True
+        found = _TAG.match(source, at) if possible else None
+        if found:
+            yield found
+        at = found.end() if found else at + 1
+
+
+_RAW = re.compile(rf"<(?:{RAW})(?=[\s/>])", re.I)
+
+
+def _marks(attributes: str) -> tuple[set[str], set[str], str, bool]:
+    """Words of class and id, those of them that are a whole class or id or a class's first word, the role, and whether
+    the element is hidden."""
     words: set[str] = set()
+    firm: set[str] = set()
     role, hidden = "", False
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
@@ -75,19 +130,22 @@ def _marks(attributes: str) -> tuple[set[str], str, bool]:
             for one in value.split():
                 parts = re.split(r"[-_:]+", one)
                 words.update(w for k, w in enumerate(parts) if not k or parts[k - 1] not in _NEGATED)
+                firm.update([one] if name == "id" else [one, parts[0]])
         elif name == "role":
             role = value
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and "display:none" in value.replace(" ", "")):
             hidden = True
-    return words, role, hidden
+    return words, firm, role, hidden
 
 
 def blocks(source: str) -> list[tuple[int, str]]:
     """The page's blocks in order: where each stands (OUT, OPEN, MAIN or ARTICLE) and its text."""
     out: list[tuple[int, str]] = []
     parts: list[str] = []
-    stack: list[tuple[str, int, bool]] = []  # element, place of its content, whether no main element can be inside
-    place, firm, seen, at = OPEN, False, False, 0
+    # element, place of its content, whether no main element can be inside, and where the open ones of each kind are
+    stack: list[tuple[str, int, bool, tuple[int, ...]]] = []
+    count: Counter = Counter()
+    place, firm, seen, at, near = OPEN, False, False, 0, _ALL
 
     def flush() -> None:
         if parts:
@@ -95,31 +153,39 @@ def blocks(source: str) -> list[tuple[int, str]]:
                 out.append((place, text))
             parts.clear()
 
-    for m in _TAG.finditer(source):
+    def close(k: int) -> None:
+        """Ends the elements from the k-th on."""
+        nonlocal place, firm, near
+        if any(s[1] != place for s in stack[k:]) or (stack[k - 1][1] if k else OPEN) != place:
+            flush()
+        for s in stack[k:]:
+            count[s[0]] -= 1
+        del stack[k:]
+        _, place, firm, near = stack[-1] if stack else ("", OPEN, False, _ALL)
+
+    for m in tags(source):
         if m.start() > at:
             text = source[at : m.start()]
             parts.append(html.unescape(text) if "&" in text else text)
         at = m.end()
         tag = m[3]
         if tag is None:
-            if m[1] and m[1].lower() not in ("script", "style", "template", "noscript"):
+            if m[1] and m[1].lower() not in ("script", "style", "template", "noscript", "svg", "math"):
                 flush()
             continue
         tag = tag.lower()
         if tag not in INLINE:
             flush()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    if any(s[1] != place for s in stack[k:]) or (stack[k - 1][1] if k else OPEN) != place:
-                        flush()
-                    del stack[k:]
-                    _, place, firm = stack[-1] if stack else ("", OPEN, False)
-                    break
+            if count[tag]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
             continue
+        for kind in ENDS.get(tag, ()):
+            if near[kind] >= 0:
+                close(near[kind])
         if tag in VOID or m[4].endswith("/"):
             continue
-        words, role, hidden = _marks(m[4]) if m[4].strip() else (set(), "", False)
+        words, whole, role, hidden = _marks(m[4]) if m[4].strip() else (set(), set(), "", False)
         now, hard = place, firm
         if not firm:
             if hidden or tag in CHROME or role in ROLES:
@@ -133,11 +199,19 @@ def blocks(source: str) -> list[tuple[int, str]]:
                 now = max(place, MAIN)
             elif tag == "header":
                 now = OUT
-            elif words & MARKS and tag not in ("html", "body"):
+            elif (whole if place == ARTICLE else words) & MARKS and tag not in ("html", "body"):
                 now = OUT
         if now != place:
             flush()
-        stack.append((tag, now, hard))
+        if tag in KIND_OF or tag in _LISTS:
+            reach = list(near)
+            for kind in _LISTS.get(tag, ()):
+                reach[kind] = -1
+            if tag in KIND_OF:
+                reach[KIND_OF[tag]] = len(stack)
+            near = tuple(reach)
+        stack.append((tag, now, hard, near))
+        count[tag] += 1
         place, firm = now, hard
     if at < len(source):
         parts.append(html.unescape(source[at:]))
