@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tracemill.operators.aggregation import grouped
+from tracemill.operators.scan import scan
 
 
 def latest_reviews(decisions: DataFrame) -> DataFrame:
@@ -64,23 +68,25 @@ def agreement(df: DataFrame, category: str, judge: str, human: str) -> DataFrame
     return per.withColumn("disagreements", F.col("denominator") - F.col("agreements")).withColumn("rate", F.try_divide("agreements", "denominator")).withColumn("status", F.when(F.col("denominator") > 0, "available").otherwise("unavailable"))
 
 
-def history_breaks(decisions: DataFrame) -> DataFrame:
-    """decisions: log, idx, digest, previous_history (the digest of all digests before). Rows whose link doesn't hold.
+def broken_links() -> Callable[[str | None, str | None], bool]:
+    """A fold that tells whether a link's claim differs from the digest of all digests before it."""
+    running = hashlib.sha256()
 
-    Each log is read once in order with one running hash, so its cost is linear in its length.
-    """
-    import hashlib
+    def check(digest: str | None, claimed: str | None) -> bool:
+        broken = running.hexdigest() != claimed
+        running.update((digest or "").encode())
+        return broken
 
-    import pandas as pd
+    return check
 
-    def check(rows: pd.DataFrame) -> pd.DataFrame:
-        running, out = hashlib.sha256(), []
-        for digest, claimed in zip((rows := rows.sort_values("idx"))["digest"], rows["previous_history"], strict=True):
-            out.append(running.copy().hexdigest() != claimed)
-            running.update(digest.encode())
-        return rows[out][["log", "idx"]]
 
-    return decisions.groupBy("log").applyInPandas(check, "log string, idx long")
+def history_breaks(decisions: DataFrame) -> DataFrame:
+    """decisions: log, idx, digest, previous_history (the digest of all digests before). Rows whose link doesn't hold.
+
+    Each log is read once in order with one running hash, so its cost is linear in its length and a task keeps the hash only.
+    """
+    rows = scan(decisions.select("log", "idx", "digest", "previous_history"), ["log"], ["idx"], ["digest", "previous_history"], broken_links, "broken", "boolean")
+    return rows.where("broken").select(F.col("log").cast("string").alias("log"), F.col("idx").cast("long").alias("idx"))
 
 
 def behavior_matrix(df: DataFrame, category: str, arm: str, outcome: str, outcomes: list[str]) -> DataFrame:

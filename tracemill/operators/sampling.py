@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracemill.operators.scan import scan
+
 #: The state of the shuffle's generator where a seed's digest begins with zeros.
 FALLBACK_STATE = 0x9E3779B9
 
@@ -71,38 +74,51 @@ def shuffled(queue: DataFrame, order: list[str], seed: str, limit: int = 100_000
     return queue.withColumn("__k", F.row_number().over(W.orderBy(*order)).cast("long") - 1).join(F.broadcast(places), "__k").drop("__k")  # at most limit rows
 
 
-def budget_chunks(df: DataFrame, by: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Numbers chunks of consecutive rows whose sizes add to the budget at most; a larger row is a chunk of its own."""
-    import pandas as pd
+def chunks(budget: int) -> Callable[[], Callable[[float | None], int]]:
+    """Folds that number chunks of sizes."""
 
-    def cut(rows: pd.DataFrame) -> pd.DataFrame:
-        chunk, used, out = 0, 0, []
-        rows = rows.sort_values(order, kind="stable")
-        for s in rows[size]:
-            if used and used + s > budget:
+    def begin() -> Callable[[float | None], int]:
+        chunk, used = 0, 0
+
+        def cut(size: float | None) -> int:
+            nonlocal chunk, used
+            if used and used + (size or 0) > budget:
                 chunk, used = chunk + 1, 0
-            used += s
-            out.append(chunk)
-        return rows.assign(chunk=out)
+            used += size or 0
+            return chunk
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", chunk long"
-    return df.groupBy(by).applyInPandas(cut, schema)
+        return cut
 
+    return begin
 
-def select_evidence(df: DataFrame, by: str, tier: str, order: list[str], size: str, budget: int) -> DataFrame:
-    """Whole occurrences, tier by tier, while they fit into the budget; one that doesn't fit is passed over, never cut."""
-    import pandas as pd
 
-    def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        left, out = budget, []
-        rows = rows.sort_values([tier, *order], kind="stable")
-        for s in rows[size]:
-            out.append(s <= left)
-            left -= s if s <= left else 0
-        return rows.assign(selected=out)
+def budget_chunks(df: DataFrame, by: str, order: list[str], size: str, budget: int) -> DataFrame:
+    """Numbers chunks of consecutive rows whose sizes add to the budget at most; a larger row is a chunk of its own, and a
+    null size counts nothing. A task keeps one chunk's size, not the group."""
+    return scan(df, [by], order, [size], chunks(budget), "chunk", "long")
+
+
+def fitting(budget: int) -> Callable[[], Callable[[float | None], bool]]:
+    """Folds that tell which sizes still fit."""
+
+    def begin() -> Callable[[float | None], bool]:
+        left = budget
+
+        def choose(size: float | None) -> bool:
+            nonlocal left
+            fits = size is not None and size <= left
+            left -= size if fits else 0
+            return fits
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", selected boolean"
-    return df.groupBy(by).applyInPandas(choose, schema)
+        return choose
+
+    return begin
+
+
+def select_evidence(df: DataFrame, by: str, tier: str, order: list[str], size: str, budget: int) -> DataFrame:
+    """Whole occurrences, tier by tier, while they fit into the budget; one that doesn't fit, or has no size, is passed over,
+    never cut. A task keeps what is left of the budget, not the group."""
+    return scan(df, [by], [tier, *order], [size], fitting(budget), "selected", "boolean")
 
 
 def pack_context(df: DataFrame, by: str, order: list[str], size: str, note: str, budget: int) -> DataFrame:

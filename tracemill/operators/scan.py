@@ -32,4 +32,4 @@ def scan(df: DataFrame, by: list[str], order: list[str], inputs: list[str], begi
     return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, shape)
 
 
-_kinds = {"long": pa.int64()}
+_kinds = {"long": pa.int64(), "boolean": pa.bool_()}
