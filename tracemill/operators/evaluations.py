@@ -48,6 +48,37 @@ def no_response(operations_after: Column, failures: Column) -> Column:
     return F.when((failures > 0) & (operations_after == 0), "no-response").when(failures > 0, "responded")
 
 
+# fixed value: an output that says nothing, or a harness's mark of that
+EMPTY_OUTPUT = r"(?i)^\s*(?:\(?\s*(?:no output|bash completed with no output)\s*\)?)?\s*$"
+
+
+def silent_success(calls: Column) -> Column:
+    """Rule: one call (result, output) that passed and said nothing; what an output would tell is then known."""
+    first = F.try_element_at(calls, F.lit(1))
+    said = F.coalesce(first["output"], F.lit(""))
+    return F.coalesce((F.size(calls) == 1) & (first["result"] == "passed") & said.rlike(EMPTY_OUTPUT), F.lit(False))
+
+
+def tagged_units(units: DataFrame, links: DataFrame, citations: DataFrame, sources: DataFrame) -> DataFrame:
+    """units: attempt_id, unit_id, unit_kind, episode_id; links: unit_id, event_id; citations: attempt_id, event_id,
+    assertion_id, label; sources: attempt_id, event_id, extractor_id. Adds cited_assertions with their labels, cited and
+    observation_extractors: what cites a unit's events and what draws on them; an episode has those of its units.
+
+    Tags are joined to events and gathered for units, so an event that many cite is a row for each of them, not a list.
+    """
+    kind = F.col("unit_kind") == "episode"
+    inside = units.where(~kind & F.col("episode_id").isNotNull()).select("attempt_id", F.col("unit_id").alias("part"), F.col("episode_id").alias("unit_id"))
+    parts = units.where(~kind).select("attempt_id", F.col("unit_id").alias("part"), "unit_id").unionByName(inside.join(units.where(kind).select("unit_id"), "unit_id", "left_semi").select("attempt_id", "part", "unit_id"))
+    events = parts.join(links.withColumnRenamed("unit_id", "part"), "part").select("attempt_id", "unit_id", "event_id").distinct()
+    cited = events.join(citations, ["attempt_id", "event_id"]).groupBy("unit_id", "assertion_id").agg(F.min("label").alias("label"))
+    cited = cited.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("assertion_id", "label"))).alias("c"))
+    drawn = events.join(sources, ["attempt_id", "event_id"]).groupBy("unit_id").agg(F.array_sort(F.collect_set("extractor_id")).alias("x"))
+    none = F.array().cast("array<string>")
+    field = lambda name: F.coalesce(F.transform("c", lambda e: e[name].cast("string")), none)
+    rows = units.join(cited, "unit_id", "left").join(drawn, "unit_id", "left")
+    return rows.select(*units.columns, field("assertion_id").alias("cited_assertions"), field("label").alias("cited_assessments"), F.col("c").isNotNull().alias("cited"), F.coalesce("x", none).alias("observation_extractors"))
+
+
 def resolved_citations(citations: DataFrame, events: DataFrame) -> DataFrame:
     """Citations with whether their event exists."""
     known = events.select("attempt_id", F.col("id").alias("event_id"), F.lit(True).alias("__known"))

@@ -106,3 +106,38 @@ def claims_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = claims.run_view(spark, {"claimed_sizes": "SELECT n_name AS name, count(c_custkey) AS n FROM claimed_nation LEFT JOIN claimed_customer ON c_nationkey = n_nationkey GROUP BY n_name"}, "SELECT * FROM claimed_sizes ORDER BY name")
     checked.append(("receipt", float(given["rows"]), given["digest"], True))
     return spark.createDataFrame(checked, "id string, found double, digest string, holds boolean")
+
+
+@query(f"""
+WITH e AS (SELECT user_id AS a, event_id AS n, event_type, {_K} AS k FROM events),
+u AS (SELECT a, 'u' || a || '-' || k % 30 AS unit_id, CASE WHEN k % 30 < 20 THEN 'ep' || a || '-' || k % 3 END AS episode_id, n FROM e WHERE event_type IN ('view', 'error')),
+p AS (SELECT unit_id, n FROM u UNION SELECT episode_id, n FROM u WHERE episode_id IS NOT NULL),
+c AS (SELECT p.unit_id, 'j' || k % 40 AS j, min(CASE WHEN k % 2 = 0 THEN 'focus:adverse' ELSE 'focus:abstained' END) AS label FROM p JOIN e ON e.event_type = 'click' AND e.n - 1 = p.n GROUP BY ALL),
+d AS (SELECT p.unit_id, string_agg(DISTINCT 'x' || k % 4, ' ' ORDER BY 'x' || k % 4) AS x FROM p JOIN e ON e.event_type = 'purchase' AND e.n - 1 = p.n GROUP BY p.unit_id),
+g AS (SELECT unit_id, string_agg(j, ' ' ORDER BY j) AS js, string_agg(label, ' ' ORDER BY j) AS labels FROM c GROUP BY unit_id)
+SELECT DISTINCT p.unit_id, coalesce(js, '') AS cited_assertions, coalesce(labels, '') AS cited_assessments, js IS NOT NULL AS cited, coalesce(x, '') AS extractors FROM p LEFT JOIN g USING (unit_id) LEFT JOIN d USING (unit_id)
+""")
+def units_tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views and errors in units and episodes; a click after one cites it, a purchase after one draws on it."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("attempt_id"), F.col("event_id").alias("n"), "event_type", F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint").alias("k"))
+    k, text = F.col("k"), lambda c: c.cast("string")
+    of = e.where("event_type IN ('view', 'error')").select("attempt_id", "n", F.concat(F.lit("u"), "attempt_id", F.lit("-"), text(k % 30)).alias("unit_id"), F.when(k % 30 < 20, F.concat(F.lit("ep"), "attempt_id", F.lit("-"), text(k % 3))).alias("episode_id"))
+    episodes = of.where("episode_id IS NOT NULL").select("attempt_id", F.col("episode_id").alias("unit_id"), F.lit("episode").alias("unit_kind"), F.lit(None).cast("string").alias("episode_id")).distinct()
+    units = of.select("attempt_id", "unit_id", F.lit("tool").alias("unit_kind"), "episode_id").distinct().unionByName(episodes)
+    after = lambda kind: e.where(F.col("event_type") == kind).select("attempt_id", text(F.col("n") - 1).alias("event_id"), "k")
+    cites = after("click").join(of.select(text(F.col("n")).alias("event_id"), F.col("attempt_id").alias("a")), "event_id").select(F.col("a").alias("attempt_id"), "event_id", F.concat(F.lit("j"), text(k % 40)).alias("assertion_id"), F.when(k % 2 == 0, "focus:adverse").otherwise("focus:abstained").alias("label"))
+    draws = after("purchase").join(of.select(text(F.col("n")).alias("event_id"), F.col("attempt_id").alias("a")), "event_id").select(F.col("a").alias("attempt_id"), "event_id", F.concat(F.lit("x"), text(k % 4)).alias("extractor_id"))
+    found = evaluations.tagged_units(units, of.select("unit_id", text(F.col("n")).alias("event_id")), cites, draws)
+    return found.select("unit_id", F.array_join("cited_assertions", " ").alias("cited_assertions"), F.array_join("cited_assessments", " ").alias("cited_assessments"), "cited", F.array_join("observation_extractors", " ").alias("extractors"))
+
+
+@query("""
+SELECT conv_id, turn, turn % 3 <> 2 AND length(text) % 2 = 0 AND length(text) % 5 < 4 AS silent FROM conversations WHERE text IS NOT NULL
+""")
+def silent_successes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A turn's call (two for every third turn) that passed or not, with no output, a mark of none, or the turn's text."""
+    size = F.length("text")
+    output = F.when(size % 5 == 0, "").when(size % 5 == 1, " (no output) ").when(size % 5 == 2, "(Bash completed with no output)").when(size % 5 == 3, None).otherwise(F.concat(F.lit("no output: "), "text"))
+    call = F.struct(F.when(size % 2 == 0, "passed").otherwise("failed").alias("result"), output.alias("output"))
+    calls = F.when(F.col("turn") % 3 == 2, F.array(call, call)).otherwise(F.array(call))
+    return table(spark, sf_dir, "conversations").where("text IS NOT NULL").select("conv_id", "turn", evaluations.silent_success(calls).alias("silent"))
