@@ -74,7 +74,9 @@ def test_spans_against_replacing_one_value_after_the_other():
         ({"type": "redacted_thinking", "id": "x"}, []),
         ({"type": "redacted_thinking", "data": "x"}, ["factory-reasoning"]),
         ({"signature": "x"}, []),
-        ({"schemaVersion": "ebo.factory-runtime/v1", "inner": {"signature": "x"}}, ["factory-reasoning"]),
+        ({"schemaVersion": "any.factory-runtime/v1", "inner": {"signature": "x"}}, ["factory-reasoning"]),
+        ({"source": "any-factory-client", "inner": [{"signature": "x"}]}, ["factory-reasoning"]),
+        ({"source": "factory", "inner": [{"signature": "x"}]}, []),
         ({"raw": "{broken thinkingText"}, ["factory-reasoning"]),
         ({"raw": json.dumps({"openaiReasoningId": "x"})}, ["factory-reasoning"]),
         ({"source": ["x"], "api_key": "value"}, ["secret"]),

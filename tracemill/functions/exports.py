@@ -173,8 +173,9 @@ DEVIN_THOUGHT = "agent_thought_chunk"
 FACTORY_TYPES = frozenset(("thinkingtextdelta", "thinkingtextcomplete", "thinking", "redactedthinking"))
 FACTORY_FIELDS = frozenset(("signature", "thoughtsignature", "geminithoughtsignature", "openaiencryptedcontent", "openaireasoningid", "openaireasoningsummary", "chatcompletionreasoningcontent", "chatcompletionreasoningfield"))
 FACTORY_PLAIN = frozenset(("type", "messageId", "blockIndex", "id"))
-FACTORY_SOURCES = frozenset(("factory-droid", "ebo-factory-client"))
-FACTORY_SCHEMA = "ebo.factory-runtime/v1"
+# a capture's own client and records carry its name before these
+FACTORY_SOURCE = re.compile(r"factory-droid|\w+-factory-client")
+FACTORY_SCHEMA = re.compile(r"\w+\.factory-runtime/v1")
 FACTORY_RAW = re.compile(r"(?i)thinking[_-]?text|openaiEncryptedContent|chatCompletionReasoningContent")
 CHECKS = ("sensitive-value", "secret", "local-path", "local-identifier", "correlation", "hidden-field", "codex-reasoning", "pi-reasoning", "devin-thought", "factory-reasoning", "unreadable")
 
@@ -246,15 +247,15 @@ def private(value: object) -> set[str]:
         elif isinstance(at, list):
             left += [(v, factory, checks) for v in at]
         elif isinstance(at, dict):
-            factory = factory or at.get("source") in FACTORY_SOURCES or at.get("schemaVersion") == FACTORY_SCHEMA if _hashable(at) else factory
+            factory = factory or _says(at.get("source"), FACTORY_SOURCE) or _says(at.get("schemaVersion"), FACTORY_SCHEMA)
             r = Record(at, _names(at), factory)
             found |= {name for name, check in checks.items() if check(r)}
             left += [(v, factory, checks) for v in at.values()]
     return found
 
 
-def _hashable(record: dict) -> bool:
-    return not isinstance(record.get("source"), (dict, list))
+def _says(value: object, pattern: re.Pattern) -> bool:
+    return isinstance(value, str) and pattern.fullmatch(value) is not None
 
 
 def strings(value: object) -> Iterator[str]:
