@@ -132,6 +132,20 @@ def test_shuffle_and_interleave(spark):
     assert [r["k"] for r in sampling.interleave(rows, "g", ["k"]).orderBy("position").collect()] == [1, 2, 3, 5, 4]
 
 
+def test_nearest_over_stretches(spark):
+    left = [(k, "ab"[k % 2], None if k % 11 == 5 else (k * 37) % 400) for k in range(60)]
+    right = [(k, "abc"[k % 3], None if k % 13 == 6 else (k * 53) % 400 - 20) for k in range(70)]
+    for tolerance in (0, 1, 3, 7):
+        want = {}
+        for i, g, t in left:
+            near = [(abs(u - t), u, j) for j, h, u in right if g == h and None not in (t, u) and abs(u - t) <= tolerance]
+            want[i] = min(near)[2] if near else None
+        found = sequences.nearest_within(spark.createDataFrame(left, "i int, g string, t long"), spark.createDataFrame(right, "j int, g string, t long").select("g", "t", "j"), ["g"], "t", "t", tolerance, "r_")
+        assert {r["i"]: r["r_j"] for r in found.collect()} == want and found.count() == len(left)
+        # a frame without an end costs the square of a group's rows
+        assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
+
+
 def test_ties_in_next_start(spark):
     ops = spark.createDataFrame([("d", 1, "x", True), ("d", 2, "x", False), ("d", 2, "y", False), ("d", 3, "y", True), ("d", 4, "z", False)], "d string, n int, tool string, failed boolean")
     got = sequences.failure_responses(ops, ["d"], "n", "tool", "failed").orderBy("n").collect()

@@ -33,12 +33,22 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_at: str
 
 
 def nearest_within(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, tolerance: float, prefix: str) -> DataFrame:
-    """Each left row with the right row nearest to it, if within the tolerance; of two as near, the earlier one."""
-    rows = _both(left, right, by, left_at, right_at)
-    order = W.partitionBy(*by).orderBy("__at", F.col("__right").asc_nulls_last())
-    back = F.last("__right", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0))
-    # a right row at the same time sorts before the left one; further ones after it
-    ahead = F.first("__right", ignorenulls=True).over(order.rowsBetween(0, W.unboundedFollowing))
+    """Each left row with the right row nearest to it, if within the tolerance; of two as near, the earlier one.
+
+    Rows meet in stretches of the order, so that a group is bounded by what lies in one and not by how often its key
+    comes; a right row stands in every stretch that its tolerance reaches, a left row in its own.
+    """
+    stretch = lambda at, by: F.floor((at + F.lit(by)) / F.lit(8 * tolerance or 1))
+    reach = tolerance * 1.001  # beyond what rounding may take off a fraction
+    lefts = left.withColumn("__stretch", stretch(F.col(left_at), 0))
+    rights = right.withColumn("__stretch", F.explode(F.sequence(stretch(F.col(right_at), -reach), stretch(F.col(right_at), reach))))
+    rows = _both(lefts, rights, [*by, "__stretch"], left_at, right_at)
+    group = W.partitionBy(*by, "__stretch")
+    so_far = lambda *order: F.last("__right", ignorenulls=True).over(group.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    back = so_far("__at", F.col("__right").asc_nulls_last())
+    # a right row at the same time sorts before the left one; further ones after it. Read from the end, since a frame
+    # without an end is gone through anew for each row
+    ahead = so_far(F.desc("__at"), F.col("__right").desc_nulls_first())
     found = rows.withColumn("__back", back).withColumn("__ahead", ahead).where("__left IS NOT NULL")
     away = lambda c: F.abs(F.col(c)[right_at] - F.col("__at"))
     a, b = away("__back"), away("__ahead")
