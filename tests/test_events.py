@@ -97,3 +97,11 @@ def test_occurrences_observations_units(spark, events):
     assert sdk[0][:3] == (0, "message", 1) and {u[1] for u in sdk} >= {"message", "tool", "delegation"} and [u[0] for u in sdk] == list(range(len(sdk)))
     summary = occurrences.episode_summaries(made).where("attempt_id = 'a-agent-sdk'").orderBy(F.desc("units")).first()
     assert summary["checks"] == "test" and "shell" in summary["tools"]
+
+
+@pytest.mark.parametrize("name", ["structural_observations", "occurrence_counts", "unit_counts"])
+def test_records_are_parsed_once(spark, name):
+    from tracemill.plans.catalog import QUERIES
+
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan and "parsejson" not in plan.lower()

@@ -11,6 +11,7 @@ from tracemill.functions.availability import capability_gate
 from tracemill.operators import sequences as seq
 from tracemill.operators.aggregation import resource_total
 from tracemill.operators.filters import compaction, explicit_failure
+from tracemill.sources.scratch import written
 
 TYPES = ("failure-response", "validation-run", "source-change", "repeated-operation", "compaction", "delegation")
 HEURISTIC = ("validation-run", "source-change", "compaction")
@@ -30,6 +31,13 @@ def timed(events: DataFrame) -> DataFrame:
     return events.withColumn("at", at)
 
 
+def held(events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Events and their operations, each made once: what follows goes over them several times, and filters on attributes
+    would otherwise be pushed below the parsing of records, which is then done anew for each attribute."""
+    rows = written(events, "events")
+    return rows, written(operations(rows), "operations")
+
+
 def operations(events: DataFrame) -> DataFrame:
     """Logical operations: the tool events of one call, scoped by session. Events without a call id are none."""
     rows = timed(events.where("family = 'tool'")).withColumn("operation", attribute("callId")).where("operation IS NOT NULL")

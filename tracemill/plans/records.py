@@ -63,8 +63,7 @@ SELECT a AS attempt_id, 'failure-response' AS type, count(DISTINCT g) AS n FROM
 UNION ALL SELECT a, 'repeated-operation', count(*) FILTER (k > 1) FROM r GROUP BY a HAVING count(*) FILTER (k > 1) > 0
 """)
 def occurrence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = normalize.normalize(_native(spark, sf_dir))
-    found = occurrences.occurrences(events, occurrences.operations(events))
+    found = occurrences.occurrences(*occurrences.held(normalize.normalize(_native(spark, sf_dir))))
     return found.groupBy("attempt_id", "type").agg(F.count("*").alias("n"))
 
 
@@ -75,8 +74,7 @@ SELECT a AS attempt_id, 'tool-operation-count' AS extractor_id, 'known' AS statu
 UNION ALL SELECT a, 'failure-to-same-tool', 'known', same FROM t UNION ALL SELECT a, 'tool-repeated-count', 'known', again FROM r
 """)
 def structural_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = normalize.normalize(_native(spark, sf_dir))
-    found = occurrences.observations(events, occurrences.operations(events), F.lit("available"))
+    found = occurrences.observations(*occurrences.held(normalize.normalize(_native(spark, sf_dir))), F.lit("available"))
     wanted = ["tool-operation-count", "tool-error-count", "failure-to-same-tool", "tool-repeated-count"]
     return found.where(F.col("extractor_id").isin(wanted)).select("attempt_id", "extractor_id", "status", "num")
 
@@ -86,8 +84,7 @@ SELECT CAST(user_id AS VARCHAR) AS attempt_id, CASE event_type WHEN 'click' THEN
 FROM events WHERE event_type IN ('view', 'click', 'error') GROUP BY ALL
 """)
 def unit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = normalize.normalize(_native(spark, sf_dir))
-    ops = occurrences.operations(events)
+    events, ops = occurrences.held(normalize.normalize(_native(spark, sf_dir)))
     rows = occurrences.units(events, ops, occurrences.occurrences(events, ops))
     return rows.groupBy("attempt_id", "unit_kind").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("failed"))
 
