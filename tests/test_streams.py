@@ -42,6 +42,70 @@ def test_boundaries_end_at_breaks_and_repeats(spark):
     assert found == [("s", 0, 2, 0, 1, ["x", "y"]), ("s", 1, 1, 3, 3, ["x"]), ("s", 2, 1, 5, 5, ["y"])]
 
 
+class Asked:
+    """States of one scope; counts how often they are asked."""
+
+    def __init__(self):
+        self.calls, self.held = 0, {}
+
+    def state(self, name, *shape):
+        asked = self
+
+        class State:
+            def __getattr__(self, what):
+                def call(*args):
+                    asked.calls += 1
+                    held = asked.held
+                    if what in ("update", "put"):
+                        held[name] = args[0]
+                    elif what == "appendList":
+                        held[name] = [*held.get(name, []), *args[0]]
+                    elif what == "clear":
+                        held.pop(name, None)
+                    elif what == "updateValue":
+                        held.setdefault(name, {})[args[0]] = args[1]
+                    elif what == "removeKey":
+                        held[name].pop(args[0])
+                    elif what == "exists":
+                        return name in held
+                    elif what == "containsKey":
+                        return args[0] in held.get(name, {})
+                    elif what == "getValue":
+                        return held[name][args[0]]
+                    elif what == "iterator":
+                        return iter(held.get(name, {}).items())
+                    elif what == "get":
+                        return held.get(name, [] if name == "waiting" else None)
+
+                return call
+
+        return State()
+
+    def __getattr__(self, what):
+        return self.state if what.startswith("get") else self.state(what).update
+
+
+@pytest.mark.parametrize("fold, columns, row", [(chains.FailureChains, "tool failed", lambda k: ("ab"[k % 2], k % 3 > 0)), (chains.Boundaries, "kind breaks", lambda k: ("ab"[k % 2], k % 5 == 0))])
+def test_state_is_asked_for_once_a_call(fold, columns, row):
+    import pandas as pd
+
+    class Time:
+        def getCurrentWatermarkInMs(self):
+            return self.at
+
+    def run(n):
+        asked, f, now, out = Asked(), fold(10**10), Time(), []
+        f.init(asked)
+        for part, now.at in ((range(0, n, 2), -1), (range(1, n, 2), n // 2), ([], n), ([], 10**11)):
+            frame = pd.DataFrame([(k * 1000, k, *row(k)) for k in part], columns=["at", "id", *columns.split()])
+            found = f.handleInputRows(("s",), iter([frame]), now) if len(frame) else f.handleExpiredTimer(("s",), now, None)
+            out += [r for x in found for r in x.itertuples(index=False)]
+        assert len(out) > n // 3 and not any(asked.held.get(k) for k in ("waiting", "clock", "run", "unanswered", "current", "count"))
+        return asked.calls
+
+    assert run(400) <= run(40) + 4
+
+
 def tailed(spark, d):
     monitor.replay(tail.tail(spark, f"{d}/in"), f"{d}/out", f"{d}/state", "append")
     rows = spark.read.parquet(f"{d}/out")

@@ -41,51 +41,72 @@ class Ordered(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", self.pending)
-        self.clock = handle.getValueState("clock", "timer long, last long")
+        self.clock = handle.getValueState("clock", "timer long, last long, first long")
         self.open(handle)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         new = [tuple(None if pd.isna(x) else x for x in r) for frame in rows for r in frame[self.columns].astype(object).itertuples(index=False)]
-        self.waiting.appendList(new)
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
+        return self._advance(key, timerValues.getCurrentWatermarkInMs(), new)
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._advance(key, timerValues.getCurrentWatermarkInMs())
-
-    def _advance(self, key: tuple, watermark: int) -> pd.DataFrame:
-        timer, last = self.clock.get() if self.clock.exists() else (-1, -1)
-        held = sorted(self.waiting.get(), key=lambda r: r[:2])
-        n = sum(r[0] // 1000 <= watermark for r in held)
-        out = []
-        for k, r in enumerate(held):
-            at = r[0] // 1000
-            if last >= 0 and at - last >= self.idle and (k < n or watermark - last >= self.idle):
-                out += self.finish()  # the gap before this record ended what was open
-            if k >= n:
-                break
-            out += self.step(*r[1:])
-            last = at
-        rest = held[n:]
-        if n:
-            self.waiting.put(rest) if rest else self.waiting.clear()
-        if not rest and last >= 0 and watermark - last >= self.idle:
-            out += self.finish()
-            last = -1
-        wake = rest[0][0] // 1000 + 1 if rest else last + self.idle + 1 if last >= 0 else -1
+        return self._advance(key, timerValues.getCurrentWatermarkInMs(), [])
+
+    def _advance(self, key: tuple, watermark: int, new: list[tuple]) -> Iterator[pd.DataFrame]:
+        """State is asked for over a socket: once for a call what is folded, and what waits only when some of it is due."""
+        clock = self.clock.get()
+        timer, last, first = clock or (-1, -1, None)
+        due = [r[0] // 1000 for r in new] + [first] * (first is not None)
+        out: list[tuple] = []
+        if due and min(due) > watermark and not (last >= 0 and watermark - last >= self.idle):
+            if new:
+                self.waiting.appendList(new)
+            first = min(due)
+        else:
+            held = sorted([*(() if first is None else self.waiting.get()), *new], key=lambda r: r[:2])
+            n = sum(r[0] // 1000 <= watermark for r in held)
+            self.load(clock is None)
+            for k, r in enumerate(held):
+                at = r[0] // 1000
+                if last >= 0 and at - last >= self.idle and (k < n or watermark - last >= self.idle):
+                    out += self.finish()  # the gap before this record ended what was open
+                if k >= n:
+                    break
+                out += self.step(*r[1:])
+                last = at
+            rest = held[n:]
+            if rest:
+                self.waiting.put(rest)
+            elif first is not None:
+                self.waiting.clear()
+            first = rest[0][0] // 1000 if rest else None
+            if not rest and last >= 0 and watermark - last >= self.idle:
+                out += self.finish()
+                last = -1
+            self.save()
+        wake = first + 1 if first is not None else last + self.idle + 1 if last >= 0 else -1
         if wake != timer:
             if timer >= 0:
                 self.handle.deleteTimer(timer)
             if wake >= 0:
                 self.handle.registerTimer(wake)
         if wake >= 0 or last >= 0:
-            self.clock.update((wake, last))
-        else:
+            self.clock.update((wake, last, first))
+        elif clock:
             self.clock.clear()
-        return pd.DataFrame([(key[0], *r) for r in out], columns=self.names)
+        if out:
+            yield pd.DataFrame([(key[0], *r) for r in out], columns=self.names)
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         raise NotImplementedError
 
+    def load(self, fresh: bool) -> None:
+        """Reads what is held open; a fresh scope has nothing."""
+        raise NotImplementedError
+
+    def save(self) -> None:
+        """Writes what has changed since."""
+        raise NotImplementedError
+
     def step(self, *record) -> list[tuple]:
         raise NotImplementedError
 
@@ -105,29 +126,41 @@ class FailureChains(Ordered):
         self.run = handle.getValueState("run", "tool string, failures long, first long, last long")
         self.unanswered = handle.getMapState("unanswered", "tool string", "failures long, first long, last long")
 
+    def load(self, fresh: bool) -> None:
+        self.now = None if fresh else self.run.get()
+        self.chains = {} if fresh else {k[0]: tuple(v) for k, v in self.unanswered.iterator()}
+        self.before = self.now, dict(self.chains)
+
+    def save(self) -> None:
+        run, chains = self.before
+        if self.now != run:
+            self.run.update(self.now) if self.now else self.run.clear()
+        for name in chains.keys() - self.chains.keys():
+            self.unanswered.removeKey((name,))
+        for name, chain in self.chains.items():
+            if chains.get(name) != chain:
+                self.unanswered.updateValue((name,), chain)
+
     def step(self, id, tool, failed) -> list[tuple]:
         out, name = [], _NONE if tool is None else tool
-        run = self.run.get() if self.run.exists() else None
+        run = self.now
         if run and run[0] == name and failed:
-            self.run.update((name, run[1] + 1, run[2], id))
+            self.now = (name, run[1] + 1, run[2], id)
             return out
         if run:
-            self.run.clear()
-            self.unanswered.updateValue((run[0],), run[1:])
-        if self.unanswered.containsKey((name,)):
-            chain = self.unanswered.getValue((name,))
-            self.unanswered.removeKey((name,))
-            out.append((tool, *chain, id, "failed" if failed else "passed"))
+            self.now = None
+            self.chains[run[0]] = tuple(run[1:])
+        if name in self.chains:
+            out.append((tool, *self.chains.pop(name), id, "failed" if failed else "passed"))
         if failed:
-            self.run.update((name, 1, id, id))
+            self.now = (name, 1, id, id)
         return out
 
     def finish(self) -> list[tuple]:
-        open_chains = [(k[0], *v) for k, v in self.unanswered.iterator()]
-        if self.run.exists():
-            open_chains.append(self.run.get())
-        self.run.clear()
-        self.unanswered.clear()
+        open_chains = [(name, *chain) for name, chain in self.chains.items()]
+        if self.now:
+            open_chains.append(self.now)
+        self.now, self.chains = None, {}
         return [(None if tool == _NONE else tool, *chain, None, "none") for tool, *chain in open_chains]
 
 
@@ -142,29 +175,38 @@ class Boundaries(Ordered):
         self.count = handle.getValueState("count", "next long")
         self.current = handle.getValueState("current", "records long, first long, last long, kinds string")
 
+    def load(self, fresh: bool) -> None:
+        self.number, self.now = (0, None) if fresh else ((self.count.get() or (0,))[0], self.current.get())
+        self.before = self.number, self.now
+
+    def save(self) -> None:
+        number, now = self.before
+        if self.number != number:
+            self.count.update((self.number,)) if self.number else self.count.clear()
+        if self.now != now:
+            self.current.update(self.now) if self.now else self.current.clear()
+
     def _end(self) -> list[tuple]:
-        if not self.current.exists():
+        if not self.now:
             return []
-        records, first, last, kinds = self.current.get()
-        number = self.count.get()[0] if self.count.exists() else 0
-        self.count.update((number + 1,))
-        self.current.clear()
-        return [(number, records, first, last, sorted(kinds.split("\n")))]
+        records, first, last, kinds = self.now
+        self.now, self.number = None, self.number + 1
+        return [(self.number - 1, records, first, last, sorted(kinds.split("\n")))]
 
     def step(self, id, kind, breaks) -> list[tuple]:
         if kind is None:
             return self._end() if breaks else []
         kind = kind.replace("\n", " ")
-        records, first, _, kinds = self.current.get() if self.current.exists() else (0, id, id, "")
+        records, first, _, kinds = self.now or (0, id, id, "")
         out = []
         if records and kind in kinds.split("\n"):
             out, records, first, kinds = self._end(), 0, id, ""
-        self.current.update((records + 1, first, id, f"{kinds}\n{kind}" if records else kind))
+        self.now = (records + 1, first, id, f"{kinds}\n{kind}" if records else kind)
         return out
 
     def finish(self) -> list[tuple]:
         out = self._end()
-        self.count.clear()
+        self.number = 0
         return out
 
 
