@@ -247,3 +247,15 @@ def test_tables_claims_and_exports(spark, tmp_path):
     assert back == {"e1": "API_KEY=" + redaction.MARK, "e2": "fine"}
     assert "text" in claims.export(rows, "events", "partner", str(tmp_path / "y"))
     assert spark.read.parquet(str(tmp_path / "y/events")).where("text IS NOT NULL").count() == 0
+
+
+def test_graph_of_vectors_without_structure(spark):
+    import numpy as np
+
+    from tracemill.operators import layout
+
+    x = np.random.default_rng(1).standard_normal((2000, 48))
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, v array<double>")
+    graph = layout.knn_graph(v, "id", "v", 10, leaf=64, trees=2)
+    found = layout.recall(graph.where("id % 10 = 0"), vectors.nearest(v.where("id % 10 = 0"), v, "id", "v", 10), 1e-6).first()
+    assert found["queries"] == 200 and found["recall"] >= 0.9

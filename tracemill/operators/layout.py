@@ -3,7 +3,8 @@
 The graph: each of several random projection trees deals the vectors to leaves of about ``leaf``; within a leaf the
 cosines of all pairs are one matrix product that keeps the best k of each vector, and the trees' finds meet in a window.
 Rounds of descent follow: a vector is compared with its neighbours' neighbours, in both directions, since a neighbour of
-a neighbour is likely one. A tree's upper splits are fitted on a sample of ``SAMPLE`` vectors, lower ones are random
+a neighbour is likely one. Exact neighbours of at most ``PROBES`` vectors then tell how many were found; while that is
+below ``REACHED``, trees with larger leaves are added, twice as many each time. A tree's upper splits are fitted on a sample of ``SAMPLE`` vectors, lower ones are random
 directions; every vector is dealt and compared. Leaves that hold more than four times their size are split by further
 directions. Equal vectors are one class, so that no leaf is filled by copies; members have their class's neighbours.
 
@@ -23,10 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracemill.operators.vectors import nearest
 from tracemill.sources.scratch import written
 from tracemill.sources.shipping import ship
 
 SAMPLE, LEAF, TREES, DESCENTS = 20_000, 256, 6, 1
+#: The share of the exact neighbours that a graph must have of so many of its vectors, before it is given.
+REACHED, PROBES = 0.93, 256
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -164,6 +168,15 @@ def knn_graph(vectors: DataFrame, id: str, vector: str, k: int, leaf: int = LEAF
     graph = written(_top(_forest(points, n, k, leaf, trees, seed), k), "graph")
     for _ in range(descents):
         graph = written(_top(graph.drop("rank").unionByName(_descend(points, graph, k)), k), "graph")
+    if n > 1:
+        probes = points.where(F.pmod(F.xxhash64("id", F.lit(seed - 1)), F.lit(1_000_003)) < min(1.0, 1.2 * PROBES / n) * 1_000_003).limit(PROBES)
+        exact = written(nearest(probes, points, "id", "v", k), "probes")
+        grown = trees
+        while ((recall(graph.join(exact.select("id").distinct(), "id", "left_semi"), exact, 1e-6).first() or {})["recall"] or 1.0) < REACHED:
+            # vectors without structure: few neighbours share a leaf, so there must be more trees and larger leaves
+            further = _forest(points, n, k, 4 * leaf, grown, seed + grown)
+            graph = written(_top(graph.drop("rank").unionByName(further), k), "graph")
+            grown *= 2
     members = rows.join(classes, "v").select("id", "first")
     copies = members.where("id <> first")
     own = graph.select("id", "neighbour", "similarity")
