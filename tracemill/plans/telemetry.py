@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -22,16 +24,23 @@ def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f, a = metrics.field, metrics.attribute
+        # a point's first fields have a fixed form: the time (3) and a double (4) or a fixed number (6); the tails are few
+        gauge_head, total_head, mask = struct.Struct("<BQBd").pack, struct.Struct("<BQBQ").pack, (1 << 64) - 1
+        gauge_tail = lru_cache(4096)(lambda mode, n: f(7, a("mode", mode)) + f(99, n))
+        total_tail = lru_cache(4096)(lambda n: f(7, a("line", n)))
         for b in batches:
-            bodies = []
-            for key, lines in zip(b["l_orderkey"].to_pylist(), b["lines"].to_pylist(), strict=True):
-                time = lambda x: f(3, ("fixed", x["at"] * 1000))
-                gauge = b"".join(f(1, time(x) + f(4, x["quantity"]) + f(7, a("mode", x["mode"])) + f(99, x["n"])) for x in lines)
-                total = b"".join(f(1, time(x) + f(6, ("fixed", -x["cents"])) + f(7, a("line", x["n"]))) for x in lines) + f(2, 2) + f(3, True)
-                cells = [sum(lo <= x["discount"] < hi for x in lines) for lo, hi in ((0, 3), (3, 6), (6, 1000))]
+            bodies, at = [], b["lines"].offsets.to_pylist()
+            lines = list(zip(*(c.to_pylist() for c in b["lines"].flatten().flatten()), strict=True))
+            for key, lo, hi in zip(b["l_orderkey"].to_pylist(), at, at[1:], strict=False):
+                own = lines[lo - at[0] : hi - at[0]]
+                gauge = b"".join(f(1, gauge_head(25, t * 1000 & mask, 33, quantity) + gauge_tail(mode, n)) for n, quantity, _, _, t, mode in own)
+                total = b"".join(f(1, total_head(25, t * 1000 & mask, 49, -cents & mask) + total_tail(n)) for n, _, cents, _, t, _ in own) + f(2, 2) + f(3, True)
+                cells, discounts = [0, 0, 0], [x[3] for x in own]
+                for x in discounts:
+                    cells[(x >= 3) + (x >= 6)] += 1
                 packed = b"".join(n.to_bytes(8, "little") for n in cells)
                 bounds = f(7, 0.03) + f(7, 0.06)
-                histogram = f(1, f(4, ("fixed", len(lines))) + f(5, float(sum(x["discount"] for x in lines))) + f(6, packed) + bounds) + f(2, 1)
+                histogram = f(1, f(4, ("fixed", len(own))) + f(5, float(sum(discounts))) + f(6, packed) + bounds) + f(2, 1)
                 kinds = f(2, f(1, "quantity") + f(3, "1") + f(5, gauge)) + f(2, f(1, "price") + f(3, "cent") + f(7, total)) + f(2, f(1, "discount") + f(9, histogram))
                 bodies.append(f(1, f(1, f(1, a("order", key))) + f(2, f(1, f(1, "lines")) + kinds)))
             yield pa.RecordBatch.from_arrays([b["l_orderkey"], pa.array(bodies, pa.binary())], names=["l_orderkey", "body"])

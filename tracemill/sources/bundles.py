@@ -161,23 +161,27 @@ def _varint(data: bytes, at: int) -> tuple[int, int]:
 
 def wire_fields(data: bytes) -> list[tuple[int, int, object]]:
     """(field, wire type, value) of a message: numbers for types 0, 1 and 5, bytes for type 2."""
-    out, at = [], 0
-    while at < len(data):
-        tag, at = _varint(data, at)
+    out, at, end = [], 0, len(data)
+    while at < end:
+        tag = data[at]
+        at += 1
+        if tag > 127:
+            tag, at = _varint(data, at - 1)
         kind = tag & 7
-        if kind == 0:
-            value, at = _varint(data, at)
-        elif kind in (1, 5):
+        if kind == 2:
+            n = data[at]
+            at += 1
+            if n > 127:
+                n, at = _varint(data, at - 1)
+            value, at = data[at : at + n], at + n
+        elif kind == 1 or kind == 5:
             n = 8 if kind == 1 else 4
             value, at = int.from_bytes(data[at : at + n], "little"), at + n
-        elif kind == 2:
-            n, at = _varint(data, at)
-            value, at = data[at : at + n], at + n
-            if len(value) < n:
-                raise ValueError("a field is cut off")
+        elif kind == 0:
+            value, at = _varint(data, at)
         else:
             raise ValueError(f"wire type {kind}")
-        if at > len(data):
+        if at > end:
             raise ValueError("a field is cut off")
         out.append((tag >> 3, kind, value))
     return out
