@@ -259,3 +259,19 @@ def test_graph_of_vectors_without_structure(spark):
     graph = layout.knn_graph(v, "id", "v", 10, leaf=64, trees=2)
     found = layout.recall(graph.where("id % 10 = 0"), vectors.nearest(v.where("id % 10 = 0"), v, "id", "v", 10), 1e-6).first()
     assert found["queries"] == 200 and found["recall"] >= 0.9
+
+
+def test_cluster_arm_makes_its_units_once(spark):
+    import itertools
+
+    from tracemill.operators import enrichment
+
+    rows = [("f%d" % (k % 2), ["a", "b", None][k % 3], ["x", "y"][k // 5 % 2], [1, 2, 3, None][k // 4 % 4], "s") for k in range(80)]
+    made = spark.sparkContext.accumulator(0)
+    spent = spark.createDataFrame(spark.sparkContext.parallelize(rows).map(lambda r: made.add(1) or r), "family string, cluster_id string, condition string, attempt_id long, stratum string")
+    found = enrichment.cluster_arm(spent, True, size=2_500_000).collect()
+    assert made.value == len(rows)
+    distinct = lambda keep: len({r[3] for r in rows if r[3] is not None and keep(r)})
+    assert {(r["family"], r["cluster_id"], r["condition"]) for r in found} == set(itertools.product(("f0", "f1"), "ab", "xy"))
+    for r in found:
+        assert (r["o"], r["k"], r["k_arm"]) == (sum(x[1] == r["cluster_id"] and x[2] == r["condition"] for x in rows), distinct(lambda x: x[1] == r["cluster_id"] and x[2] == r["condition"]), distinct(lambda x: x[2] == r["condition"]))

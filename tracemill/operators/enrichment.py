@@ -6,22 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tracemill.sources.scratch import written
 
-def cluster_arm(units: DataFrame, stratified: bool, where: str = "true") -> DataFrame:
+
+def cluster_arm(units: DataFrame, stratified: bool, where: str = "true", size: int | None = None) -> DataFrame:
     """units: family, cluster_id, condition, attempt_id, stratum. A row for each cluster, arm and stratum of the arm.
 
     Expected: the cluster's units in the stratum times the arm's share of the family's units there. z is the
     adjusted standardized residual; 0 where its variance is 0. Units outside clusters (negative ids) count in
     families and arms only.
+
+    Units are made once and sorted by attempt, where an attempt's first unit in its arm and in a cluster is marked; all
+    counts are sums over what that leaves. With ``size``, about how many units there are, a task sorts a million or so.
     """
     pop = units.where(F.expr(where)).withColumn("stratum", F.coalesce("stratum", F.lit("")) if stratified else F.lit(""))
-    inside = pop.where("cluster_id IS NOT NULL AND (typeof(cluster_id) = 'string' OR try_cast(cluster_id AS BIGINT) >= 0)")
-    f = pop.groupBy("family", "stratum").agg(F.count("*").alias("n_f"))
-    fa = pop.groupBy("family", "stratum", "condition").agg(F.count("*").alias("n_fa"))
-    cl = inside.groupBy("family", "cluster_id").agg(F.count("*").alias("n_total"))
-    cs = inside.groupBy("cluster_id", "stratum").agg(F.count("*").alias("n_c"))
-    ca = inside.groupBy("cluster_id", "condition").agg(F.count("*").alias("o"), F.count_distinct("attempt_id").alias("k"))
-    arm = pop.groupBy("condition").agg(F.count_distinct("attempt_id").alias("k_arm"))
+    if size is not None:
+        pop = pop.repartition(-(-size // 1_000_000) or 1, "attempt_id")
+    inner = W.partitionBy("attempt_id", "condition").orderBy("cluster_id")
+    known, first = F.col("attempt_id").isNotNull(), F.row_number().over(inner) == 1
+    marked = pop.withColumns({"__arm": known & first, "__cluster": known & (first | ~F.lag("cluster_id").over(inner).eqNullSafe(F.col("cluster_id")))})
+    cells = written(marked.groupBy("family", "stratum", "condition", "cluster_id").agg(F.count("*").alias("n"), F.count_if("__arm").alias("k_arm"), F.count_if("__cluster").alias("k")), "cells")
+    inside = cells.where("cluster_id IS NOT NULL AND (typeof(cluster_id) = 'string' OR try_cast(cluster_id AS BIGINT) >= 0)")
+    f = cells.groupBy("family", "stratum").agg(F.sum("n").alias("n_f"))
+    fa = cells.groupBy("family", "stratum", "condition").agg(F.sum("n").alias("n_fa"))
+    cl = inside.groupBy("family", "cluster_id").agg(F.sum("n").alias("n_total"))
+    cs = inside.groupBy("cluster_id", "stratum").agg(F.sum("n").alias("n_c"))
+    ca = inside.groupBy("cluster_id", "condition").agg(F.sum("n").alias("o"), F.sum("k").alias("k"))
+    arm = cells.groupBy("condition").agg(F.sum("k_arm").alias("k_arm"))
     rows = cl.join(fa, "family").join(f, ["family", "stratum"]).join(arm, "condition", "left").join(cs, ["cluster_id", "stratum"], "left").join(ca, ["cluster_id", "condition"], "left")
     rows = rows.na.fill(0, ["n_c", "o", "k"])
     e = F.col("n_c") * F.col("n_fa") / F.col("n_f")

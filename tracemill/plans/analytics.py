@@ -34,7 +34,7 @@ SELECT family, cluster_id, stratum, condition, o, k, k_arm, round(e, 6) AS expec
 
 
 def _cluster(spark: SparkSession, sf_dir: str, stratified: bool) -> DataFrame:
-    found = enrichment.cluster_arm(_units(spark, sf_dir), stratified)
+    found = enrichment.cluster_arm(_units(spark, sf_dir), stratified, size=table(spark, sf_dir, "lineitem").count())
     return found.select("family", "cluster_id", "stratum", "condition", "o", "k", "k_arm", F.round("expected", 6).alias("expected"), F.round("z", 6).alias("z"))
 
 
