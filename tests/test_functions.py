@@ -275,3 +275,13 @@ def test_cluster_arm_makes_its_units_once(spark):
     assert {(r["family"], r["cluster_id"], r["condition"]) for r in found} == set(itertools.product(("f0", "f1"), "ab", "xy"))
     for r in found:
         assert (r["o"], r["k"], r["k_arm"]) == (sum(x[1] == r["cluster_id"] and x[2] == r["condition"] for x in rows), distinct(lambda x: x[1] == r["cluster_id"] and x[2] == r["condition"]), distinct(lambda x: x[2] == r["condition"]))
+
+
+def test_resolved_citations_deals_rows_by_their_number(spark, tmp_path):
+    from tracemill.plans import records
+
+    spark.createDataFrame([(1, 7), (1, 7), (1, 8), (2, 9), (None, 7), (2, None)], "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(7, 11), (8, 10)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    found = records.resolved_citations(spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {(1, 7, True, 2), (1, 8, False, 1), (2, 9, False, 1), (None, 7, False, 1), (2, None, False, 1)}
+    assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()

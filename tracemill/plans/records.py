@@ -114,6 +114,10 @@ def final_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT l_orderkey AS attempt_id, l_partkey AS event_id, p.p_partkey IS NOT NULL AS resolved, count(*) AS n FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 10) p ON l_partkey = p.p_partkey GROUP BY ALL
 """)
 def resolved_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cited = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("attempt_id"), F.col("l_partkey").alias("event_id"))
-    events = cited.distinct().join(table(spark, sf_dir, "part").where("p_size > 10"), F.col("event_id") == F.col("p_partkey"), "left_semi").withColumnRenamed("event_id", "id")
-    return evaluations.resolved_citations(cited, events).groupBy("attempt_id", "event_id", "resolved").agg(F.count("*").alias("n"))
+    """Citations are counted first, so that each pair of attempt and event is joined once; no task gets many more than
+    a million rows, however large the table."""
+    lines, pair = table(spark, sf_dir, "lineitem"), ["attempt_id", "event_id"]
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-lines.count() // 1_000_000))
+    cited = lines.select(F.col("l_orderkey").alias("attempt_id"), F.col("l_partkey").alias("event_id")).repartition(tasks, *pair).groupBy(*pair).agg(F.count("*").alias("n"))
+    events = cited.join(table(spark, sf_dir, "part").where("p_size > 10"), F.col("event_id") == F.col("p_partkey"), "left_semi").select("attempt_id", F.col("event_id").alias("id"))
+    return evaluations.resolved_citations(cited, events).select(*pair, "resolved", "n")
