@@ -285,3 +285,31 @@ def test_resolved_citations_deals_rows_by_their_number(spark, tmp_path):
     found = records.resolved_citations(spark, str(tmp_path))
     assert {tuple(r) for r in found.collect()} == {(1, 7, True, 2), (1, 8, False, 1), (2, 9, False, 1), (None, 7, False, 1), (2, None, False, 1)}
     assert "REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_packed_groups_may_cross_batches(spark):
+    import random
+
+    from tracemill.operators import sampling
+
+    r = random.Random(3)
+    rows = [(None if k % 9 == 0 else k % 9, k, r.randrange(90), r.randrange(1, 9)) for k in range(900)]
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = sampling.pack_context(spark.createDataFrame(rows, "g long, id long, size long, note long"), "g", ["id"], "size", "note", 300)
+        found = {x["id"]: x["included"] for x in df.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", kept)
+    assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+    for g in {x[0] for x in rows}:
+        own, taken, used = [x for x in rows if x[0] == g], [], 0
+        for x in own:
+            if used + x[2] <= 300:
+                taken, used = [*taken, x], used + x[2]
+                continue
+            used += x[3]
+            while used > 300 and taken:
+                last = taken.pop()
+                used += last[3] - last[2]
+        assert [found[x[1]] for x in own] == [x in taken for x in own]

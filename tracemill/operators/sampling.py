@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,27 +123,54 @@ def select_evidence(df: DataFrame, by: str, tier: str, order: list[str], size: s
 
 def pack_context(df: DataFrame, by: str, order: list[str], size: str, note: str, budget: int) -> DataFrame:
     """Rows in order while their sizes fit into the budget. A row left out costs its note, for which the last rows that
-    were taken give way where it no longer fits: adds included. A partition is one task's, so it is to be bounded."""
-    import pandas as pd
+    were taken give way where it no longer fits: adds included. Groups are read one after the other from sorted rows; one
+    is held until its end, as its last row may still turn the first one out, so it is to be bounded."""
+    import math
 
-    def pack(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(order, kind="stable")
-        sizes, notes = rows[size].tolist(), rows[note].tolist()
-        taken, used = [], 0
+    import pyarrow as pa
+
+    def packed(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts).combine_chunks()
+        keys, sizes, notes = ([math.nan if v is None and c != by else v for v in rows[c].to_pylist()] for c in (by, size, note))
+        included, taken, used = [False] * len(keys), [], 0
         for k, s in enumerate(sizes):
+            if k and not same(keys[k], keys[k - 1]):
+                taken, used = [], 0
             if used + s <= budget:
                 taken.append(k)
+                included[k] = True
                 used += s
                 continue
             used += notes[k]
             while used > budget and taken:
                 last = taken.pop()
+                included[last] = False
                 used += notes[last] - sizes[last]
-        inside = set(taken)
-        return rows.assign(included=[k in inside for k in range(len(sizes))])
+        yield from rows.append_column("included", pa.array(included, pa.bool_())).to_batches()
+
+    def same(a: object, b: object) -> bool:
+        return a == b or (a != a and b != b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        key = None
+        for b in batches:
+            keys = b[by].to_pylist()
+            if not keys:
+                continue
+            start = len(keys) - 1
+            while start and same(keys[start - 1], keys[-1]):
+                start -= 1
+            if start or (held and not same(key, keys[0])):
+                yield from packed([*held, b.slice(0, start)])
+                held = []
+            held.append(b.slice(start))
+            key = keys[-1]
+        if held:
+            yield from packed(held)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", included boolean"
-    return df.groupBy(by).applyInPandas(pack, schema)
+    return df.repartition(by).sortWithinPartitions(by, *(F.asc_nulls_last(c) for c in order)).mapInArrow(run, schema)
 
 
 def compile_queue(cells: DataFrame, experiment: str, strategy: str, seed: str) -> DataFrame:
