@@ -313,3 +313,18 @@ def test_packed_groups_may_cross_batches(spark):
                 last = taken.pop()
                 used += last[3] - last[2]
         assert [found[x[1]] for x in own] == [x in taken for x in own]
+
+
+def test_nearest_holds_a_strip_of_similarities(spark, monkeypatch):
+    import numpy as np
+
+    from tracemill.operators import vectors
+
+    v = np.random.default_rng(4).normal(size=(40, 5))
+    df = spark.createDataFrame([(k, [float(x) for x in e]) for k, e in enumerate(v)], "id long, e array<double>")
+    monkeypatch.setattr(vectors, "STRIP", 3)
+    found = {(r["id"], r["rank"]): r["neighbour"] for r in vectors.nearest(df.where("id % 2 = 0"), df, "id", "e", 4, block=16).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -np.inf)
+    assert found == {(k, n + 1): j for k in range(0, 40, 2) for n, j in enumerate(np.argsort(-s[k])[:4].tolist())}

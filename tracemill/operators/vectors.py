@@ -16,6 +16,8 @@ from tracemill.sources.shipping import ship
 WORD = "`[^`]{1,60}`|[a-z][a-z0-9_./:-]{1,40}"
 #: FNV-1a, 32 bits: fixed values of the published hash.
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
+#: Queries whose similarities to a block are held at once.
+STRIP = 128
 
 
 def words(text: Column) -> Column:
@@ -60,25 +62,30 @@ def densify(slots: DataFrame, id: str, dimensions: int) -> DataFrame:
 def nearest(queries: DataFrame, vectors: DataFrame, id: str, vector: str, k: int, block: int = 4096) -> DataFrame:
     """The k vectors of the greatest cosine with each query, itself excluded: a stated query set against all rows.
 
-    Both sides are dealt in blocks; a pair of blocks is one matrix product that keeps k rows of each query,
-    and the blocks' best meet in a window. Returns id, neighbour, similarity and rank.
+    Both sides are dealt in blocks; a pair of blocks is a matrix product, strip by strip, that keeps k rows of
+    each query, and the blocks' best meet in a window. A task holds two blocks and the similarities of one strip. Returns id, neighbour, similarity and rank.
     """
     n_q, n_v = (max(1, -(-d.count() // block)) for d in (queries, vectors))
     deal = lambda d, n, name: d.select(F.col(id).alias(name), F.col(vector).alias(f"{name}_v"), F.pmod(F.xxhash64(id), F.lit(n)).alias(f"{name}_b"))
     q = deal(queries, n_q, "q").withColumn("v_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))))
     v = deal(vectors, n_v, "v").withColumn("q_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
 
+    keep = k
+
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
         x, y = (np.array(d[c].tolist(), np.float64) for d, c in ((a, "q_v"), (b, "v_v")))
         x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-        s = x @ y.T
-        s[a["q"].to_numpy()[:, None] == b["v"].to_numpy()[None, :]] = -np.inf
-        take = np.lexsort((np.broadcast_to(b["v"].to_numpy(), s.shape), -s), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(a)), take.shape[1])
-        out = pd.DataFrame({"id": a["q"].to_numpy()[rows], "neighbour": b["v"].to_numpy()[take.ravel()], "similarity": s[rows, take.ravel()]})
-        return out[np.isfinite(out["similarity"])]
+        ids, own, parts = b["v"].to_numpy(), a["q"].to_numpy(), []
+        for k in range(0, len(x), STRIP):
+            s = x[k : k + STRIP] @ y.T
+            s[own[k : k + STRIP, None] == ids[None, :]] = -np.inf
+            take = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :keep]
+            rows = np.repeat(np.arange(len(s)), take.shape[1])
+            out = pd.DataFrame({"id": own[k + rows], "neighbour": ids[take.ravel()], "similarity": s[rows, take.ravel()]})
+            parts.append(out[np.isfinite(out["similarity"])])
+        return pd.concat(parts, ignore_index=True)
 
     found = q.groupBy("q_b", "v_b").cogroup(v.groupBy("q_b", "v_b")).applyInPandas(best, "id long, neighbour long, similarity double")
     order = W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
