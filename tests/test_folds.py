@@ -75,3 +75,13 @@ def test_no_records(spark):
     none = native(spark, "x", [None])
     for fold in (folds.request_usage, folds.devin_calls, folds.devin_messages, folds.openhands_canonical):
         assert fold(none).count() == 0
+
+
+def test_a_record_is_parsed_once(spark):
+    from tracemill.operators import folds as of
+
+    native = spark.range(3).selectExpr("'r' AS run_id", "'a' AS attempt_id", "'s' AS artifact_id", "'line:' || id AS locator", "'devin' AS harness", "'session' AS kind", "IF(id = 2, 'x', '{\"sequence\":1}') AS doc")
+    rows = of._parsed(native, "devin").where((of._get("$.sequence", "bigint") == 1) & of._get("$.method").isNull())
+    assert rows.count() == 2
+    once = of._parsed(native, "devin")._jdf.queryExecution().optimizedPlan().toString().count("parseJson")
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == once

@@ -28,7 +28,8 @@ def _get(path: str, kind: str = "string", doc: str = "__v") -> Column:
 
 def _parsed(native: DataFrame, harness: str) -> DataFrame:
     line = F.regexp_extract("locator", "line:(\\d+)", 1).try_cast("bigint")
-    rows = native.where(F.col("harness") == harness).withColumn("__v", parsed_json(F.col("doc"))).where("__v IS NOT NULL")
+    # exploded, so that filters of what it holds stay above it: pushed below, each would parse the record again
+    rows = native.where(F.col("harness") == harness).select("*", F.explode(F.array(parsed_json(F.col("doc")))).alias("__v")).where("__v IS NOT NULL")
     return rows.withColumn("__line", line).withColumn("__seq", F.coalesce(_get("$.sequence", "bigint"), line))
 
 
