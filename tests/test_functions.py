@@ -328,3 +328,50 @@ def test_nearest_holds_a_strip_of_similarities(spark, monkeypatch):
     s = u @ u.T
     np.fill_diagonal(s, -np.inf)
     assert found == {(k, n + 1): j for k in range(0, 40, 2) for n, j in enumerate(np.argsort(-s[k])[:4].tolist())}
+
+
+def _tfidf(texts, dimensions):
+    import math
+    import re
+    from collections import Counter
+
+    tf, df, slots = {}, Counter(), {}
+    for id, t in texts:
+        tf.setdefault(id, Counter()).update(re.findall(vectors.WORD, (t or "").lower()))
+    for words in tf.values():
+        df.update(words.keys())
+    for id, words in tf.items():
+        for w, k in words.items():
+            h = 2166136261
+            for b in w.encode():
+                h = (h ^ b) * 16777619 % 2**32
+            slots.setdefault(id, Counter())[h % dimensions] += (1 + math.log(k)) * math.log((1 + len(texts)) / (1 + df[w])) * (-1 if h >= 2**31 else 1)
+    norm = {id: math.sqrt(sum(w * w for w in s.values())) for id, s in slots.items()}
+    return {(id, k): w / norm[id] for id, s in slots.items() for k, w in s.items()}
+
+
+@pytest.mark.parametrize("common", [1, 20, 1 << 19])
+@pytest.mark.parametrize(("repeats", "classes"), [(False, 1 << 18), (True, 1 << 18), (True, 2)])
+def test_hashed_tfidf_of_common_and_other_words(spark, monkeypatch, common, repeats, classes):
+    texts = [(1, "a1 b1 b1 `x y` a1 z/z"), (2, "b1 c1 c1 c1"), (3, None), (4, "12 34"), (5, "B1 q1 `X y`"), (None, "b1 r1")]
+    texts += [(1, "a1 c1 s1"), (None, "r1 t1 t1"), (3, "u1")] if repeats else []
+    monkeypatch.setattr(vectors, "COMMON", common)
+    monkeypatch.setattr(vectors, "CLASSES", classes)
+    df = spark.createDataFrame(texts, "id long, t string")
+    found = vectors.hashed_tfidf(df, "id", "t", 8).collect()
+    assert {(r["id"], r["slot"]): pytest.approx(r["weight"], abs=1e-9) for r in found} == _tfidf(texts, 8) and len(found) == len(_tfidf(texts, 8))
+
+
+def test_hashed_tfidf_exchanges_no_pairs_of_common_words(spark):
+    def records():
+        store = spark.sparkContext._jsc.sc().statusStore()
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        none = spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0)
+        stages = store.stageList(None, False, False, none, spark.sparkContext._jvm.java.util.ArrayList())
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    text = " ".join(f"w{k}" for k in range(300))
+    df = spark.createDataFrame([(k, text + f" own{k}") for k in range(200)], "id long, t string")
+    before = records()
+    assert len(vectors.hashed_tfidf(df, "id", "t", 8).collect()) == 200 * 8
+    assert records() - before < 200 * 300 / 4

@@ -16,6 +16,10 @@ from tracemill.sources.shipping import ship
 WORD = "`[^`]{1,60}`|[a-z][a-z0-9_./:-]{1,40}"
 #: FNV-1a, 32 bits: fixed values of the published hash.
 FNV_OFFSET, FNV_PRIME = 2166136261, 16777619
+#: A word is common if it has one in so many of all pairs of a text and one of its words; so many words at most can be.
+COMMON = 1 << 19
+#: Classes of ids by hash: which of them hold an id of several texts is broadcast.
+CLASSES = 1 << 18
 #: Queries whose similarities to a block are held at once.
 STRIP = 128
 
@@ -35,17 +39,41 @@ def fnv1a(word: Column) -> Column:
     return F.aggregate(codes, F.lit(FNV_OFFSET).cast("long"), step)
 
 
+def counted(words: Column) -> Column:
+    """Each distinct word of an array, and how often it is there: runs of equal words in the sorted array."""
+    starts = lambda s: F.array_compact(F.transform(s, lambda w, k: F.when((k == 0) | (w != F.get(s, k - 1)), k)))
+    runs = lambda s, at: F.transform(at, lambda k, j: F.struct(F.get(s, k).alias("word"), (F.coalesce(F.get(at, j + 1), F.size(s)) - k).cast("long").alias("tf")))
+    # an array of one holds what a lambda uses more than once
+    return F.transform(F.array(F.sort_array(words)), lambda s: F.transform(F.array(starts(s)), lambda at: runs(s, at))[0])[0]
+
+
 def hashed_tfidf(texts: DataFrame, id: str, text: str, dimensions: int) -> DataFrame:
     """id, slot, weight: log-tf times smoothed idf, added with the hash's sign into the slots and scaled to length 1.
 
-    A word is hashed once, where its document frequency is counted, not once for each text. Texts without a
-    word that weighs anything have no rows.
+    A text's words are counted in its row, so that no exchange holds all pairs of a text and a word; the counts of texts
+    that share an id meet in one, with those of ids of the same hash classes. Common words get their document frequency
+    by a broadcast and add up to slots before any exchange; pairs with other words are joined by the word. A word is
+    hashed once, where its document frequency is counted, not once for each text. Texts without a word that weighs
+    anything have no rows.
     """
-    tokens = texts.select(id, F.explode(words(F.col(text))).alias("word"))
-    tf = tokens.groupBy(id, "word").agg(F.count("*").alias("tf"))
-    n = texts.agg(F.count("*").alias("n"))
-    df = tf.groupBy("word").agg(F.count("*").alias("df")).withColumn("h", fnv1a(F.col("word")))
-    rows = tf.join(df, "word").crossJoin(F.broadcast(n))  # one row
+
+    def pairs_of(rows: DataFrame) -> DataFrame:
+        return rows.select(id, F.inline(counted(words(F.col(text))))).where(F.col("word").isNotNull())  # never null; said so that all uses share an exchange
+
+    classed = texts.select(id, text, F.pmod(F.xxhash64(id), F.lit(CLASSES)).alias("__class"))
+    shared = classed.groupBy(id, "__class").count().where(F.col("count") > 1).select("__class").distinct()  # CLASSES rows at most
+    if shared.isEmpty():
+        tf = pairs_of(texts)
+    else:
+        apart, together = (pairs_of(classed.join(F.broadcast(shared), "__class", how)) for how in ("left_anti", "left_semi"))
+        tf = apart.unionByName(together.groupBy(id, "word").agg(F.sum("tf").alias("tf")))
+    df = tf.groupBy("word").agg(F.count("*").alias("df"))
+    pairs = df.agg(F.sum("df").alias("pairs"))
+    ranked = df.crossJoin(F.broadcast(pairs)).withColumn("common", F.col("df") * COMMON >= F.col("pairs"))  # one row
+    common, others = (ranked.where(c).select("word", "df", fnv1a(F.col("word")).alias("h")) for c in (F.col("common"), ~F.col("common")))
+    common = F.broadcast(common)  # COMMON words at most
+    rows = tf.join(common, "word").unionByName(tf.join(common, "word", "left_anti").join(others, "word"))
+    rows = rows.crossJoin(F.broadcast(texts.agg(F.count("*").alias("n"))))  # one row
     sign = F.when(F.col("h") >= 1 << 31, -1).otherwise(1)
     weight = (1 + F.log("tf")) * F.log((1 + F.col("n")) / (1 + F.col("df"))) * sign
     slots = rows.select(id, (F.col("h") % dimensions).alias("slot"), weight.alias("w")).groupBy(id, "slot").agg(F.sum("w").alias("w"))
