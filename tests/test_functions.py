@@ -146,6 +146,13 @@ def test_nearest_over_stretches(spark):
         assert "unboundedfollowing" not in found._jdf.queryExecution().toString().lower()
 
 
+def test_nearest_among_ties(spark):
+    right = spark.createDataFrame([("g", 10, 3), ("g", 10, 1), ("g", 10, 2), ("g", 14, 9), ("g", 14, 8)], "g string, t long, j int")
+    left = spark.createDataFrame([(1, "g", 9), (2, "g", 10), (3, "g", 11), (4, "g", 12), (5, "g", 13), (6, "g", 15), (7, "g", 18)], "i int, g string, t long")
+    got = sequences.nearest_within(left, right, ["g"], "t", "t", 3, "r_").collect()
+    assert {r["i"]: r["r_j"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 8, 6: 8, 7: None}
+
+
 def test_ties_in_next_start(spark):
     ops = spark.createDataFrame([("d", 1, "x", True), ("d", 2, "x", False), ("d", 2, "y", False), ("d", 3, "y", True), ("d", 4, "z", False)], "d string, n int, tool string, failed boolean")
     got = sequences.failure_responses(ops, ["d"], "n", "tool", "failed").orderBy("n").collect()

@@ -33,7 +33,8 @@ def asof_backward(left: DataFrame, right: DataFrame, by: list[str], left_at: str
 
 
 def nearest_within(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, tolerance: float, prefix: str) -> DataFrame:
-    """Each left row with the right row nearest to it, if within the tolerance; of two as near, the earlier one.
+    """Each left row with the right row nearest to it, if within the tolerance; of two as near, the earlier one, and of
+    several at one time the least.
 
     Rows meet in stretches of the order, so that a group is bounded by what lies in one and not by how often its key
     comes; a right row stands in every stretch that its tolerance reaches, a left row in its own.
@@ -45,9 +46,9 @@ def nearest_within(left: DataFrame, right: DataFrame, by: list[str], left_at: st
     rows = _both(lefts, rights, [*by, "__stretch"], left_at, right_at)
     group = W.partitionBy(*by, "__stretch")
     so_far = lambda *order: F.last("__right", ignorenulls=True).over(group.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    back = so_far("__at", F.col("__right").asc_nulls_last())
-    # a right row at the same time sorts before the left one; further ones after it. Read from the end, since a frame
-    # without an end is gone through anew for each row
+    # right rows at the same time sort before the left one, the least of them last; further ones after it. Read from the
+    # end, since a frame without an end is gone through anew for each row
+    back = so_far("__at", F.col("__right").desc_nulls_last())
     ahead = so_far(F.desc("__at"), F.col("__right").desc_nulls_first())
     found = rows.withColumn("__back", back).withColumn("__ahead", ahead).where("__left IS NOT NULL")
     away = lambda c: F.abs(F.col(c)[right_at] - F.col("__at"))
