@@ -337,6 +337,23 @@ def test_nearest_holds_a_strip_of_similarities(spark, monkeypatch):
     assert found == {(k, n + 1): j for k in range(0, 40, 2) for n, j in enumerate(np.argsort(-s[k])[:4].tolist())}
 
 
+def test_all_rows_are_queries(spark):
+    import numpy as np
+
+    from tracemill.plans.catalog import QUERIES
+
+    v = np.random.default_rng(5).integers(-2, 3, size=(60, 3)).astype(float)
+    v[v.any(1) == 0] = 1.0
+    df = spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(v)], "id long, e array<double>")
+    s = v @ v.T / np.sqrt(np.outer((v * v).sum(1), (v * v).sum(1)))
+    want = {k: sorted((j for j in range(60) if j != k), key=lambda j, k=k: (-s[k, j], j))[:5] for k in range(60)}
+    for block in (None, 16, 1):
+        found = vectors.mutual(df, "id", "e", 5, block=block).orderBy("id", "rank").collect()
+        assert {k: [r["neighbour"] for r in found if r["id"] == k] for k in range(60)} == want
+    knn = QUERIES["cosine_knn"](spark, "/root/testdata/sf0.001")
+    assert knn.select("id").distinct().count() == spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").count()
+
+
 def _tfidf(texts, dimensions):
     import math
     import re

@@ -22,6 +22,9 @@ COMMON = 1 << 19
 CLASSES = 1 << 18
 #: Queries whose similarities to a block are held at once.
 STRIP = 128
+#: Components of a block's vectors; up to so many blocks a side of at least so many rows, to have tasks.
+VALUES, SIDES, LEAST = 1 << 21, 4, 4096
+FOUND = "id long, neighbour long, similarity double"
 
 
 def words(text: Column) -> Column:
@@ -87,35 +90,96 @@ def densify(slots: DataFrame, id: str, dimensions: int) -> DataFrame:
     return slots.groupBy(id).agg(entries.alias("__m")).select(id, zeros.alias("embedding"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, id: str, vector: str, k: int, block: int = 4096) -> DataFrame:
+def best_of(own: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, keep: int) -> pd.DataFrame:
+    """Of each query (ids ``own``, vectors ``x``) the ``keep`` rows of another id whose cosine is the greatest, ties by id.
+
+    Products of unit vectors in single precision, a strip of queries at a time, tell which rows can be among the best: the
+    ``keep``-th of the greatest of disjoint groups is no more than the ``keep``-th of all. The cosines of those rows are
+    added up component by component in double precision, so that equal vectors are equally near wherever they stand.
+    """
+    order = np.argsort(ids, kind="stable")
+    ids, y = ids[order], y[order]
+    x_squares, y_squares = (np.add.accumulate(m * m, axis=1)[:, -1] for m in (x, y))
+    u, w = ((m / np.maximum(np.sqrt(n), 1e-300)[:, None]).astype(np.float32) for m, n in ((x, x_squares), (y, y_squares)))
+    lost, bare = np.flatnonzero(~np.isfinite(y_squares)), ~np.isfinite(x_squares)
+    first, last = np.searchsorted(ids, own, "left"), np.searchsorted(ids, own, "right")
+    rounding = np.float32(2 * (x.shape[1] + 2) * np.finfo(np.float32).eps)
+    groups = max(512, 2 * keep)
+    parts = [pd.DataFrame({"id": own[:0], "neighbour": ids[:0], "similarity": np.empty(0)})]
+    for at in range(0, len(x), STRIP):
+        s = u[at : at + STRIP] @ w.T
+        s[:, lost] = -np.inf
+        s[bare[at : at + STRIP]] = -np.inf
+        for row in np.flatnonzero((last > first)[at : at + STRIP]):
+            s[row, first[at + row] : last[at + row]] = -np.inf
+        deep = s.shape[1] // groups
+        tops = np.hstack([s[:, : deep * groups].reshape(len(s), deep, groups).max(1), s[:, deep * groups :]]) if deep > 1 else s
+        least = np.partition(tops, tops.shape[1] - keep, axis=1)[:, tops.shape[1] - keep] if tops.shape[1] > keep else np.full(len(s), -np.inf, np.float32)
+        flat = np.flatnonzero(s >= (least - rounding)[:, None])
+        q, v = np.divmod(flat[s.ravel()[flat] > -np.inf], s.shape[1])
+        starts = np.searchsorted(q, np.arange(len(s)))  # copies may be candidates by the thousand: a bounded number at once
+        cuts = starts[1:][np.diff(starts // max(1, VALUES // x.shape[1])) > 0]
+        for rows, found in zip(np.split(q, cuts), np.split(v, cuts), strict=True):
+            dots = np.add.accumulate(x[at + rows] * y[found], axis=1)[:, -1]
+            similarity = np.clip(dots / np.maximum(np.sqrt(x_squares[at + rows] * y_squares[found]), 1e-300), -1, 1)
+            order = np.lexsort((found, -similarity, rows))
+            order = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < keep]
+            parts.append(pd.DataFrame({"id": own[at + rows[order]], "neighbour": ids[found[order]], "similarity": similarity[order]}))
+    return pd.concat(parts, ignore_index=True)
+
+
+def _sides(dealt: DataFrame, vector: str) -> int:
+    """Into how many blocks vectors are dealt: at most ``VALUES`` components each, but several where tasks are worth it."""
+    n, size = dealt.agg(F.count("*"), F.max(F.size(vector))).first()
+    return max(1, -(-n * max(1, size or 1) // VALUES), min(SIDES, n // LEAST))
+
+
+def _matrix(vectors: pd.Series) -> np.ndarray:
+    return np.array(vectors.tolist(), np.float64)
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, id: str, vector: str, k: int, block: int | None = None) -> DataFrame:
     """The k vectors of the greatest cosine with each query, itself excluded: a stated query set against all rows.
 
-    Both sides are dealt in blocks; a pair of blocks is a matrix product, strip by strip, that keeps k rows of
+    Both sides are dealt in blocks of so many rows, or of ``VALUES`` components; a pair of blocks is a matrix product, strip by strip, that keeps k rows of
     each query, and the blocks' best meet in a window. A task holds two blocks and the similarities of one strip. Returns id, neighbour, similarity and rank.
     """
-    n_q, n_v = (max(1, -(-d.count() // block)) for d in (queries, vectors))
+    ship(vectors.sparkSession)
+    n_q, n_v = (max(1, -(-d.count() // block)) if block else _sides(d, vector) for d in (queries, vectors))
     deal = lambda d, n, name: d.select(F.col(id).alias(name), F.col(vector).alias(f"{name}_v"), F.pmod(F.xxhash64(id), F.lit(n)).alias(f"{name}_b"))
     q = deal(queries, n_q, "q").withColumn("v_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))))
     v = deal(vectors, n_v, "v").withColumn("q_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
 
-    keep = k
-
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
-        x, y = (np.array(d[c].tolist(), np.float64) for d, c in ((a, "q_v"), (b, "v_v")))
-        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
-        ids, own, parts = b["v"].to_numpy(), a["q"].to_numpy(), []
-        for k in range(0, len(x), STRIP):
-            s = x[k : k + STRIP] @ y.T
-            s[own[k : k + STRIP, None] == ids[None, :]] = -np.inf
-            take = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :keep]
-            rows = np.repeat(np.arange(len(s)), take.shape[1])
-            out = pd.DataFrame({"id": own[k + rows], "neighbour": ids[take.ravel()], "similarity": s[rows, take.ravel()]})
-            parts.append(out[np.isfinite(out["similarity"])])
-        return pd.concat(parts, ignore_index=True)
-
-    found = q.groupBy("q_b", "v_b").cogroup(v.groupBy("q_b", "v_b")).applyInPandas(best, "id long, neighbour long, similarity double")
+        return best_of(a["q"].to_numpy(), _matrix(a["q_v"]), b["v"].to_numpy(), _matrix(b["v_v"]), k)
+
+    return _ranked(q.groupBy("q_b", "v_b").cogroup(v.groupBy("q_b", "v_b")).applyInPandas(best, FOUND), k)
+
+
+def mutual(vectors: DataFrame, id: str, vector: str, k: int, block: int | None = None) -> DataFrame:
+    """``nearest`` where every row is a query. Two blocks meet once for both directions, so that a row is sent as often as
+    there are blocks, and a task holds two blocks and one strip whatever the number of rows."""
+    ship(vectors.sparkSession)
+    n = max(1, -(-vectors.count() // block)) if block else _sides(vectors, vector)
+    dealt = vectors.select(F.col(id).alias("v"), F.col(vector).alias("x"), F.pmod(F.xxhash64(id), F.lit(n)).alias("own"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    met = met.select("v", "x", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("second"))
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, x, second = rows["v"].to_numpy(), _matrix(rows["x"]), rows["second"].to_numpy()
+        if rows["a"].iat[0] == rows["b"].iat[0]:
+            return best_of(ids, x, ids, x, k)
+        if second.all() or not second.any():  # the other block has no row
+            return pd.DataFrame({"id": [], "neighbour": [], "similarity": []})
+        one, two = (ids[~second], x[~second]), (ids[second], x[second])
+        return pd.concat([best_of(*one, *two, k), best_of(*two, *one, k)], ignore_index=True)
+
+    return _ranked(met.groupBy("a", "b").applyInPandas(best, FOUND), k)
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = W.partitionBy("id").orderBy(F.desc("similarity"), "neighbour")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -186,13 +186,12 @@ def tfidf_hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, list_cosine_similarity(a.e, b.e) AS similarity FROM v a JOIN v b ON a.vec_id % 10 = 0 AND a.vec_id <> b.vec_id),
+s AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, list_cosine_similarity(a.e, b.e) AS similarity FROM v a JOIN v b ON a.vec_id <> b.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS rank FROM s)
 SELECT id, neighbour, round(similarity, 6) AS similarity, rank FROM r WHERE rank <= 15
 """)
 def cosine_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = table(spark, sf_dir, "embeddings")
-    return vectors.nearest(v.where("vec_id % 10 = 0"), v, "vec_id", "embedding", 15).withColumn("similarity", F.round("similarity", 6))
+    return vectors.mutual(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 15).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT min(vec_id) AS first_id, count(*) AS copies FROM embeddings GROUP BY embedding")
