@@ -268,6 +268,59 @@ def test_graph_of_vectors_without_structure(spark):
     assert found["queries"] == 200 and found["recall"] >= 0.9
 
 
+def test_graph_adds_no_trees_that_cost_more_than_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    from tracemill.operators import layout
+
+    grown, forest = [], layout._forest
+    monkeypatch.setattr(layout, "_forest", lambda points, n, k, leaf, trees, seed: grown.append(trees) or forest(points, n, k, leaf, trees, seed))
+    x = np.random.default_rng(2).standard_normal((1200, 48))
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, v array<double>")
+    found = {(r["id"], r["rank"]): r["neighbour"] for r in layout.knn_graph(v, "id", "v", 5, leaf=32, trees=2).collect()}
+    assert grown == [2]
+    want = {(r["id"], r["rank"]): r["neighbour"] for r in vectors.mutual(v, "id", "v", 5).collect()}
+    assert found == want
+
+
+@pytest.mark.parametrize("size,trees", [(3, [3]), (7, None)])
+def test_graph_of_vectors_with_structure(spark, monkeypatch, size, trees):
+    import numpy as np
+
+    from tracemill.operators import layout
+
+    grown, forest = [], layout._forest
+    monkeypatch.setattr(layout, "_forest", lambda points, n, k, leaf, trees, seed: grown.append(trees) or forest(points, n, k, leaf, trees, seed))
+    monkeypatch.setattr(layout, "sides", lambda points, v: 1000)  # as if trees were always cheaper than all pairs
+    monkeypatch.setattr(layout, "mutual", None)
+    x = np.random.default_rng(6).standard_normal((1500, size))
+    v = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, v array<double>")
+    graph = layout.knn_graph(v, "id", "v", 5, leaf=40 if size == 3 else 16, trees=3 if size == 3 else 1)
+    found = layout.recall(graph, vectors.nearest(v, v, "id", "v", 5), 1e-6).first()
+    assert found["queries"] == 1500 and found["recall"] >= 0.9
+    assert grown == trees or (trees is None and len(grown) == 2 and grown[1] > 1)
+
+
+def test_descent_compares_what_meets(spark):
+    import numpy as np
+
+    from tracemill.operators import layout
+
+    x = np.random.default_rng(3).standard_normal((60, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    points = spark.createDataFrame([(k, r.tolist()) for k, r in enumerate(x)], "id long, v array<double>")
+    s = x @ x.T
+    near = {k: {(k * 7 + 1) % 60, (k * 11 + 2) % 60, (k * 3 + 5) % 60} - {k} for k in range(60)}
+    graph = spark.createDataFrame([(k, j, float(s[k, j])) for k in near for j in near[k]], vectors.FOUND)
+    back = {k: sorted((j for j in near if k in near[j]), key=lambda j: (-s[k, j], j))[:3] for k in range(60)}
+    both = {k: near[k] | set(back[k]) for k in near}
+    want = {(a, b) for m in both for a in both[m] for b in both[m] if a != b and (len(near[a]) < 3 or s[a, b] >= min(s[a, j] for j in near[a]) - 1e-12)}
+    for only in (None, points.where("id < 5").select("id")):
+        found = layout._descend(points, graph, 3, 60, only).collect()
+        assert {(r["id"], r["neighbour"]) for r in found if only is None or r["id"] < 5} == {p for p in want if only is None or p[0] < 5}
+        assert all(abs(r["similarity"] - s[r["id"], r["neighbour"]]) < 1e-12 for r in found)
+
+
 def test_cluster_arm_makes_its_units_once(spark):
     import itertools
 

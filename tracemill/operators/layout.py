@@ -3,8 +3,11 @@
 The graph: each of several random projection trees deals the vectors to leaves of about ``leaf``; within a leaf the
 cosines of all pairs are one matrix product that keeps the best k of each vector, and the trees' finds meet in a window.
 Rounds of descent follow: a vector is compared with its neighbours' neighbours, in both directions, since a neighbour of
-a neighbour is likely one. Exact neighbours of at most ``PROBES`` vectors then tell how many were found; while that is
-below ``REACHED``, trees with larger leaves are added, twice as many each time. A tree's upper splits are fitted on a sample of ``SAMPLE`` vectors, lower ones are random
+a neighbour is likely one. Exact neighbours of at most ``PROBES`` vectors tell how many were found; the last round runs
+only if it brings theirs to ``REACHED``. Where that isn't reached, trees with larger leaves are added if as many as the
+misses ask for send fewer rows than blocks of all pairs do; if not, or if they don't suffice, all pairs are compared by
+blocks. Vectors without structure come to that: their neighbours share leaves only in so many trees that each is compared
+with all others, more than once. A tree's upper splits are fitted on a sample of ``SAMPLE`` vectors, lower ones are random
 directions; every vector is dealt and compared. Leaves that hold more than four times their size are split by further
 directions. Equal vectors are one class, so that no leaf is filled by copies; members have their class's neighbours.
 
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tracemill.operators.vectors import nearest
+from tracemill.operators.vectors import FOUND, mutual, nearest, sides
 from tracemill.sources.scratch import written
 from tracemill.sources.shipping import ship
 
@@ -85,9 +88,6 @@ def _best(ids: np.ndarray, similarity: np.ndarray, others: np.ndarray, k: int) -
     return out[np.isfinite(out["similarity"])]
 
 
-FOUND = "id long, neighbour long, similarity double"
-
-
 def _top(found: DataFrame, k: int) -> DataFrame:
     """The best k of each id among finds that may repeat."""
     one = found.groupBy("id", "neighbour").agg(F.max("similarity").alias("similarity"))
@@ -107,10 +107,9 @@ def _forest(points: DataFrame, n: int, k: int, leaf: int, trees: int, seed: int)
             x = np.array(b["v"].to_pylist(), np.float64)
             for t, tree in enumerate(forest):
                 if len(x):
-                    yield pa.RecordBatch.from_arrays([b["id"], b["v"], pa.array(np.full(len(x), t, np.int32)), pa.array(tree.leaves(x)), pa.array(np.zeros(len(x), np.int64))], names=["id", "v", "tree", "leaf", "part"])
+                    yield pa.RecordBatch.from_arrays([b["id"], pa.array(np.full(len(x), t, np.int32)), pa.array(tree.leaves(x))], names=["id", "tree", "leaf"])
 
-    shape = "id long, v array<double>, tree int, leaf long, part long"
-    dealt = written(points.mapInArrow(deal, shape), "forest")
+    dealt = written(points.mapInArrow(deal, "id long, tree int, leaf long"), "forest")  # without the vectors, which are as many times larger
     full = dealt.groupBy("tree", "leaf").agg(F.count("*").alias("rows")).where(F.col("rows") > 4 * leaf).select("tree", "leaf", F.ceil(F.log2(F.col("rows") / leaf)).cast("int").alias("bits"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,7 +121,8 @@ def _forest(points: DataFrame, n: int, k: int, leaf: int, trees: int, seed: int)
                 part[at] = forest[t].further(x[at], min(m, 31))
             yield pa.RecordBatch.from_arrays([b["id"], b["v"], b["tree"], b["leaf"], pa.array(part)], names=["id", "v", "tree", "leaf", "part"])
 
-    fuller = dealt.drop("part").join(full, ["tree", "leaf"], "left").select("id", "v", "tree", "leaf", F.coalesce("bits", F.lit(0)).alias("bits"))
+    fuller = dealt.join(full, ["tree", "leaf"], "left").join(points, "id").select("id", "v", "tree", "leaf", F.coalesce("bits", F.lit(0)).alias("bits"))
+    shape = "id long, v array<double>, tree int, leaf long, part long"
 
     def pairs(rows: pd.DataFrame) -> pd.DataFrame:
         ids, x = rows["id"].to_numpy(), np.array(rows["v"].tolist(), np.float64)
@@ -136,17 +136,36 @@ def _forest(points: DataFrame, n: int, k: int, leaf: int, trees: int, seed: int)
     return fuller.mapInArrow(split, shape).groupBy("tree", "leaf", "part").applyInPandas(pairs, FOUND)
 
 
-def _descend(points: DataFrame, graph: DataFrame, k: int) -> DataFrame:
-    """A vector's neighbours and those that have it as one, compared with each of theirs; finds that aren't in the graph."""
-    edges = graph.select(F.col("id").alias("a"), F.col("neighbour").alias("b"))
+def _descend(points: DataFrame, graph: DataFrame, k: int, n: int, only: DataFrame | None = None) -> DataFrame:
+    """A vector's neighbours and those that have it as one, compared with each other; finds at least as near as the
+    farthest that each has. ``only``: ids that all this is done for.
+
+    A vector is sent once to each that it is next to, and compared there, rather than with every pair; what is not near
+    enough isn't sent on.
+    """
+    edges = graph.select(F.col("id").alias("mid"), F.col("neighbour").alias("id"))
     # those that have a vector as a neighbour may be many: a third of all, if it is a hub; the nearest k stand for them
     back = graph.withColumn("r", F.row_number().over(W.partitionBy("neighbour").orderBy(F.desc("similarity"), "id"))).where(F.col("r") <= k)
-    both = edges.unionByName(back.select(F.col("neighbour").alias("a"), F.col("id").alias("b"))).distinct()
-    steps = both.select(F.col("a").alias("mid"), F.col("b").alias("id")).join(both.select(F.col("a").alias("mid"), F.col("b").alias("neighbour")), "mid").where("id <> neighbour")
-    new = steps.select("id", "neighbour").distinct().join(edges.toDF("id", "neighbour"), ["id", "neighbour"], "left_anti")
-    near = points.select(F.col("id").alias("neighbour"), F.col("v").alias("w"))
-    dot = F.aggregate(F.zip_with("v", "w", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    return new.join(points, "id").join(near, "neighbour").select("id", "neighbour", dot.alias("similarity"))
+    both = edges.unionByName(back.select(F.col("neighbour").alias("mid"), "id")).distinct()
+    if only is not None:
+        both = both.join(both.join(F.broadcast(only), "id", "left_semi").select("mid").distinct(), "mid", "left_semi")  # PROBES ids at most
+    least = graph.groupBy("id").agg(F.when(F.count("*") >= k, F.min("similarity")).otherwise(float("-inf")).alias("least"))
+    batch = F.pmod(F.xxhash64("mid"), F.lit(max(1, n // 128))).alias("batch")
+    met = both.join(least, "id", "left").join(points, "id").select(batch, "mid", "id", F.coalesce("least", F.lit(float("-inf"))).alias("least"), "v")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("mid")
+        mid, ids, least, x = rows["mid"].to_numpy(), rows["id"].to_numpy(), rows["least"].to_numpy(), np.array(rows["v"].tolist(), np.float64)
+        parts = [pd.DataFrame({"id": ids[:0], "neighbour": ids[:0], "similarity": least[:0]})]
+        ends = [*(np.flatnonzero(np.diff(mid)) + 1).tolist(), len(mid)]
+        for a, b in zip([0, *ends[:-1]], ends, strict=True):
+            s = x[a:b] @ x[a:b].T
+            np.fill_diagonal(s, np.nan)
+            one, two = np.nonzero(s >= least[a:b, None])
+            parts.append(pd.DataFrame({"id": ids[a + one], "neighbour": ids[a + two], "similarity": s[one, two]}))
+        return pd.concat(parts)
+
+    return met.groupBy("batch").applyInPandas(compare, FOUND)
 
 
 def knn_graph(vectors: DataFrame, id: str, vector: str, k: int, leaf: int = LEAF, trees: int = TREES, descents: int = DESCENTS, seed: int = 42) -> DataFrame:
@@ -165,18 +184,30 @@ def knn_graph(vectors: DataFrame, id: str, vector: str, k: int, leaf: int = LEAF
     n = points.count()
     if not n:
         return vectors.sparkSession.createDataFrame([], FOUND + ", rank int")
+    probes = points.where(F.pmod(F.xxhash64("id", F.lit(seed - 1)), F.lit(1_000_003)) < min(1.0, 1.2 * PROBES / n) * 1_000_003).limit(PROBES)
+    exact = written(nearest(probes, points, "id", "v", k), "probes")
+    probed = exact.select("id").distinct()
+
+    def share(found: DataFrame) -> float:
+        there = recall(found.join(F.broadcast(probed), "id", "left_semi"), exact, 1e-6).first()["recall"]  # PROBES ids at most
+        return 1.0 if there is None else there
+
+    def with_more(further: DataFrame) -> DataFrame:
+        return _top(graph.drop("rank").unionByName(further), k)
+
     graph = written(_top(_forest(points, n, k, leaf, trees, seed), k), "graph")
-    for _ in range(descents):
-        graph = written(_top(graph.drop("rank").unionByName(_descend(points, graph, k)), k), "graph")
-    if n > 1:
-        probes = points.where(F.pmod(F.xxhash64("id", F.lit(seed - 1)), F.lit(1_000_003)) < min(1.0, 1.2 * PROBES / n) * 1_000_003).limit(PROBES)
-        exact = written(nearest(probes, points, "id", "v", k), "probes")
-        grown = trees
-        while ((recall(graph.join(exact.select("id").distinct(), "id", "left_semi"), exact, 1e-6).first() or {})["recall"] or 1.0) < REACHED:
-            # vectors without structure: few neighbours share a leaf, so there must be more trees and larger leaves
-            further = _forest(points, n, k, 4 * leaf, grown, seed + grown)
-            graph = written(_top(graph.drop("rank").unionByName(further), k), "graph")
-            grown *= 2
+    for left in range(descents, 0, -1):
+        if left == 1 and share(with_more(_descend(points, graph, k, n, probed))) < REACHED:
+            break
+        graph = written(with_more(_descend(points, graph, k, n)), "graph")
+    there = share(graph)
+    if 0 < there < REACHED:
+        wanted = math.ceil(trees * math.log(1 - REACHED) / math.log(1 - there))
+        if wanted < sides(points, "v"):
+            graph = written(with_more(_forest(points, n, k, 4 * leaf, wanted, seed + trees)), "graph")
+            there = share(graph)
+    if there < REACHED:
+        graph = written(mutual(points, "id", "v", k), "graph")
     members = rows.join(classes, "v").select("id", "first")
     copies = members.where("id <> first")
     own = graph.select("id", "neighbour", "similarity")

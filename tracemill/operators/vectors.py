@@ -128,7 +128,7 @@ def best_of(own: np.ndarray, x: np.ndarray, ids: np.ndarray, y: np.ndarray, keep
     return pd.concat(parts, ignore_index=True)
 
 
-def _sides(dealt: DataFrame, vector: str) -> int:
+def sides(dealt: DataFrame, vector: str) -> int:
     """Into how many blocks vectors are dealt: at most ``VALUES`` components each, but several where tasks are worth it."""
     n, size = dealt.agg(F.count("*"), F.max(F.size(vector))).first()
     return max(1, -(-n * max(1, size or 1) // VALUES), min(SIDES, n // LEAST))
@@ -145,7 +145,7 @@ def nearest(queries: DataFrame, vectors: DataFrame, id: str, vector: str, k: int
     each query, and the blocks' best meet in a window. A task holds two blocks and the similarities of one strip. Returns id, neighbour, similarity and rank.
     """
     ship(vectors.sparkSession)
-    n_q, n_v = (max(1, -(-d.count() // block)) if block else _sides(d, vector) for d in (queries, vectors))
+    n_q, n_v = (max(1, -(-d.count() // block)) if block else sides(d, vector) for d in (queries, vectors))
     deal = lambda d, n, name: d.select(F.col(id).alias(name), F.col(vector).alias(f"{name}_v"), F.pmod(F.xxhash64(id), F.lit(n)).alias(f"{name}_b"))
     q = deal(queries, n_q, "q").withColumn("v_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_v - 1).cast("long"))))
     v = deal(vectors, n_v, "v").withColumn("q_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_q - 1).cast("long"))))
@@ -162,7 +162,7 @@ def mutual(vectors: DataFrame, id: str, vector: str, k: int, block: int | None =
     """``nearest`` where every row is a query. Two blocks meet once for both directions, so that a row is sent as often as
     there are blocks, and a task holds two blocks and one strip whatever the number of rows."""
     ship(vectors.sparkSession)
-    n = max(1, -(-vectors.count() // block)) if block else _sides(vectors, vector)
+    n = max(1, -(-vectors.count() // block)) if block else sides(vectors, vector)
     dealt = vectors.select(F.col(id).alias("v"), F.col(vector).alias("x"), F.pmod(F.xxhash64(id), F.lit(n)).alias("own"))
     met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
     met = met.select("v", "x", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), (F.col("own") > F.col("other")).alias("second"))
